@@ -2,12 +2,14 @@
 
 from __future__ import annotations
 
-from corpusloom.llm import bpe, langid, packed
+from corpusloom.llm import bpe, chat, langid, packed, quality
 
 QUERIES = {
     "op1_packed_tokens": packed.query,
     "op6_bpe_codec": bpe.query,
+    "op8_chat_format": chat.query,
     "op9_language_id": langid.query,
+    "op10_quality": quality.query,
 }
 
 ORACLE_SQL: dict[str, str] = {}
