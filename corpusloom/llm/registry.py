@@ -2,10 +2,11 @@
 
 from __future__ import annotations
 
-from corpusloom.llm import bpe, chat, langid, packed, quality
+from corpusloom.llm import bpe, chat, langid, packed, quality, urls
 
 QUERIES = {
     "op1_packed_tokens": packed.query,
+    "op2_url_filter": urls.query,
     "op6_bpe_codec": bpe.query,
     "op8_chat_format": chat.query,
     "op9_language_id": langid.query,
