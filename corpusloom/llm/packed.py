@@ -15,7 +15,7 @@ a temporary name and then renamed; a task that runs again replaces its file by a
 row (shard, ids) for each shard, which makes the running totals.
 
 Defined results: null text is empty text (only the end id is stored).  Rows with a null id come first; rows with equal
-ids stand in the order of their ids' bytes.  An empty table gives no shard and an empty result.
+ids stand in the order of their texts.  An empty table gives no shard and an empty result.
 """
 
 from __future__ import annotations
@@ -115,7 +115,8 @@ def write_tokens(
     """Write all documents' ids to shard files below ``folder`` in ascending id order.
 
     Returns the index, one row for each document: ``id_col``, shard string, ordinal int (within the shard), shard_start long
-    (ids of all shards before).  Each text is encoded once; the shuffle carries ids, not text.
+    (ids of all shards before).  Texts are dealt by range before they are encoded: finding the ranges reads the rows once
+    more, which must not encode them twice.
     """
     import pyarrow as pa
 
@@ -125,28 +126,20 @@ def write_tokens(
         total = docs.agg(F.sum(F.octet_length(text_col))).first()[0] or 0
         shards = max(1, -(-total // SHARD_BYTES))
 
-    def encode(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        c = codec(path)
-        bits = width(c.tokenizer.get_vocab_size())
-        wire = "<u2" if bits <= 16 else "<u4"
-        end = np.array([] if end_id is None else [end_id], wire)
-        for batch in batches:
-            texts = arrow_texts(batch.column(1))
-            for a, b in groups_by_bytes(texts, STEP):
-                ids = [np.concatenate([np.frombuffer(x, "<u4").astype(wire), end]).tobytes() for x in c.encode(texts[a:b])]
-                yield pa.RecordBatch.from_arrays([batch.column(0).slice(a, b - a), pa.array(ids, pa.binary())], ["id", "ids"])
-
     def write(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         from pyspark import TaskContext
 
         c = codec(path)
         bits = width(c.tokenizer.get_vocab_size())
-        wire = "<u2" if bits <= 16 else "<u4"
+        wire = np.dtype("<u2" if bits <= 16 else "<u4")
+        end = np.array([] if end_id is None else [end_id], wire)
         name = f"shard-{TaskContext.get().partitionId():06d}.clpk"
         kept, docs_ids = [], []
         for batch in batches:
             kept.append(batch.column(0))
-            docs_ids += [np.frombuffer(x, wire) for x in batch.column(1).to_pylist()]
+            texts = arrow_texts(batch.column(1))
+            for a, b in groups_by_bytes(texts, STEP):
+                docs_ids += [np.concatenate([np.frombuffer(x, "<u4").astype(wire), end]) for x in c.encode(texts[a:b])]
         if not docs_ids:
             return
         out = AtomicFile(folder, name)
@@ -160,8 +153,8 @@ def write_tokens(
             )
             at += len(col)
 
-    encoded = docs.select(F.col(id_col).alias("id"), text_or_empty(F.col(text_col)).alias("text")).mapInArrow(encode, f"id {id_type}, ids binary")
-    ordered = encoded.repartitionByRange(shards, "id").sortWithinPartitions("id", "ids")
+    rows = docs.select(F.col(id_col).alias("id"), text_or_empty(F.col(text_col)).alias("text"))
+    ordered = rows.repartitionByRange(shards, "id").sortWithinPartitions("id", "text")
     index_path = folder.rstrip("/") + "-index"
     ordered.mapInArrow(write, f"id {id_type}, shard string, ordinal int, shard_ids bigint").write.parquet(index_path)
     index = spark.read.parquet(index_path)
