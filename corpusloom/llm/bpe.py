@@ -18,7 +18,9 @@ from __future__ import annotations
 import hashlib
 import json
 import re
+from array import array
 from collections.abc import Iterator
+from itertools import pairwise
 
 import numpy as np
 from pyspark.sql import DataFrame
@@ -28,11 +30,24 @@ from corpusloom.llm.common import arrow_texts, groups_by_bytes, text_or_empty, t
 
 LEAF = 1024  # characters of a leaf
 LONG = 4096  # bytes of a piece from which it goes to the tree
-MEMO = 300_000  # pieces that a worker remembers
+MEMO = 400_000  # pieces that a worker remembers
 STEP = 2 << 20  # bytes of text handled at once
+#: Lower-case letters of ASCII and Latin-1; those, digits and ASCII punctuation other than the apostrophe; the runs of such a piece.
+LETTERS = re.compile(rb"(?:[a-z]|\xc3[\x9f-\xb6\xb8-\xbf]){1,64}")
+SIMPLE = re.compile(rb"(?:[!-&(-@\[-~]|\xc3[\x9f-\xb6\xb8-\xbf])+")
+RUNS = re.compile(rb"(?:[a-z]|\xc3[\x9f-\xb6\xb8-\xbf])+|[0-9]|[!-&(-/:-@\[-`{-~]+")
+#: The part of a split pattern, as JSON, that keeps runs of letters and runs of punctuation apart.
+LETTERS_SPLIT = r"[\\p{L}]+|[\\p{N}]|[^\\s\\p{L}\\p{N}]+"
 VOCABULARY = "word_bpe_49k.json"
 
 
+def byte_letters() -> dict[int, str]:
+    """The letter that stands for each byte in a byte-level vocabulary: itself if printable, else the next free from 256 on."""
+    plain = [*range(33, 127), *range(161, 173), *range(174, 256)]
+    rest = [b for b in range(256) if b not in plain]
+    return {b: chr(b) for b in plain} | {b: chr(256 + i) for i, b in enumerate(rest)}
+
+
 class TreeBPE:
     """BPE of one pre-token of any length by tree concatenation.
 
@@ -85,29 +100,82 @@ class Codec:
         self.tokenizer.no_truncation()
         self.tokenizer.no_padding()
         self.memo: dict[bytes, bytes] = {}
+        self.again: set[bytes] = set()  # pieces that more than one step had
+        self.lowers = '"Lowercase"' in json.dumps(json.loads(self.tokenizer.to_str())["normalizer"])
+        self.bare = self._bare_model()
         self._tree: tuple | None = None
 
     def encode(self, texts: list[bytes]) -> list[bytes]:
         out: list[bytes] = []
         for begin, end in groups_by_bytes(texts, STEP):
-            split = [t.split() for t in texts[begin:end]]  # bytes.split: ASCII white space only
+            split = [self._fold(t).split() for t in texts[begin:end]]  # bytes.split: ASCII white space only
             self._learn(set().union(*split))
             get = self.memo.__getitem__
             out += [b"".join(map(get, words)) for words in split]
         return out
 
+    def _bare_model(self) -> tuple | None:
+        """(byte to letter table, the model without normaliser, splitting at blanks only); None for a tokenizer that does not
+        mark the ends of its pre-tokens or splits and normalises in another way.  Sets ``ends``: the ids that close one."""
+        from tokenizers import Tokenizer, models, pre_tokenizers
+
+        with open(self.path, encoding="utf-8") as f:
+            spec = json.load(f)
+        suffix, split = spec["model"].get("end_of_word_suffix"), json.dumps(spec["pre_tokenizer"] or "")
+        if not (suffix and self.lowers and LETTERS_SPLIT in split and '"ByteLevel"' in split):
+            return None
+        self.ends = np.zeros(self.tokenizer.get_vocab_size(), bool)
+        for t, i in spec["model"]["vocab"].items():
+            self.ends[i] = t.endswith(suffix)
+        bare = Tokenizer(models.BPE(vocab=spec["model"]["vocab"], merges=[tuple(m) for m in spec["model"]["merges"]], end_of_word_suffix=suffix))
+        bare.pre_tokenizer = pre_tokenizers.WhitespaceSplit()
+        return {b: c for b, c in byte_letters().items() if b != 32}, bare
+
+    def _fold(self, text: bytes) -> bytes:
+        """A-Z to a-z where that comes to the same: the tokenizer lowers case, no special token and no combining mark, which
+        could make one character with a letter, stands in the text."""
+        return text.lower() if self.lowers and b"<|" not in text and b"\xcc" not in text and b"\xcd" not in text else text
+
     def _learn(self, pieces: set[bytes]) -> None:
         if len(self.memo) > MEMO:
-            self.memo.clear()
-        new = [p for p in pieces if p not in self.memo]
-        short = [p for p in new if len(p) <= self.long]
+            if len(self.again) > MEMO // 2:
+                self.again.clear()
+            self.memo = {p: self.memo[p] for p in self.again}
+        new = pieces.difference(self.memo)
+        self.again |= pieces - new
         batch = getattr(self.tokenizer, "encode_batch_fast", self.tokenizer.encode_batch)
+        simple = self._learn_simple(new) if self.bare else set()
+        short = [p for p in new if p not in simple and len(p) <= self.long]
         for p, e in zip(short, batch([p.decode() for p in short], add_special_tokens=False), strict=True):
-            self.memo[p] = np.array(e.ids, "<u4").tobytes()
+            self.memo[p] = array("I", e.ids).tobytes()
         for p in new:
             if len(p) > self.long:
                 self.memo[p] = np.array(self.encode_unsplit(p.decode()), "<u4").tobytes()
 
+    def _learn_simple(self, pieces: set[bytes]) -> set[bytes]:
+        """Pieces of lower-case letters, digits and punctuation are split here and encoded many at a time without
+        normalisation, which would leave them as they are; the ids that close a pre-token show where each piece ends."""
+        letters, bare = self.bare
+        plain, split, count = [], [], []
+        for p in pieces:
+            if LETTERS.fullmatch(p):
+                plain.append(p)
+                split.append(p)
+                count.append(1)
+            elif len(p) <= self.long and SIMPLE.fullmatch(p):
+                runs = RUNS.findall(p)
+                plain.append(p)
+                split.append(b" ".join(runs))
+                count.append(len(runs))
+        texts = [b" ".join(split[i : i + 512]).decode("latin-1").translate(letters) for i in range(0, len(split), 512)]
+        for i, e in enumerate(bare.encode_batch_fast(texts, add_special_tokens=False)):
+            ids = np.array(e.ids, "<u4")
+            closing = np.flatnonzero(self.ends[ids]) + 1
+            cuts = [0, *(4 * closing[np.cumsum(count[512 * i : 512 * (i + 1)]) - 1]).tolist()]
+            data = ids.tobytes()
+            self.memo.update(zip(plain[512 * i : 512 * (i + 1)], [data[a:b] for a, b in pairwise(cuts)], strict=True))
+        return set(plain)
+
     def encode_unsplit(self, text: str) -> list[int]:
         """Ids of a text; its pre-tokens longer than a leaf go to the tree."""
         tree, special = self._models()

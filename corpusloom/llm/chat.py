@@ -28,6 +28,7 @@ import numpy as np
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from corpusloom.llm.bpe import byte_letters
 from corpusloom.llm.common import groups_by_bytes, tokenizer_path
 
 VOCABULARY = "byte_bpe_50k.json"
@@ -124,13 +125,6 @@ def parse_text(text: str) -> Iterator[tuple[str, str]]:
         yield (m[1].lower() if m[1] else unescape(m[2])), unescape(m[3])
 
 
-def byte_letters() -> dict[int, str]:
-    """The letter that stands for each byte in a byte-level vocabulary: itself if printable, else the next free from 256 on."""
-    plain = [*range(33, 127), *range(161, 173), *range(174, 256)]
-    rest = [b for b in range(256) if b not in plain]
-    return {b: chr(b) for b in plain} | {b: chr(256 + i) for i, b in enumerate(rest)}
-
-
 _templates: dict[str, Template] = {}
 
 
