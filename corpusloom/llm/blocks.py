@@ -63,7 +63,9 @@ def distinct_texts(docs: DataFrame, text_col: str, blocks: int) -> DataFrame:
 
 
 def totals(dealt: DataFrame, buckets: int, tokens: Callable, least: int = 1) -> DataFrame:
-    """Totals of all tokens, by block: (block int, tokens binary, totals binary).
+    """Totals of all tokens, by block: (block int, bucket int, tokens, totals, first binary).
+
+    ``first`` has a bit for each token, set in one of the rows that the token is in.
 
     ``dealt`` has a column block and whatever ``tokens(table)`` needs, which returns (sorted distinct tokens, counts) of one
     block's rows.  Tokens whose total is below ``least`` are left out."""
@@ -81,20 +83,23 @@ def totals(dealt: DataFrame, buckets: int, tokens: Callable, least: int = 1) ->
     def add(table: pa.Table) -> pa.Table:
         sent = [unpack_sorted(b) for b in table.column("tokens").to_pylist()]
         every = np.concatenate(sent)
-        unique, inverse = np.unique(every, return_inverse=True)
+        _, inverse = np.unique(every, return_inverse=True)
         total = np.bincount(inverse, weights=np.concatenate([np.frombuffer(b, "<u4") for b in table.column("n").to_pylist()])).astype("<u8")
         each = total[inverse]
-        out_t, out_n, at = [], [], 0
+        new = np.zeros(len(every), bool)
+        new[np.unique(inverse, return_index=True)[1]] = True
+        out_t, out_n, out_f, at = [], [], [], 0
         for x in sent:
-            own = each[at : at + len(x)]
+            own, fresh = each[at : at + len(x)], new[at : at + len(x)]
             at += len(x)
             keep = own >= least
+            out_f.append(np.packbits(fresh[keep]).tobytes())
             out_t.append(pack_sorted(x[keep]))
             out_n.append(own[keep].tobytes())
-        return pa.table({"block": table.column("block"), "bucket": table.column("bucket"), "tokens": pa.array(out_t, pa.binary()), "totals": pa.array(out_n, pa.binary())})
+        return pa.table({"block": table.column("block"), "bucket": table.column("bucket"), "tokens": pa.array(out_t, pa.binary()), "totals": pa.array(out_n, pa.binary()), "first": pa.array(out_f, pa.binary())})
 
     counted = dealt.groupBy("block").applyInArrow(count, "bucket int, block int, tokens binary, n binary")
-    return counted.groupBy("bucket").applyInArrow(add, "block int, bucket int, tokens binary, totals binary")
+    return counted.groupBy("bucket").applyInArrow(add, "block int, bucket int, tokens binary, totals binary, first binary")
 
 
 def lookup_table(table) -> tuple[np.ndarray, np.ndarray]:

@@ -2,14 +2,16 @@
 
 from __future__ import annotations
 
-from corpusloom.llm import bpe, chat, decontaminate, langid, ngram_join, packed, quality, urls
+from corpusloom.llm import bpe, chat, decontaminate, hmm, langid, media, ngram_join, packed, quality, urls
 
 QUERIES = {
     "op1_packed_tokens": packed.query,
     "op2_url_filter": urls.query,
     "op3_ngram_join": ngram_join.query,
     "op4_decontamination": decontaminate.query,
+    "op5_hmm_score": hmm.query,
     "op6_bpe_codec": bpe.query,
+    "op7_media_columns": media.query,
     "op8_chat_format": chat.query,
     "op9_language_id": langid.query,
     "op10_quality": quality.query,

@@ -50,8 +50,8 @@ def _powers(n: int) -> None:
         _pow, _inv = np.multiply.accumulate(steps), np.multiply.accumulate(back)
 
 
-def _chunk(data: bytes, word: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
-    """(hash, start) of each word of a chunk that ends with a separator."""
+def _chunk(data: bytes, word: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """(hash, start, last three bytes as a number) of each word of a chunk that ends with a separator."""
     b = _lower[np.frombuffer(data, np.uint8)]
     _powers(len(b))
     flags = np.zeros(len(b) + 1, np.int8)
@@ -61,24 +61,35 @@ def _chunk(data: bytes, word: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
     c = np.zeros(len(b) + 1, U)
     np.cumsum(_table[b] * _pow[: len(b)], out=c[1:])
     h = (c[ends] - c[starts]) * _inv[starts]
-    return mix(h ^ ((ends - starts).astype(U) * U(0xD6E8FEB86659FD93))), starts
+    size = ends - starts
+    tail = b[ends - 1].astype(np.uint32)
+    for k in (2, 3):
+        tail = (tail << np.uint32(8)) | np.where(size >= k, b[np.maximum(ends - k, 0)], 0).astype(np.uint32)
+    return mix(h ^ (size.astype(U) * U(0xD6E8FEB86659FD93))), starts, tail
 
 
 def word_hashes(texts: list[bytes], word: np.ndarray = SPACED) -> tuple[np.ndarray, np.ndarray]:
     """(hash of each word in order, words of each text); A-Z count as a-z."""
-    hashes, counts = [np.zeros(0, U)], np.zeros(len(texts), np.int64)
+    return words_and_tails(texts, word)[:2]
+
+
+def words_and_tails(texts: list[bytes], word: np.ndarray = SPACED) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """As ``word_hashes``, and the last three bytes of each word as a number."""
+    hashes, counts, tails = [np.zeros(0, U)], np.zeros(len(texts), np.int64), [np.zeros(0, np.uint32)]
     for a, b in groups_by_bytes(texts, STEP):
         if b - a == 1 and len(texts[a]) > 4 * STEP:
             for piece in _cut(texts[a], word):
-                h, _ = _chunk(piece + b"\n", word)
+                h, _, tail = _chunk(piece + b"\n", word)
                 hashes.append(h)
+                tails.append(tail)
                 counts[a] += len(h)
             continue
-        h, starts = _chunk(b"\n".join(texts[a:b]) + b"\n", word)
+        h, starts, tail = _chunk(b"\n".join(texts[a:b]) + b"\n", word)
         hashes.append(h)
+        tails.append(tail)
         bounds = np.cumsum([0] + [len(t) + 1 for t in texts[a:b]])
         counts[a:b] = np.diff(np.searchsorted(starts, bounds))
-    return np.concatenate(hashes), counts
+    return np.concatenate(hashes), counts, np.concatenate(tails)
 
 
 def _cut(text: bytes, word: np.ndarray):
