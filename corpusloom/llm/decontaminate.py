@@ -19,19 +19,21 @@ empty tables or no hits; other columns are ignored.
 
 from __future__ import annotations
 
-import hashlib
 from collections.abc import Iterator
 
 import numpy as np
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from corpusloom.llm.blocks import text_key
 from corpusloom.llm.common import arrow_texts, groups_by_bytes, materialize, text_or_empty
 from corpusloom.llm.textvec import ALPHANUMERIC, word_hashes
 
 WINDOW = 13
 SHARD_BYTES = 16 << 20
 BLOCK_BYTES = 16 << 20
+BROADCAST_ROWS = 200_000  # keys of 32 characters
+KEY = "_text_key_"
 
 
 def build_index(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", shard_bytes: int = SHARD_BYTES) -> DataFrame:
@@ -241,6 +243,19 @@ def contaminated(n_hit, n_words):
     return (n_hit > 0) & (n_hit * 20 >= n_words)
 
 
+def keep_clean(docs: DataFrame, items: DataFrame, text_col: str = "text", item_col: str = "item_id", broadcast_rows: int = BROADCAST_ROWS) -> DataFrame:
+    """The rows of ``docs``, all columns, that are not contaminated.
+
+    Rows are told apart by their text, so null and repeated ids do no harm.  The contaminated texts' keys are broadcast if there
+    are at most ``broadcast_rows`` (counted), else joined by a shuffle."""
+    keyed = docs.withColumn(KEY, text_key(F.col(text_col)))
+    index = materialize(build_index(keyed.select(KEY, text_col), KEY, text_col), "postings")
+    found = search(index, items, item_col).where(contaminated(F.col("n_hit"), F.col("n_words"))).select(F.col("id").alias(KEY)).distinct()
+    found = materialize(found, "contaminated")
+    few = found.count() <= broadcast_rows
+    return keyed.join(F.broadcast(found) if few else found, KEY, "left_anti").drop(KEY)
+
+
 def query(spark: SparkSession, sf_dir: str) -> DataFrame:
     """op4: contamination of every whole document by the whole benchmark."""
     from corpusloom.llm.common import table

@@ -175,6 +175,13 @@ def predict(docs: DataFrame, model: NaiveBayes | None, text_col: str = "text", k
     return frame.mapInArrow(run, schema)
 
 
+def keep_known(docs: DataFrame, text_col: str = "text", lang_col: str = "lang", least: float = 0.5) -> DataFrame:
+    """The rows of ``docs``, all columns, whose language is one that was learned, with a score of ``least`` or more."""
+    row = F.struct(*(F.col(f"`{c}`") for c in docs.columns))
+    found = predict(docs, fit(docs, text_col, lang_col), text_col, {"_row": row})
+    return found.where((F.col("lang_pred") != "und") & (F.col("score") >= least)).select("_row.*")
+
+
 def query(spark: SparkSession, sf_dir: str) -> DataFrame:
     """op9: predicted language of every whole document; learned where crc32(doc_id) mod 5 is not 0."""
     from corpusloom.llm.common import table

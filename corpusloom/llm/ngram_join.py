@@ -46,6 +46,7 @@ RARE = 32
 LONG = 200
 PIVOTS = 8
 STEP = 1 << 20
+KEY, LEAST, CHOSEN = "_text_key_", "_least_id_", "_chosen_"
 
 
 def _sets(table) -> Iterator[tuple[list[int], list[np.ndarray]]]:
@@ -184,24 +185,50 @@ def open_lists(entries: DataFrame, labels: DataFrame | None) -> DataFrame:
     return materialize(named.join(mixed, "key", "left_semi"), "open-lists")
 
 
-def join(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", rare: int = RARE, long: int = LONG) -> DataFrame:
-    """``id_col``, n_shingles long, component_id (smallest id reachable by links) and _key (of the text) for each row."""
+def _classes(docs: DataFrame, id_col: str, text_col: str, rare: int, long: int) -> DataFrame:
+    """For each distinct text with words: _key, n_shingles, root (of its component), least (smallest id of its rows)."""
     texts = materialize(token_sets(docs, text_col, rare, long), "texts")
     free_shuffles(docs.sparkSession)
     labels = link_components(texts)
-    rows = docs.select(F.col(id_col), text_key(F.col(text_col)).alias("_key"))
-    least = rows.groupBy("_key").agg(F.min(id_col).alias("least"))
-    named = texts.select(F.col("key").alias("_key"), "node", "n").join(least, "_key")
-    named = named.withColumn("root", F.col("node")) if labels is None else named.join(labels, "node", "left").withColumn("root", F.coalesce("root", "node"))
+    rows = docs.select(F.col(id_col).alias("_id"), text_key(F.col(text_col)).alias("_key"))
+    least = rows.groupBy("_key").agg(F.min("_id").alias("least"))
+    named = texts.select(F.col("key").alias("_key"), "node", F.col("n").alias("n_shingles")).join(least, "_key")
+    return named.withColumn("root", F.col("node")) if labels is None else named.join(labels, "node", "left").withColumn("root", F.coalesce("root", "node"))
+
+
+def join(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", rare: int = RARE, long: int = LONG) -> DataFrame:
+    """``id_col``, n_shingles long and component_id (smallest id reachable by links) for each row."""
+    named = _classes(docs, id_col, text_col, rare, long)
     tops = named.groupBy("root").agg(F.min("least").alias("component_id"))
-    named = materialize(named.join(tops, "root").select("_key", F.col("n").alias("n_shingles"), "component_id"), "components")
+    named = materialize(named.join(tops, "root").select("_key", "n_shingles", "component_id"), "components")
+    rows = docs.select(F.col(id_col), text_key(F.col(text_col)).alias("_key"))
     joined = rows.join(named.withColumn("_there", F.lit(True)), "_key", "left")
     own = F.when(F.col("_there"), F.col("component_id")).otherwise(F.col(id_col))
-    return joined.select(id_col, F.coalesce("n_shingles", F.lit(0)).cast("long").alias("n_shingles"), own.alias("component_id"), "_key")
+    return joined.select(id_col, F.coalesce("n_shingles", F.lit(0)).cast("long").alias("n_shingles"), own.alias("component_id"))
+
+
+def keep_one(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", rare: int = RARE, long: int = LONG) -> DataFrame:
+    """The rows of ``docs``, all columns, of which each component keeps one: that with its smallest id (null last), one of them
+    if rows repeat.  Rows without words all stay."""
+    named = _classes(docs, id_col, text_col, rare, long)
+    named = materialize(named.select("_key", "root", "least"), "components")
+    chosen = named.groupBy("root").agg(F.min(F.struct(F.col("least").isNull().alias("no_id"), "least", "_key")).alias("c"))
+    marks = named.select("_key", "least", "root").join(chosen, "root")
+    marks = materialize(marks.select(F.col("_key").alias(KEY), F.col("least").alias(LEAST), (F.col("c._key") == F.col("_key")).alias(CHOSEN)), "chosen")
+    free_shuffles(docs.sparkSession)
+    keyed = docs.withColumn(KEY, text_key(F.col(text_col)))
+    joined = keyed.join(marks, KEY, "left")
+    worded, mine = F.col(CHOSEN).isNotNull(), F.col(CHOSEN) & F.col(id_col).eqNullSafe(F.col(LEAST))
+    kept = joined.where(~worded | mine)
+    ids = docs.select(F.col(id_col).alias("_id"), text_key(F.col(text_col)).alias("_key"))
+    if has_rows(ids.groupBy("_key", "_id").count().where("count > 1").join(named, "_key", "left_semi")):
+        # Some worded row stands there twice: a second pass, only for such inputs.
+        kept = kept.where(~worded).unionByName(kept.where(worded).dropDuplicates([KEY]))
+    return kept.drop(KEY, LEAST, CHOSEN)
 
 
 def query(spark: SparkSession, sf_dir: str) -> DataFrame:
     """op3: near-duplicate components of all whole documents."""
     from corpusloom.llm.common import table
 
-    return join(table(spark, sf_dir, "documents")).drop("_key")
+    return join(table(spark, sf_dir, "documents"))

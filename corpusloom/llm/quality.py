@@ -199,6 +199,13 @@ def score(docs: DataFrame, model: NBSVM | None, text_col: str = "text", keep: di
     return frame.mapInArrow(run, frame.drop("_t").schema.add("score", "double").add("predicted", "integer"))
 
 
+def keep_good(docs: DataFrame, labels: DataFrame, id_col: str = "doc_id", text_col: str = "text", least: float = 0.5) -> DataFrame:
+    """The rows of ``docs``, all columns, whose score is ``least`` or more; learned from all of ``labels``' rows about them."""
+    row = F.struct(*(F.col(f"`{c}`") for c in docs.columns))
+    scored = score(docs, fit(docs, labels, id_col, text_col), text_col, {"_row": row})
+    return scored.where(F.col("score") >= least).select("_row.*")
+
+
 def query(spark: SparkSession, sf_dir: str) -> DataFrame:
     """op10: quality of every whole document; learned where crc32(doc_id) mod 3 is not 1."""
     from corpusloom.llm.common import table
