@@ -6,6 +6,9 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
-ORACLE_SQL: dict[str, str] = {}
+from corpusloom.plans import text
+
+PLANS = (text,)
+QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {k: f for p in PLANS for k, f in p.QUERIES.items()}
+ORACLE_SQL: dict[str, str] = {k: s for p in PLANS for k, s in p.ORACLE_SQL.items()}
 ENTRY = "sparse_topk"
