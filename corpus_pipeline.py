@@ -4,6 +4,7 @@ from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession
 
+from corpusloom.deploy import ship
 from corpusloom.llm import bpe, decontaminate, langid, ngram_join, quality
 from corpusloom.llm.common import scratch, table
 
@@ -15,11 +16,13 @@ def quality_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFram
 
 def language_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Documents in no known language go."""
+    ship(spark)
     return langid.keep_known(docs)
 
 
 def duplicate_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """One document of each near-duplicate group stays, that with the smallest id."""
+    ship(spark)
     return ngram_join.keep_one(docs)
 
 
@@ -30,6 +33,7 @@ def benchmark_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFr
 
 def token_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Token counts and digests of what is left."""
+    ship(spark)
     return bpe.encode_decode(docs, outputs=("n_tokens", "ids_sha256", "decoded_sha256"))
 
 
