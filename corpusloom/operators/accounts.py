@@ -23,7 +23,7 @@ def balance(t: DataFrame) -> DataFrame:
 
 
 def _newest(t: DataFrame, limit: int) -> DataFrame:
-    order = Window.partitionBy(*KEYS).orderBy(F.desc("date"), F.asc("id"))
+    order = Window.partitionBy(*KEYS).orderBy(F.desc("date"), "id", "amount", "merchant", "category")
     return t.withColumn("n", F.row_number().over(order)).where(F.col("n") <= min(limit, ROW_LIMIT))
 
 
