@@ -11,9 +11,15 @@ from pyspark.sql import SparkSession
 _shipped: dict[str, str] = {}
 
 
+#: Rows that cross to a Python worker at once: whole documents, so far fewer than Spark's default.
+ROWS_PER_BATCH = "2000"
+
+
 def ship(spark: SparkSession) -> None:
-    """Once for each application."""
+    """Once for each application; a session's batches for Python workers are made small."""
     context = spark.sparkContext
+    if int(spark.conf.get("spark.sql.execution.arrow.maxRecordsPerBatch")) > int(ROWS_PER_BATCH):
+        spark.conf.set("spark.sql.execution.arrow.maxRecordsPerBatch", ROWS_PER_BATCH)
     if context.applicationId in _shipped:
         return
     root = os.path.dirname(os.path.abspath(__file__))
