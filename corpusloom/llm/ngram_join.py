@@ -12,7 +12,8 @@ holds are never indexed, but take up their places in the prefix, so most texts h
 have too many combinations; sets of more than ``LONG`` tokens take their frequent tokens alone instead, and sets within
 a factor 0.8 of that limit do both, so that every similar pair still has a way to meet.
 
-What meets is verified exactly on the token sets.  A list is not expanded into all pairs: every member is compared with the
+An entry also says how many tokens its set can share with one that it meets there first; sets that cannot reach 0.8 with any
+member of a list leave it.  What meets is verified exactly on the token sets.  A list is not expanded into all pairs: every member is compared with the
 list's most central member first, components are joined, and only lists that still hold two components go on, with 8, 64,
 512 ... further pivots, between members of different components whose distances to the first pivot allow a link by the
 triangle inequality.  The last round has every member as a pivot, so nothing is left out; copies cost one comparison each.
@@ -64,26 +65,34 @@ def _block_tokens(table) -> tuple[np.ndarray, np.ndarray]:
     return np.unique(np.concatenate([np.zeros(0, U), *sets]), return_counts=True)
 
 
-def index_keys(tokens: np.ndarray, held: np.ndarray, n: int, rare: int = RARE, long: int = LONG) -> np.ndarray:
-    """Keys of the lists that a set of ``n`` tokens stands in.  ``tokens``: those that other texts hold too; ``held``: by how many."""
-    prefix = n - -(-80 * n // 100) + K - (n - len(tokens))
+def index_keys(tokens: np.ndarray, held: np.ndarray, n: int, rare: int = RARE, long: int = LONG) -> tuple[np.ndarray, np.ndarray]:
+    """(keys of the lists that a set of ``n`` tokens stands in, most tokens it can share with a set that it meets there first).
+
+    ``tokens``: those that other texts hold too; ``held``: by how many.  The bound counts the key's tokens and all that come
+    after them in the order."""
+    alone = n - len(tokens)
+    prefix = n - -(-80 * n // 100) + K - alone
     if prefix <= 0:
-        return np.zeros(0, U)
+        return np.zeros(0, U), np.zeros(0, np.int64)
     order = np.lexsort((tokens, held))[:prefix]
-    tokens, held = tokens[order], held[order]
-    out = [mix(tokens[held <= rare] ^ U(0x5851F42D4C957F2D))]
-    frequent = np.sort(tokens[held > rare])
+    tokens, held, rest = tokens[order], held[order], n - alone - np.arange(len(order))
+    few = held <= rare
+    keys, bounds = [mix(tokens[few] ^ U(0x5851F42D4C957F2D))], [rest[few]]
+    frequent, after = tokens[~few], rest[~few]
     if 80 * n <= 100 * long:
         i, j = np.triu_indices(len(frequent), 1)
-        out.append(mix(frequent[i] * U(0xD1342543DE82EF95) + mix(frequent[j])))
+        keys.append(mix(np.minimum(frequent[i], frequent[j]) * U(0xD1342543DE82EF95) + mix(np.maximum(frequent[i], frequent[j]))))
+        bounds.append(after[j] + 1)
     if 100 * n >= 80 * long:
-        out.append(mix(frequent ^ U(0x14057B7EF767814F)))
-    return np.unique(np.concatenate(out))
+        keys.append(mix(frequent ^ U(0x14057B7EF767814F)))
+        bounds.append(after)
+    unique, first = np.unique(np.concatenate(keys), return_index=True)
+    return unique, np.concatenate(bounds)[first]
 
 
 def token_sets(docs: DataFrame, text_col: str = "text", rare: int = RARE, long: int = LONG) -> DataFrame:
     """One row for each distinct text that has words: key, node (digest of its set), n long, alone long (tokens that no other
-    text holds), tokens binary (the others; null if it stands in no list), keys array<long>."""
+    text holds), tokens binary (the others; null if it stands in no list), keys array<struct<key long, most int>>."""
     import pyarrow as pa
 
     blocks = block_count(docs, text_col)
@@ -92,6 +101,7 @@ def token_sets(docs: DataFrame, text_col: str = "text", rare: int = RARE, long:
     def attach(table: pa.Table, counts: pa.Table) -> pa.Table:
         x, held = lookup_table(counts)
         names = table.column("key").to_pylist() if table.num_rows else []
+        found, bounds = [np.zeros(0, U)], [np.zeros(0, np.int64)]
         cols: dict[str, list] = {"key": [], "node": [], "n": [], "alone": [], "tokens": [], "keys": []}
         for rows, sets in _sets(table) if table.num_rows else ():
             sizes = [len(s) for s in sets]
@@ -103,14 +113,19 @@ def token_sets(docs: DataFrame, text_col: str = "text", rare: int = RARE, long:
                 if not n:
                     continue
                 shared = h > 1
-                keys = index_keys(s[shared], h[shared], n, rare, long)
-                for c, v in zip(cols, (names[row], hashlib.blake2b(s.tobytes(), digest_size=16).hexdigest(), n, n - int(shared.sum()), s[shared].astype("<u8").tobytes() if len(keys) else None, keys.view(np.int64)), strict=True):
+                keys, most = index_keys(s[shared], h[shared], n, rare, long)
+                row_values = (names[row], hashlib.blake2b(s.tobytes(), digest_size=16).hexdigest(), n, n - int(shared.sum()), s[shared].astype("<u8").tobytes() if len(keys) else None, len(keys))
+                for c, v in zip(cols, row_values, strict=True):
                     cols[c].append(v)
-        types = [pa.string(), pa.string(), pa.int64(), pa.int64(), pa.binary(), pa.list_(pa.int64())]
-        return pa.table([pa.array(v, t) for v, t in zip(cols.values(), types, strict=True)], list(cols))
+                found.append(keys)
+                bounds.append(most)
+        flat = pa.StructArray.from_arrays([pa.array(np.concatenate(found).view(np.int64)), pa.array(np.concatenate(bounds).astype(np.int32))], ["key", "most"])
+        lists = pa.ListArray.from_arrays(pa.array(np.cumsum([0, *cols.pop("keys")]), pa.int32()), flat)
+        types = [pa.string(), pa.string(), pa.int64(), pa.int64(), pa.binary()]
+        return pa.table([*(pa.array(v, t) for v, t in zip(cols.values(), types, strict=True)), lists], [*cols, "keys"])
 
     back = totals(dealt, blocks, _block_tokens, least=2)
-    return dealt.groupBy("block").cogroup(back.groupBy("block")).applyInArrow(attach, "key string, node string, n bigint, alone bigint, tokens binary, keys array<bigint>")
+    return dealt.groupBy("block").cogroup(back.groupBy("block")).applyInArrow(attach, "key string, node string, n bigint, alone bigint, tokens binary, keys array<struct<key:bigint,most:int>>")
 
 
 def verify(pairs: DataFrame, sets: DataFrame) -> DataFrame:
@@ -131,16 +146,21 @@ def _linked():
     return 100 * F.col("shared") >= 80 * F.col("union")
 
 
+def _needed(n, other):
+    """Tokens that sets of these sizes must share, times 180."""
+    return 80 * (n + other)
+
+
 def link_components(texts: DataFrame) -> DataFrame | None:
     """(node, root) of the nodes that are linked with another, from what ``token_sets`` returns; None if there are none."""
     indexed = texts.where(F.size("keys") > 0).dropDuplicates(["node"])
     sets = materialize(indexed.select("node", "n", "tokens", (F.col("alone") / F.col("n")).alias("apart"), "keys"), "token-sets")
-    entries = sets.select(F.explode("keys").alias("key"), "node", "n", "apart")
-    lists = entries.groupBy("key").agg(F.count("*").alias("members"), F.min(F.struct("apart", "node")).alias("first")).where("members > 1")
+    entries = possible(sets.select("node", "n", "apart", F.explode("keys").alias("k")).select("node", "n", "apart", "k.key", "k.most"))
+    lists = entries.groupBy("key").agg(F.count("*").alias("members"), F.min(F.struct(F.round("apart", 2), -F.col("n"), "node")).alias("first")).where("members > 1")
     lists = materialize(lists.select("key", "members", F.col("first.node").alias("pivot")), "lists")
     if not has_rows(lists):
         return None
-    entries = materialize(entries.select("key", "node", "n").join(lists, "key"), "entries")
+    entries = materialize(entries.drop("apart").join(lists, "key"), "entries")
     pairs = entries.where("node != pivot").select(F.col("node").alias("a"), F.col("pivot").alias("b")).distinct()
     checked = materialize(verify(pairs, sets), "verified")
     labels = components(checked.where(_linked()))
@@ -154,11 +174,12 @@ def link_components(texts: DataFrame) -> DataFrame | None:
         turn = F.pmod(F.xxhash64("node"), F.lit(1 << 30)) / float(1 << 30) * F.col("members")
         turn = F.floor(F.log(F.greatest(turn, F.lit(1.0))) / F.log(F.lit(float(PIVOTS)))).cast("int")
         members = left.withColumn("turn", turn).where(F.col("turn") >= level)
-        q = members.where(F.col("turn") == level).select("key", *(F.col(c).alias("q_" + c) for c in ("node", "n", "d", "root")))
+        q = members.where(F.col("turn") == level).select("key", *(F.col(c).alias("q_" + c) for c in ("node", "n", "most", "d", "root")))
         met = members.join(q, "key").where(
             (F.col("root") != F.col("q_root"))
             & ((F.col("turn") > level) | (F.col("node") < F.col("q_node")))
             & (100 * F.least("n", "q_n") >= 80 * F.greatest("n", "q_n"))
+            & (180 * F.least("most", "q_most") >= _needed(F.col("n"), F.col("q_n")))
             & (F.abs(F.col("d") - F.col("q_d")) <= 0.2 + 1e-9)
         )
         new = met.select(F.least("node", "q_node").alias("a"), F.greatest("node", "q_node").alias("b")).distinct().join(done, ["a", "b"], "left_anti")
@@ -178,8 +199,16 @@ def link_components(texts: DataFrame) -> DataFrame | None:
     return labels
 
 
+def possible(entries: DataFrame) -> DataFrame:
+    """The entries of lists with at least two members, without those that cannot share enough with a set of the list's least size,
+    or of the least size that can be similar."""
+    least = entries.groupBy("key").agg(F.min("n").alias("_n"), F.count("*").alias("_c")).where("_c > 1")
+    enough = 180 * F.col("most") >= F.greatest(_needed(F.col("n"), F.col("_n")), 144 * F.col("n"))
+    return entries.join(least, "key").where(enough).drop("_n", "_c")
+
+
 def open_lists(entries: DataFrame, labels: DataFrame | None) -> DataFrame:
-    """The entries of lists that still hold more than one component, with their root."""
+    """The entries, with their root, of lists that still hold more than one component and may hold a link between two."""
     named = entries.withColumn("root", F.col("node")) if labels is None else entries.join(labels, "node", "left").withColumn("root", F.coalesce("root", "node"))
     mixed = named.groupBy("key").agg(F.min("root").alias("lo"), F.max("root").alias("hi")).where("lo != hi").select("key")
     return materialize(named.join(mixed, "key", "left_semi"), "open-lists")
