@@ -17,7 +17,7 @@ from pyspark.sql import functions as F
 
 from corpusloom.llm.common import text_or_empty
 
-BLOCK_BYTES = 8 << 20
+BLOCK_BYTES = 5 << 20
 U = np.uint64
 
 

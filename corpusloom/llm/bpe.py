@@ -30,7 +30,7 @@ from corpusloom.llm.common import arrow_texts, groups_by_bytes, text_or_empty, t
 
 LEAF = 1024  # characters of a leaf
 LONG = 4096  # bytes of a piece from which it goes to the tree
-MEMO = 400_000  # pieces that a worker remembers
+MEMO = 200_000  # pieces that a worker remembers
 STEP = 2 << 20  # bytes of text handled at once
 #: Lower-case letters of ASCII and Latin-1; those, digits and ASCII punctuation other than the apostrophe; the runs of such a piece.
 LETTERS = re.compile(rb"(?:[a-z]|\xc3[\x9f-\xb6\xb8-\xbf]){1,64}")
