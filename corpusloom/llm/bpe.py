@@ -101,7 +101,9 @@ class Codec:
         self.tokenizer.no_padding()
         self.memo: dict[bytes, bytes] = {}
         self.again: set[bytes] = set()  # pieces that more than one step had
-        self.lowers = '"Lowercase"' in json.dumps(json.loads(self.tokenizer.to_str())["normalizer"])
+        spec = json.loads(self.tokenizer.to_str())
+        marked = all("<|" in a["content"] for a in spec["added_tokens"])  # special tokens can be told by this
+        self.lowers = marked and '"Lowercase"' in json.dumps(spec["normalizer"])
         self.bare = self._bare_model()
         self._tree: tuple | None = None
 
@@ -162,7 +164,7 @@ class Codec:
                 plain.append(p)
                 split.append(p)
                 count.append(1)
-            elif len(p) <= self.long and SIMPLE.fullmatch(p):
+            elif len(p) <= self.long and b"<|" not in p and SIMPLE.fullmatch(p):
                 runs = RUNS.findall(p)
                 plain.append(p)
                 split.append(b" ".join(runs))
