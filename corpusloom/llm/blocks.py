@@ -15,7 +15,7 @@ import numpy as np
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from corpusloom.llm.common import text_or_empty
+from corpusloom.llm.common import enter, text_or_empty
 
 BLOCK_BYTES = 5 << 20
 U = np.uint64
@@ -47,6 +47,7 @@ def distinct_texts(docs: DataFrame, text_col: str, blocks: int) -> DataFrame:
     import pyarrow.compute as pc
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        enter("blocks")
         seen: set[bytes] = set()
         for batch in batches:
             keep = []
@@ -72,6 +73,7 @@ def totals(dealt: DataFrame, buckets: int, tokens: Callable, least: int = 1) ->
     import pyarrow as pa
 
     def count(table: pa.Table) -> pa.Table:
+        enter("blocks")
         x, n = tokens(table)
         block = table.column("block")[0].as_py()
         cuts = np.searchsorted(x, (np.arange(1, buckets, dtype=np.float64) * (2.0**64 / buckets)).astype(U)) if buckets > 1 else np.zeros(0, np.int64)
@@ -81,6 +83,7 @@ def totals(dealt: DataFrame, buckets: int, tokens: Callable, least: int = 1) ->
         return pa.table({"bucket": pa.array(full, pa.int32()), "block": pa.array([block] * len(full), pa.int32()), "tokens": pa.array([p for p, _ in parts], pa.binary()), "n": pa.array([p for _, p in parts], pa.binary())})
 
     def add(table: pa.Table) -> pa.Table:
+        enter("blocks")
         sent = [unpack_sorted(b) for b in table.column("tokens").to_pylist()]
         every = np.concatenate(sent)
         _, inverse = np.unique(every, return_inverse=True)

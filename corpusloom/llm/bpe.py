@@ -26,11 +26,11 @@ import numpy as np
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from corpusloom.llm.common import arrow_texts, groups_by_bytes, text_or_empty, tokenizer_path
+from corpusloom.llm.common import arrow_texts, enter, groups_by_bytes, text_or_empty, tokenizer_path
 
 LEAF = 1024  # characters of a leaf
 LONG = 4096  # bytes of a piece from which it goes to the tree
-MEMO = 200_000  # pieces that a worker remembers
+MEMO = 150_000  # pieces that a worker remembers
 STEP = 2 << 20  # bytes of text handled at once
 #: Lower-case letters of ASCII and Latin-1; those, digits and ASCII punctuation other than the apostrophe; the runs of such a piece.
 LETTERS = re.compile(rb"(?:[a-z]|\xc3[\x9f-\xb6\xb8-\xbf]){1,64}")
@@ -217,6 +217,10 @@ def codec(path: str, leaf: int = LEAF, long: int = LONG) -> Codec:
     return _codecs[key]
 
 
+def free_codecs() -> None:
+    _codecs.clear()
+
+
 def encode_decode(
     docs: DataFrame,
     id_col: str = "doc_id",
@@ -238,6 +242,7 @@ def encode_decode(
     id_type = docs.schema[id_col].dataType.simpleString()
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        enter("bpe", free_codecs)
         c = codec(path, leaf, long)
         decimals = [str(i) for i in range(c.tokenizer.get_vocab_size() + 1)]
         for batch in batches:

@@ -29,7 +29,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from corpusloom.llm.bpe import byte_letters
-from corpusloom.llm.common import groups_by_bytes, tokenizer_path
+from corpusloom.llm.common import enter, groups_by_bytes, tokenizer_path
 
 VOCABULARY = "byte_bpe_50k.json"
 ESCAPE = "\\"
@@ -134,6 +134,10 @@ def template(path: str) -> Template:
     return _templates[path]
 
 
+def free_templates() -> None:
+    _templates.clear()
+
+
 def format_turns(rows: DataFrame, tokenizer: str | None = None) -> DataFrame:
     """Segments of all conversations (conv_id, turn, role, text): conv_id, turn, part long (place in the conversation), ids
     array<int>, token_start long, loss_begin and loss_end long (token places within the conversation; equal if none).
@@ -148,6 +152,7 @@ def format_turns(rows: DataFrame, tokenizer: str | None = None) -> DataFrame:
     mid = f"conv_id {conv_type}, turn {turn_type}, role string, ord string, ids binary, lb bigint, le bigint"
 
     def encode(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        enter("chat", free_templates)
         t = template(path)
         for batch in batches:
             roles, texts = ([x or "" for x in batch.column(k).to_pylist()] for k in (2, 3))
@@ -197,6 +202,7 @@ def read_back(segments: DataFrame, tokenizer: str | None = None) -> DataFrame:
     kinds = {"n_turns": "bigint", "turns_sha256": "string", "loss_chars": "bigint", "loss_sha256": "string", "formatted_chars": "bigint", "n_tokens": "bigint", "loss_tokens": "bigint"}
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        enter("chat", free_templates)
         t, state, done = template(path), None, []
 
         def flush() -> Iterator[pa.RecordBatch]:

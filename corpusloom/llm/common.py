@@ -128,6 +128,27 @@ def groups_by_bytes(items: list[bytes], most: int) -> Iterable[tuple[int, int]]:
         yield begin, len(items)
 
 
+_kept: dict[str, object] = {}
+
+
+def enter(operator: str, free=None) -> None:
+    """Called by a task when it begins: frees what other operators keep in this worker process (``free`` frees what this one will
+    keep), and gives memory that is no longer used back to the system."""
+    import ctypes
+
+    import pyarrow as pa
+
+    for name in [n for n in _kept if n != operator]:
+        _kept.pop(name)()
+    if free:
+        _kept[operator] = free
+    pa.default_memory_pool().release_unused()
+    try:
+        ctypes.CDLL("libc.so.6").malloc_trim(0)
+    except (OSError, AttributeError):  # another C library
+        pass
+
+
 def has_rows(df: DataFrame) -> bool:
     return len(df.take(1)) > 0
 

@@ -26,7 +26,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from corpusloom.llm.blocks import text_key
-from corpusloom.llm.common import arrow_texts, groups_by_bytes, materialize, text_or_empty
+from corpusloom.llm.common import arrow_texts, enter, groups_by_bytes, materialize, text_or_empty
 from corpusloom.llm.textvec import ALPHANUMERIC, word_hashes
 
 WINDOW = 13
@@ -47,6 +47,7 @@ def build_index(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text",
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         from pyspark import TaskContext
 
+        enter("decontaminate")
         part, number = TaskContext.get().partitionId(), 0
         ids: list = []
         found: list[tuple[np.ndarray, np.ndarray]] = []
@@ -186,6 +187,7 @@ def search(index: DataFrame, items: DataFrame, item_col: str = "item_id", text_c
     blocks = [spark.sparkContext.broadcast(Items(rows, window)) for rows in item_blocks(items, item_col, text_col, block_bytes)]
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        enter("decontaminate")
         for batch in batches:
             for k in range(batch.num_rows):
                 ids, n_words = batch.column(1)[k].values, np.asarray(batch.column(2)[k].values, dtype=np.int64)

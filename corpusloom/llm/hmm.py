@@ -28,7 +28,7 @@ from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from corpusloom.llm.blocks import block_count, lookup, lookup_table, totals, unpack_sorted
-from corpusloom.llm.common import arrow_texts, crc_of_id, free_shuffles, groups_by_bytes, materialize, text_or_empty
+from corpusloom.llm.common import arrow_texts, crc_of_id, enter, free_shuffles, groups_by_bytes, materialize, text_or_empty
 from corpusloom.llm.langid import arrow_batches
 from corpusloom.llm.textvec import SPACED, words_and_tails
 
@@ -175,6 +175,7 @@ def sequences(dealt: DataFrame, back: DataFrame, vocab: Vocabulary, id_type: str
     names = ["id", "held_out", "n_tokens", "n_known", "base_score", "inside", "symbols"]
 
     def run(table: pa.Table, counts: pa.Table) -> pa.Table:
+        enter("blocks")
         v, out = shared.value, []
         x, total = lookup_table(counts)
         ids, held = (table.column(c).combine_chunks() for c in ("id", "held_out"))
@@ -291,6 +292,7 @@ def train(seqs: DataFrame, vocab: Vocabulary, states: int = STATES, iterations:
         shared = spark.sparkContext.broadcast(model)
 
         def expect(batches: Iterator[pa.RecordBatch], shared=shared) -> Iterator[pa.RecordBatch]:
+            enter("hmm")
             m = shared.value
             start, move, emit = np.zeros(states), np.zeros((states, states)), np.zeros((states, size))
             for batch in batches:
@@ -335,6 +337,7 @@ def score(docs: DataFrame, held_out: Column, id_col: str = "doc_id", text_col: s
     shared, n = docs.sparkSession.sparkContext.broadcast(model), vocab.n
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        enter("hmm")
         for batch in batches:
             log = shared.value.log10([np.frombuffer(x, "<u2") for x in batch.column(6).to_pylist()]) + np.asarray(batch.column(5))
             yield pa.RecordBatch.from_arrays([*batch.columns[:4], pa.array([n] * batch.num_rows, pa.int64()), batch.column(4), pa.array(log)], [id_col, "held_out", "n_tokens", "n_known", "train_tokens", "base_score", "score"])

@@ -22,7 +22,7 @@ import numpy as np
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from corpusloom.llm.common import crc_of_id, groups_by_bytes, text_or_empty
+from corpusloom.llm.common import crc_of_id, enter, groups_by_bytes, text_or_empty
 
 BUCKETS = 1 << 16
 ORDERS = (1, 2, 3)
@@ -112,6 +112,7 @@ def fit(rows: DataFrame, text_col: str = "text", lang_col: str = "lang") -> Naiv
     step = BUCKETS // SLICES
 
     def count(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        enter("langid")
         total = np.zeros(len(languages) * BUCKETS, np.int64)
         for batch in batches:
             texts, langs = batch.column(0).to_pylist(), batch.column(1).to_pylist()
@@ -161,6 +162,7 @@ def predict(docs: DataFrame, model: NaiveBayes | None, text_col: str = "text", k
     frame = docs.select(text_or_empty(text).alias("_t"), has_letter.alias("_h"), *(c.alias(n) for n, c in keep.items()))
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        enter("langid")
         m = shared.value
         for batch in batches:
             texts, letters = batch.column(0).to_pylist(), batch.column(1).to_pylist()

@@ -26,7 +26,7 @@ import numpy as np
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from corpusloom.llm.common import AtomicFile, arrow_texts, filesystem, materialize, scratch, text_or_empty
+from corpusloom.llm.common import AtomicFile, arrow_texts, enter, filesystem, materialize, scratch, text_or_empty
 
 UNIT = 192
 PIXELS = 64
@@ -120,6 +120,7 @@ def store(payloads: DataFrame, folder: str, shard_bytes: int = SHARD_BYTES) -> D
     import pyarrow as pa
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        enter("media")
         seen: set[bytes] = set()
         shard = None
         for batch in batches:

@@ -36,7 +36,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from corpusloom.llm.blocks import block_count, distinct_texts, lookup, lookup_table, text_key, totals
-from corpusloom.llm.common import arrow_texts, free_shuffles, groups_by_bytes, has_rows, materialize
+from corpusloom.llm.common import arrow_texts, enter, free_shuffles, groups_by_bytes, has_rows, materialize
 from corpusloom.llm.graph import components, extend
 from corpusloom.llm.textvec import SPACED, mix, shingles, word_hashes
 
@@ -99,6 +99,7 @@ def token_sets(docs: DataFrame, text_col: str = "text", rare: int = RARE, long:
     dealt = distinct_texts(docs, text_col, blocks)
 
     def attach(table: pa.Table, counts: pa.Table) -> pa.Table:
+        enter("blocks")
         x, held = lookup_table(counts)
         names = table.column("key").to_pylist() if table.num_rows else []
         found, bounds = [np.zeros(0, U)], [np.zeros(0, np.int64)]
@@ -133,6 +134,7 @@ def verify(pairs: DataFrame, sets: DataFrame) -> DataFrame:
     import pyarrow as pa
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        enter("ngram_join")
         for batch in batches:
             na, nb = (np.asarray(batch.column(k)) for k in (2, 3))
             shared = np.array([len(np.intersect1d(np.frombuffer(x, "<u8"), np.frombuffer(y, "<u8"), assume_unique=True)) for x, y in zip(batch.column(4).to_pylist(), batch.column(5).to_pylist(), strict=True)], np.int64)

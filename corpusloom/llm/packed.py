@@ -28,8 +28,8 @@ import numpy as np
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from corpusloom.llm.bpe import STEP, VOCABULARY, codec
-from corpusloom.llm.common import AtomicFile, arrow_texts, filesystem, groups_by_bytes, scratch, text_or_empty, tokenizer_path
+from corpusloom.llm.bpe import STEP, VOCABULARY, codec, free_codecs
+from corpusloom.llm.common import AtomicFile, arrow_texts, enter, filesystem, groups_by_bytes, scratch, text_or_empty, tokenizer_path
 
 MAGIC, VERSION, HEAD = b"CLPK", 1, struct.Struct("<4sHHIQQ")
 BLOCK = 4096  # ids of a block
@@ -129,6 +129,7 @@ def write_tokens(
     def write(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         from pyspark import TaskContext
 
+        enter("bpe", free_codecs)
         c = codec(path)
         bits = width(c.tokenizer.get_vocab_size())
         wire = np.dtype("<u2" if bits <= 16 else "<u4")

@@ -24,7 +24,7 @@ import numpy as np
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from corpusloom.llm.common import arrow_texts, crc_of_id, groups_by_bytes, text_or_empty
+from corpusloom.llm.common import arrow_texts, crc_of_id, enter, groups_by_bytes, text_or_empty
 
 BITS = 16
 BUCKETS = 1 << BITS
@@ -152,6 +152,7 @@ def fit(docs: DataFrame, labels: DataFrame, id_col: str = "doc_id", text_col: st
     rows = docs.select(F.col(id_col).alias("_id"), text_or_empty(F.col(text_col)).alias("_t")).join(F.broadcast(chosen), "_id")
 
     def maps(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        enter("quality")
         for batch in batches:
             texts = arrow_texts(batch.column(1))
             for a, b in groups_by_bytes(texts, STEP):
@@ -190,6 +191,7 @@ def score(docs: DataFrame, model: NBSVM | None, text_col: str = "text", keep: di
     frame = docs.select(text_or_empty(F.col(f"`{text_col}`")).alias("_t"), *(c.alias(n) for n, c in keep.items()))
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        enter("quality")
         m = shared.value
         for batch in batches:
             texts = arrow_texts(batch.column(0))
