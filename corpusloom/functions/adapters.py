@@ -23,9 +23,8 @@ def apply_model(rows: DataFrame, model: Callable[[list], list], source: str, tar
     branch of CASE that a row does not take."""
     import pyarrow as pa
     from pyspark.sql.pandas.types import to_arrow_type
-    from pyspark.sql.types import StructType
 
-    schema = StructType(rows.schema.fields).add(target, kind) if kind.isalpha() else rows.withColumn(target, F.lit(None).cast(kind)).schema
+    schema = rows.withColumn(target, F.lit(None).cast(kind)).schema
     arrow = to_arrow_type(schema[target].dataType)
     at, names = rows.columns.index(source), [*rows.columns, target]
 
