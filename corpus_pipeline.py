@@ -34,7 +34,7 @@ def benchmark_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFr
 def token_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Token counts and digests of what is left."""
     ship(spark)
-    return bpe.encode_decode(docs, outputs=("n_tokens", "ids_sha256", "decoded_sha256"))
+    return bpe.encode_decode(docs, outputs=("n_tokens", "ids_sha256", "decoded_sha256"), most=100_000)  # stages share a worker's memory
 
 
 STAGES = [

@@ -30,8 +30,8 @@ from corpusloom.llm.common import arrow_texts, enter, groups_by_bytes, text_or_e
 
 LEAF = 1024  # characters of a leaf
 LONG = 4096  # bytes of a piece from which it goes to the tree
-MEMO = 150_000  # pieces that a worker remembers
-STEP = 2 << 20  # bytes of text handled at once
+MEMO = 400_000  # pieces that a worker remembers
+STEP = 1 << 20  # bytes of text handled at once
 #: Lower-case letters of ASCII and Latin-1; those, digits and ASCII punctuation other than the apostrophe; the runs of such a piece.
 LETTERS = re.compile(rb"(?:[a-z]|\xc3[\x9f-\xb6\xb8-\xbf]){1,64}")
 SIMPLE = re.compile(rb"(?:[!-&(-@\[-~]|\xc3[\x9f-\xb6\xb8-\xbf])+")
@@ -92,10 +92,10 @@ class TreeBPE:
 class Codec:
     """Encodes UTF-8 texts to little-endian unsigned 32-bit ids as the tokenizers library does, and decodes them."""
 
-    def __init__(self, path: str, leaf: int = LEAF, long: int = LONG):
+    def __init__(self, path: str, leaf: int = LEAF, long: int = LONG, most: int = MEMO):
         from tokenizers import Tokenizer
 
-        self.path, self.leaf, self.long = path, leaf, long
+        self.path, self.leaf, self.long, self.most = path, leaf, long, most
         self.tokenizer = Tokenizer.from_file(path)
         self.tokenizer.no_truncation()
         self.tokenizer.no_padding()
@@ -139,8 +139,8 @@ class Codec:
         return text.lower() if self.lowers and b"<|" not in text and b"\xcc" not in text and b"\xcd" not in text else text
 
     def _learn(self, pieces: set[bytes]) -> None:
-        if len(self.memo) > MEMO:
-            if len(self.again) > MEMO // 2:
+        if len(self.memo) > self.most:
+            if len(self.again) > self.most // 2:
                 self.again.clear()
             self.memo = {p: self.memo[p] for p in self.again}
         new = pieces.difference(self.memo)
@@ -210,9 +210,9 @@ class Codec:
 _codecs: dict[tuple, Codec] = {}
 
 
-def codec(path: str, leaf: int = LEAF, long: int = LONG) -> Codec:
+def codec(path: str, leaf: int = LEAF, long: int = LONG, most: int = MEMO) -> Codec:
     """One codec for each worker process."""
-    if (key := (path, leaf, long)) not in _codecs:
+    if (key := (path, leaf, long, most)) not in _codecs:
         _codecs[key] = Codec(*key)
     return _codecs[key]
 
@@ -229,11 +229,12 @@ def encode_decode(
     outputs: tuple[str, ...] = ("ids", "decoded"),
     leaf: int = LEAF,
     long: int = LONG,
+    most: int = MEMO,
 ) -> DataFrame:
     """``id_col`` and, as named in ``outputs``: ``ids`` array<int>, ``decoded`` string, ``n_tokens`` long, ``ids_sha256`` and
     ``decoded_sha256`` (digests of the ids as decimals joined by one space, and of the decoded text).
 
-    One pass without a shuffle; memory is bounded by ``STEP`` bytes of text (one text at least) and ``MEMO`` pieces.
+    One pass without a shuffle; memory is bounded by ``STEP`` bytes of text (one text at least) and ``most`` remembered pieces.
     """
     import pyarrow as pa
 
@@ -243,7 +244,7 @@ def encode_decode(
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         enter("bpe", free_codecs)
-        c = codec(path, leaf, long)
+        c = codec(path, leaf, long, most)
         decimals = [str(i) for i in range(c.tokenizer.get_vocab_size() + 1)]
         for batch in batches:
             texts = arrow_texts(batch.column(1))

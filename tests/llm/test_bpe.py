@@ -58,9 +58,8 @@ def test_long_unsplit_text(plain):
         assert ids_of(bpe.codec(PATH), text) == plain.encode(text, add_special_tokens=False).ids
 
 
-def test_memory_is_dropped_not_wrong(plain, monkeypatch):
-    monkeypatch.setattr(bpe, "MEMO", 5)
-    c = bpe.Codec(PATH)
+def test_memory_is_dropped_not_wrong(plain):
+    c = bpe.Codec(PATH, most=5)
     for _ in range(3):
         for text in ("one two three four five six seven", "eight nine ten one two", "Ünder the dog's 12"):
             assert ids_of(c, text) == plain.encode(text, add_special_tokens=False).ids
