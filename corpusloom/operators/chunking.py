@@ -15,7 +15,8 @@ def pieces_of_files(pages: DataFrame, key: str = "file_name") -> DataFrame:
 
     ``pages`` has ``key``, file_hash, page and text; null texts are skipped."""
     cut = F.transform(sentence_pieces(F.col("text")), lambda s: F.struct(s.alias("s"), F.col("page").cast("int").alias("page"), count_words(s).alias("n")))
-    rows = pages.where(F.col("text").isNotNull()).select(key, "file_hash", F.struct(F.col("page").cast("int").alias("page"), cut.alias("cut")).alias("p"))
+    dealt = pages.where(F.col("text").isNotNull()).select(key, "file_hash", "page", "text").repartition(key)  # whole texts, so that cutting runs in parallel
+    rows = dealt.select(key, "file_hash", F.struct(F.col("page").cast("int").alias("page"), cut.alias("cut")).alias("p"))
     files = rows.groupBy(key).agg(F.min("file_hash").alias("file_hash"), F.array_sort(F.collect_list("p")).alias("ps"))
     return files.select(key, "file_hash", F.flatten(F.transform("ps", lambda p: p.cut)).alias("pieces")).where(F.size("pieces") > 0)
 

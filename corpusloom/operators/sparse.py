@@ -11,9 +11,10 @@ from corpusloom.functions.sparse import term_index, term_weight, terms
 def sparse_vectors(rows: DataFrame, key: str, *carry: str, text: str = "text") -> DataFrame:
     """(``key``, *carry, idx int, weight double): one row a term slot; terms that share a slot add up before weighting.
 
-    Rows are dealt by ``key`` once; counting by term and then by slot both use that."""
-    exploded = rows.select(key, *carry, F.explode(terms(F.col(text))).alias("term"))
-    counted = exploded.repartition(key).groupBy(key, *carry, "term").agg(F.count("*").alias("tf"))
+    Texts are dealt by ``key`` once, before they are cut up; counting by term and then by slot both use that."""
+    dealt = rows.select(key, *carry, text).repartition(key)
+    exploded = dealt.select(key, *carry, F.explode(terms(F.col(text))).alias("term"))
+    counted = exploded.groupBy(key, *carry, "term").agg(F.count("*").alias("tf"))
     slots = counted.withColumn("idx", term_index(F.col("term"))).groupBy(key, *carry, "idx").agg(F.sum("tf").alias("tf"))
     return slots.select(key, *carry, "idx", term_weight(F.col("tf")).alias("weight"))
 
