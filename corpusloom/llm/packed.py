@@ -15,7 +15,7 @@ a temporary name and then renamed; a task that runs again replaces its file by a
 row (shard, ids) for each shard, which makes the running totals.
 
 Defined results: null text is empty text (only the end id is stored).  Rows with a null id come first; rows with equal
-ids stand in the order of their texts.  An empty table gives no shard and an empty result.
+ids stand in the order of a hash of their texts.  An empty table gives no shard and an empty result.
 """
 
 from __future__ import annotations
@@ -155,7 +155,8 @@ def write_tokens(
             at += len(col)
 
     rows = docs.select(F.col(id_col).alias("id"), text_or_empty(F.col(text_col)).alias("text"))
-    ordered = rows.repartitionByRange(shards, "id").sortWithinPartitions("id", "text")
+    rows = rows.withColumn("h", F.xxhash64("text"))  # so that even rows of one id can be dealt to several shards
+    ordered = rows.repartitionByRange(shards, "id", "h").sortWithinPartitions("id", "h", "text").drop("h")
     index_path = folder.rstrip("/") + "-index"
     ordered.mapInArrow(write, f"id {id_type}, shard string, ordinal int, shard_ids bigint").write.parquet(index_path)
     index = spark.read.parquet(index_path)
