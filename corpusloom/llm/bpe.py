@@ -31,9 +31,8 @@ from corpusloom.llm.common import arrow_texts, enter, groups_by_bytes, text_or_e
 LEAF = 1024  # characters of a leaf
 LONG = 4096  # bytes of a piece from which it goes to the tree
 MEMO = 400_000  # pieces that a worker remembers
-STEP = 1 << 20  # bytes of text handled at once
-#: Lower-case letters of ASCII and Latin-1; those, digits and ASCII punctuation other than the apostrophe; the runs of such a piece.
-LETTERS = re.compile(rb"(?:[a-z]|\xc3[\x9f-\xb6\xb8-\xbf]){1,64}")
+STEP = 4 << 20  # bytes of text handled at once
+#: Lower-case letters of ASCII and Latin-1, digits and ASCII punctuation other than the apostrophe; the runs of such a piece.
 SIMPLE = re.compile(rb"(?:[!-&(-@\[-~]|\xc3[\x9f-\xb6\xb8-\xbf])+")
 RUNS = re.compile(rb"(?:[a-z]|\xc3[\x9f-\xb6\xb8-\xbf])+|[0-9]|[!-&(-/:-@\[-`{-~]+")
 #: The part of a split pattern, as JSON, that keeps runs of letters and runs of punctuation apart.
@@ -100,7 +99,6 @@ class Codec:
         self.tokenizer.no_truncation()
         self.tokenizer.no_padding()
         self.memo: dict[bytes, bytes] = {}
-        self.again: set[bytes] = set()  # pieces that more than one step had
         spec = json.loads(self.tokenizer.to_str())
         marked = all("<|" in a["content"] for a in spec["added_tokens"])  # special tokens can be told by this
         self.lowers = marked and '"Lowercase"' in json.dumps(spec["normalizer"])
@@ -139,36 +137,37 @@ class Codec:
         return text.lower() if self.lowers and b"<|" not in text and b"\xcc" not in text and b"\xcd" not in text else text
 
     def _learn(self, pieces: set[bytes]) -> None:
-        if len(self.memo) > self.most:
-            if len(self.again) > self.most // 2:
-                self.again.clear()
-            self.memo = {p: self.memo[p] for p in self.again}
+        if len(self.memo) > self.most:  # what this step has again is what is worth keeping
+            self.memo = {p: self.memo[p] for p in pieces if p in self.memo}
         new = pieces.difference(self.memo)
-        self.again |= pieces - new
         batch = getattr(self.tokenizer, "encode_batch_fast", self.tokenizer.encode_batch)
-        simple = self._learn_simple(new) if self.bare else set()
-        short = [p for p in new if p not in simple and len(p) <= self.long]
+        rest = self._learn_simple(new) if self.bare else new
+        short = [p for p in rest if len(p) <= self.long]
         for p, e in zip(short, batch([p.decode() for p in short], add_special_tokens=False), strict=True):
             self.memo[p] = array("I", e.ids).tobytes()
-        for p in new:
+        for p in rest:
             if len(p) > self.long:
                 self.memo[p] = np.array(self.encode_unsplit(p.decode()), "<u4").tobytes()
 
-    def _learn_simple(self, pieces: set[bytes]) -> set[bytes]:
+    def _learn_simple(self, pieces: set[bytes]) -> list[bytes]:
         """Pieces of lower-case letters, digits and punctuation are split here and encoded many at a time without
-        normalisation, which would leave them as they are; the ids that close a pre-token show where each piece ends."""
+        normalisation, which would leave them as they are; the ids that close a pre-token show where each piece ends.
+        Returns the other pieces."""
         letters, bare = self.bare
-        plain, split, count = [], [], []
+        plain, split, count, rest = [], [], [], []
         for p in pieces:
-            if LETTERS.fullmatch(p):
+            core = p.rstrip(b".,;:!?")
+            if core.isalpha() and core.islower() and len(p) <= self.long:  # a word of ASCII letters, punctuation after it
                 plain.append(p)
-                split.append(p)
-                count.append(1)
+                split.append(p if len(core) == len(p) else core + b" " + p[len(core) :])
+                count.append(1 if len(core) == len(p) else 2)
             elif len(p) <= self.long and b"<|" not in p and SIMPLE.fullmatch(p):
                 runs = RUNS.findall(p)
                 plain.append(p)
                 split.append(b" ".join(runs))
                 count.append(len(runs))
+            else:
+                rest.append(p)
         texts = [b" ".join(split[i : i + 512]).decode("latin-1").translate(letters) for i in range(0, len(split), 512)]
         for i, e in enumerate(bare.encode_batch_fast(texts, add_special_tokens=False)):
             ids = np.array(e.ids, "<u4")
@@ -176,7 +175,7 @@ class Codec:
             cuts = [0, *(4 * closing[np.cumsum(count[512 * i : 512 * (i + 1)]) - 1]).tolist()]
             data = ids.tobytes()
             self.memo.update(zip(plain[512 * i : 512 * (i + 1)], [data[a:b] for a, b in pairwise(cuts)], strict=True))
-        return set(plain)
+        return rest
 
     def encode_unsplit(self, text: str) -> list[int]:
         """Ids of a text; its pre-tokens longer than a leaf go to the tree."""

@@ -135,7 +135,7 @@ _libc: list = []
 def enter(operator: str, free=None) -> None:
     """Called by a task when it begins: frees what other operators keep in this worker process (``free`` frees what this one will
     keep), and gives memory that is no longer used back to the system.  The first call sets the C library's allocator to few
-    arenas and to direct mappings for large arrays, so that a worker shrinks again after a large batch."""
+    arenas, so that a worker shrinks again after a large batch."""
     import ctypes
 
     import pyarrow as pa
@@ -149,8 +149,7 @@ def enter(operator: str, free=None) -> None:
     try:
         if not _libc:
             _libc.append(ctypes.CDLL("libc.so.6"))
-            for parameter, value in ((-8, 2), (-3, 4 << 20), (-1, 16 << 20)):  # arenas, mapping threshold, trim threshold
-                _libc[0].mallopt(parameter, value)
+            _libc[0].mallopt(-8, 2)  # arenas
         _libc[0].malloc_trim(0)
     except (OSError, AttributeError):  # another C library
         pass
