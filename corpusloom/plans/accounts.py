@@ -98,7 +98,7 @@ def question_guard(spark, d):
 
 
 def control_strip(spark, d):
-    rows = v.table(spark, d, "documents").select("doc_id", F.concat(F.lit("\x00\x07"), F.left("text", F.lit(200)), F.lit("\x1f\x7f\n")).alias("question"))
+    rows = v.table(spark, d, "documents").select("doc_id", F.concat(F.lit("\x00\x07"), F.col("text"), F.lit("\x1f\x7f\n")).alias("question"))
     return rows.select("doc_id", F.md5(g.guard_question(F.col("question"))["clean"].cast("binary")).alias("clean_md5"))
 
 
@@ -131,7 +131,7 @@ def analysis_guard(spark, d):
 def _answers(spark, d):
     """Answers that cite, and some that do not."""
     k = F.pmod("id", F.lit(5))
-    cited = F.concat(F.lit("See [Source: file"), k.cast("string"), F.lit(".pdf, page 2, Chunk #1] and [Source:  b.pdf , page 1] and [Source: file"), k.cast("string"), F.lit(".pdf, page 2, Chunk #1] "), F.left("answer", F.lit(80)))
+    cited = F.concat(F.lit("See [Source: file"), k.cast("string"), F.lit(".pdf, page 2, Chunk #1] and [Source:  b.pdf , page 1] and [Source: file"), k.cast("string"), F.lit(".pdf, page 2, Chunk #1] "), F.col("answer"))
     text = F.when(k == 0, F.lit("  I cannot find this information in the available documents. ")).when(k == 1, F.lit("")).when(k == 2, F.lit("short")).otherwise(cited)
     return v.audit(spark, d).select("id", text.alias("answer"), F.pmod("id", F.lit(4)).cast("int").alias("n_chunks"), "data_source", "faithfulness", "relevance")
 
@@ -241,7 +241,7 @@ _S = lambda x: _STRIP.format(x=x)
 _ROUTE = f"CASE WHEN {_any('lower(question)', g.HYBRID_PHRASES)} THEN 'hybrid' WHEN {_any('lower(question)', g.SQL_PHRASES)} THEN 'sql' ELSE 'general' END"
 _IDK = v._quoted("  " + g.CANNOT_ANSWER + " ")
 _ANSWERS = f"""{with_views('v_audit')}, v_answers AS (SELECT id, CASE id % 5 WHEN 0 THEN {_IDK} WHEN 1 THEN '' WHEN 2 THEN 'short'
-    ELSE 'See [Source: file' || (id % 5) || '.pdf, page 2, Chunk #1] and [Source:  b.pdf , page 1] and [Source: file' || (id % 5) || '.pdf, page 2, Chunk #1] ' || left(answer, 80) END AS answer,
+    ELSE 'See [Source: file' || (id % 5) || '.pdf, page 2, Chunk #1] and [Source:  b.pdf , page 1] and [Source: file' || (id % 5) || '.pdf, page 2, Chunk #1] ' || answer END AS answer,
     id % 4 AS n_chunks, data_source, faithfulness, relevance FROM v_audit)"""
 _FOUND = f"list_transform(regexp_extract_all(answer, '\\[Source:\\s*([^\\]]+)\\]', 1), lambda s: {_S('s')})"
 
@@ -307,7 +307,7 @@ ORACLE_SQL = {
     "question_guard": f"""{with_views('v_asked')}, x AS (SELECT query_id, {_S("CASE WHEN query_id % 9 = 0 THEN repeat(question, 40) ELSE question END")} AS t FROM v_asked),
       y AS (SELECT query_id, t, regexp_replace(t, '[\\x00-\\x08\\x0b\\x0c\\x0e-\\x1f\\x7f]', '', 'g') AS clean FROM x)
       SELECT query_id, md5(clean) AS clean_md5, CASE WHEN t = '' THEN 'empty' WHEN length(t) > 2000 THEN 'too long' WHEN regexp_matches(clean, '{g.INJECTION}') THEN 'invalid content' END AS reason FROM y""",
-    "control_strip": f"""SELECT doc_id, md5(regexp_replace({_S("chr(1) || chr(7) || left(text, 200) || chr(31) || chr(127) || chr(10)")}, '[\\x00-\\x08\\x0b\\x0c\\x0e-\\x1f\\x7f]', '', 'g')) AS clean_md5 FROM documents""",
+    "control_strip": f"""SELECT doc_id, md5(regexp_replace({_S("chr(1) || chr(7) || text || chr(31) || chr(127) || chr(10)")}, '[\\x00-\\x08\\x0b\\x0c\\x0e-\\x1f\\x7f]', '', 'g')) AS clean_md5 FROM documents""",
     "route_questions": f"""{with_views('v_asked')}, x AS (SELECT query_id, {_ROUTE} AS query_type FROM v_asked), y AS (SELECT *, CASE WHEN query_type IN ('sql', 'hybrid') THEN query_type ELSE 'rag' END AS data_source FROM x)
       SELECT *, CASE WHEN data_source IN ('sql', 'hybrid') THEN 'lookup' ELSE 'retrieve' END AS next_step, CASE WHEN data_source = 'hybrid' THEN 'retrieve' ELSE 'synthesize' END AS after_lookup FROM y""",
     "analysis_guard": f"""{with_views('v_asked')}, k AS (SELECT query_id, question, query_id % 6 AS k FROM v_asked)

@@ -85,11 +85,11 @@ def hybrid_retrieve(spark, d):
 
 
 def parent_expand(spark, d):
-    """Children of every fiftieth document, each with its parent's text."""
-    files = ch.pieces_of_files(v.pages(spark, d).where(F.pmod("doc_id", F.lit(50)) == 0))
+    """Children of every document, each with its parent's text."""
+    files = ch.pieces_of_files(v.pages(spark, d))
     parents = ch.parents_of(files)
     hits = ch.chunk_children(parents).select("file_name", "chunk_index", "parent_id", "text", F.col("file_name").alias("source"), "page", (F.col("n_words") / 7.0).alias("score"))
-    rows = r.expand_parents(hits, parents)
+    rows = r.expand_parents(hits, parents.select("parent_id", "text").dropDuplicates(["parent_id"]))  # as stored: equal files share parents
     return rows.select("file_name", F.col("chunk_index").cast(LONG).alias("chunk_index"), "score", "source", F.col("page").cast(LONG).alias("page"), F.md5(F.col("text").cast("binary")).alias("text_md5"))
 
 
@@ -104,7 +104,7 @@ def prompt_context(spark, d):
     docs = v.points(spark, d).select("doc_id", "text")
     chunks = r.rerank(_fused(spark, d), 4).join(docs, "doc_id")
     chunks = chunks.select("query_id", (F.col("rank") - 1).alias("pos"), "text", F.concat(F.lit("doc_"), F.col("doc_id").cast("string")).alias("source"), F.lit(1).alias("page"))
-    rows = r.prompt(chunks, most_chars=400)
+    rows = r.prompt(chunks)
     return rows.select("query_id", F.md5(r.user_message(F.col("context"), F.lit("What?")).cast("binary")).alias("message_md5"), F.md5(r.user_message(F.col("context"), F.lit("What?"), F.lit("none")).cast("binary")).alias("hybrid_md5"))
 
 
@@ -179,7 +179,7 @@ QUERIES = {
     "retrieval_frequency_monitor": retrieval_frequency_monitor,
 }
 
-_BLOCK = "'[Chunk #' || (place + 1) || '] Source: doc_' || doc_id || ', page 1' || chr(10) || CASE WHEN length(t) > 400 THEN left(t, 400) || '... [truncated]' ELSE t END"
+_BLOCK = "'[Chunk #' || (place + 1) || '] Source: doc_' || doc_id || ', page 1' || chr(10) || CASE WHEN length(t) > 3000 THEN left(t, 3000) || '... [truncated]' ELSE t END"
 _TAIL = "' using [Source: filename, page N, Chunk #K]):'"
 
 ORACLE_SQL = {
@@ -196,7 +196,7 @@ ORACLE_SQL = {
     "hybrid_retrieve": f"{_MMR} SELECT query_id, pos, doc_id, tenant_id, round(score, 4) AS score, md5(text) AS text_md5 FROM chosen JOIN v_points USING (doc_id)",
     "parent_expand": f"""SELECT file_name, chunk_index, round(n_words / 7.0::DOUBLE, 4) AS score, file_name AS source, page, parent_md5 AS text_md5 FROM (
       {tp.ORACLE_SQL['chunk_children'].replace("SELECT file_name, row_number()", "SELECT file_name, md5(array_to_string(s, ' ')) AS parent_md5, row_number()")})
-      WHERE CAST(regexp_extract(file_name, '[0-9]+') AS BIGINT) % 50 = 0""",
+""",
     "reorder_context": f"""{_sql_fused()}, z AS (SELECT *, count(*) OVER (PARTITION BY query_id) AS n, rank - 1 AS pos FROM fused)
       SELECT query_id, doc_id, CAST(CASE WHEN n <= 2 THEN pos WHEN pos = 0 THEN 0 WHEN pos = 1 THEN n - 1 ELSE pos - 1 END AS BIGINT) AS place FROM z""",
     "prompt_context": f"""{_sql_fused()}, z AS (SELECT query_id, doc_id, regexp_replace(coalesce(text, ''), '^\\s+|\\s+$', '', 'g') AS t, count(*) OVER (PARTITION BY query_id) AS n, rank - 1 AS pos FROM fused JOIN v_points USING (doc_id) WHERE rank <= 4),
