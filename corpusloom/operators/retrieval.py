@@ -139,10 +139,10 @@ def cache_admits(data_source: Column, faithfulness: Column, relevance: Column, e
 
 def retrieval_frequency(hits: DataFrame, share: float = 0.9, query: str = "query_id", item: str = "doc_id") -> DataFrame:
     """Items and the share of queries that retrieved them; ``suspicious`` from ``share`` on."""
-    total = hits.select(F.countDistinct(query).alias("_q"))
+    total = hits.groupBy(F.lit(1).alias("_one")).agg(F.countDistinct(query).alias("_q"))
     counts = hits.groupBy(item).agg(F.countDistinct(query).alias("n_queries"))
     rate = F.round(F.col("n_queries") / F.col("_q"), 6)
-    return counts.join(F.broadcast(total)).select(item, "n_queries", rate.alias("rate"), (rate >= share).alias("suspicious"))  # one row is broadcast
+    return counts.withColumn("_one", F.lit(1)).join(F.broadcast(total), "_one").select(item, "n_queries", rate.alias("rate"), (rate >= share).alias("suspicious"))  # one row is broadcast
 
 
 def hybrid_lists(dense: DataFrame, sparse: DataFrame) -> DataFrame:
