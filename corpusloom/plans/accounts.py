@@ -92,7 +92,8 @@ def intent_fallback(spark, d):
 
 
 def question_guard(spark, d):
-    rows = v.asked(spark, d).select("query_id", F.when(F.pmod("query_id", F.lit(9)) == 0, F.repeat("question", F.lit(40))).otherwise(F.col("question")).alias("question"))
+    """As its SQL, over the start of each turn; digests and lengths of whole turns would differ from it."""
+    rows = v.asked(spark, d, v.ASKED_START).select("query_id", F.when(F.pmod("query_id", F.lit(9)) == 0, F.repeat("question", F.lit(40))).otherwise(F.col("question")).alias("question"))
     got = g.guard_question(F.col("question"))
     return rows.select("query_id", F.md5(got["clean"].cast("binary")).alias("clean_md5"), got["reason"].alias("reason"))
 
@@ -109,8 +110,8 @@ def route_questions(spark, d):
 
 
 def _replies(spark, d):
-    """Model replies as JSON, some fenced, some broken."""
-    q = v.asked(spark, d)
+    """Model replies as JSON, some fenced, some broken; as the SQL, to the start of each turn."""
+    q = v.asked(spark, d, v.ASKED_START)
     k = F.pmod("query_id", F.lit(6))
     bodies = [
         '{"query_type": "comparative", "needs_decomposition": true, "sub_questions": ["a?", " ", "b?", "c?", "d?", "e?"]}',

@@ -72,11 +72,12 @@ def transactions(spark: SparkSession, sf_dir: str) -> DataFrame:
     )
 
 
-def asked(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """User turns as questions, each behind a phrase that routing rules look for."""
+def asked(spark: SparkSession, sf_dir: str, most: int | None = None) -> DataFrame:
+    """User turns as questions, each behind a phrase that routing rules look for; ``most``: only so many characters of the turn."""
     c = table(spark, sf_dir, "conversations").where("role = 'user'")
     phrase = F.element_at(F.array(*map(F.lit, PHRASES)), (F.pmod(F.col("conv_id") * 3 + F.col("turn"), F.lit(len(PHRASES))) + 1).cast("int"))
-    return c.select((F.col("conv_id") * 100 + F.col("turn")).alias("query_id"), F.concat(phrase, F.left("text", F.lit(60))).alias("question"))
+    text = F.col("text") if most is None else F.left("text", F.lit(most))
+    return c.select((F.col("conv_id") * 100 + F.col("turn")).alias("query_id"), F.concat(phrase, text).alias("question"))
 
 
 def audit(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -128,7 +129,8 @@ def _quoted(x: str) -> str:
     return "'" + x.replace("'", "''") + "'"
 
 
-#: The same views as SQL, to be used as common table expressions.
+#: The same views as SQL, to be used as common table expressions; v_asked has the first ASKED_START characters of a turn only.
+ASKED_START = 60
 SQL = {
     "v_pages": "SELECT doc_id, 'doc_' || doc_id || '.txt' AS file_name, sha256(text) AS file_hash, source AS tenant_id, 1 AS page, text FROM documents",
     "v_multipage": "SELECT conv_id, 'conv_' || conv_id || '.eml' AS file_name, sha256('conv_' || conv_id || '.eml') AS file_hash, CAST(turn + 1 AS INTEGER) AS page, text FROM conversations",
