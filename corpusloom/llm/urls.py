@@ -5,13 +5,14 @@ decides, boosted trees do: features are length, path depth, digit ratio, charact
 dots of the host, and suffix statistics (smoothed log-odds of the last one and two host labels among labelled urls).
 
 Training: features are cut to ``BINS`` bins at fixed edges; labelled rows with equal bins are one weighted cell.  At most
-``MAX_TRAIN`` labelled urls, those with the smallest hash, are learned from (the parameter is the sample's bound).  Every
-level of every tree is one aggregate over (node, feature, bin) that sums gradients and weights; the driver gets these
+``MAX_TRAIN`` distinct labelled urls, those with the smallest hash, are learned from (the parameter is the sample's bound),
+half of each label where both have that many, else more of the other.  A url weighs as often as it occurs; the labels weigh
+in the sample as in all labelled rows.  Every level of every tree is one aggregate over (node, feature, bin) that sums gradients and weights; the driver gets these
 sums (nodes x features x bins rows, whatever the input) and picks the splits.  A model is a list of trees and becomes one
 CASE expression, so scoring is a projection inside whole-stage code.
 
-The suffix statistics table has a row for each suffix of the bounded sample that occurs ``MIN_SUFFIX`` times, so it
-has at most MAX_TRAIN / MIN_SUFFIX rows; it is broadcast.
+The suffix statistics are counted over all labelled rows and have a row for each suffix that occurs ``MIN_SUFFIX`` times;
+how they join is left to the planner.
 
 Defined results: a null url or one without ``://`` has empty host and path, fits no rule, and gets the model's verdict
 like any other; without labelled urls of both kinds the model allows.  Repeated rows give repeated rows; an empty table
@@ -123,29 +124,38 @@ def _with_features(urls: DataFrame) -> DataFrame:
 
 
 def _with_statistics(rows: DataFrame, stats: DataFrame | None) -> DataFrame:
-    """Adds suffix1 and suffix2; 0 where a suffix is unknown.  ``stats`` is bounded (see above)."""
+    """Adds suffix1 and suffix2; 0 where a suffix is unknown."""
     if stats is None:
         return rows.withColumns({"suffix1": F.lit(0.0), "suffix2": F.lit(0.0)})
     for k in ("1", "2"):
         own = stats.where(F.col("kind") == f"s{k}").select(F.col("suffix").alias(f"s{k}"), F.col("odds").alias(f"suffix{k}"))
-        rows = rows.join(F.broadcast(own), f"s{k}", "left").withColumn(f"suffix{k}", F.coalesce(F.col(f"suffix{k}"), F.lit(0.0)))
+        rows = rows.join(own, f"s{k}", "left").withColumn(f"suffix{k}", F.coalesce(F.col(f"suffix{k}"), F.lit(0.0)))
     return rows
 
 
 def fit(labelled: DataFrame, max_train: int = MAX_TRAIN) -> Model:
     """Learn from (url, label) rows, label 1 for block and 0 for allow."""
     rows = labelled.where(F.col("label").isin(0, 1) & F.col("url").isNotNull()).select("url", F.col("label").cast("double").alias("label"))
-    sample = _with_features(rows.orderBy(F.xxhash64("url"), "url", "label").limit(max_train))
+    rows = materialize(rows.groupBy("url", "label").agg(F.count("*").cast("double").alias("w")), "url-labelled")
+    all_rows = {r["label"]: r for r in rows.groupBy("label").agg(F.count("*").alias("urls"), F.sum("w").alias("w")).collect()}  # two rows
+    if len(all_rows) < 2:
+        return Model(-1.0, [])
+    counted = rows.withColumns(suffixes(host_and_path(F.col("url"))[0]))
     pairs = F.explode(F.array(*(F.struct(F.lit(k).alias("kind"), F.col(k).alias("suffix")) for k in ("s1", "s2")))).alias("p")
-    counts = sample.select("label", pairs).groupBy("p.kind", "p.suffix").agg(F.count("*").alias("n"), F.sum("label").alias("block"))
+    counts = counted.select("label", "w", pairs).groupBy("p.kind", "p.suffix").agg(F.sum("w").alias("n"), F.sum(F.col("w") * F.col("label")).alias("block"))
     stats = counts.where(F.col("n") >= MIN_SUFFIX).select("kind", "suffix", F.log((F.col("block") + 1.0) / (F.col("n") - F.col("block") + 1.0)).alias("odds"))
     stats = materialize(stats, "url-suffixes")
+    least = {x: min(r["urls"], max(1, max_train // 2)) for x, r in all_rows.items()}
+    most = {x: min(r["urls"], max(least[x], max_train - least[1.0 - x])) for x, r in all_rows.items()}
+    first = [rows.where(F.col("label") == x).orderBy(F.xxhash64("url"), "url").limit(n) for x, n in most.items()]
+    sample = _with_features(first[0].unionByName(first[1]))
     bins = {f: sum((F.when(F.col(f) >= e, 1).otherwise(0) for e in edges), F.lit(0)).alias(f) for f, edges in EDGES.items()}
-    cells = _with_statistics(sample, stats).select("label", *bins.values()).groupBy("label", *EDGES).agg(F.count("*").cast("double").alias("w"))
+    cells = _with_statistics(sample, stats).select("label", "w", *bins.values()).groupBy("label", *EDGES).agg(F.sum("w").alias("w"))
     cells = materialize(cells.coalesce(1), "url-cells")
     n = {r["label"]: r["w"] for r in cells.groupBy("label").agg(F.sum("w").alias("w")).collect()}  # two rows
-    if len(n) < 2:
-        return Model(-1.0, [])
+    share = sum(n.values()) / sum(r["w"] for r in all_rows.values())
+    n, drawn = {x: r["w"] * share for x, r in all_rows.items()}, n
+    cells = cells.withColumn("w", F.col("w") * F.when(F.col("label") == 1.0, n[1.0] / drawn[1.0]).otherwise(n[0.0] / drawn[0.0]))
     base = math.log(n[1.0] / n[0.0])
     trees: list = []
     for _ in range(TREES):

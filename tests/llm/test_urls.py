@@ -70,3 +70,20 @@ def test_plan_is_native(spark, tiny):
     for r in got:
         host, path, rule, verdict = cut(pages[r["page_id"]])
         assert (r["host"], r["path"], r["rule"]) == (host, path, rule) and r["verdict"] in ("block", "allow") and verdict in (None, r["verdict"])
+
+
+def test_hot_url_does_not_fill_the_sample(spark):
+    """A url that alone has more rows than the sample has places, with a hash below all others."""
+    rows = [(f"http://site{i % 7}.com/{'1' * (30 + i % 9)}{i}", 1) if i % 2 else (f"http://site{i % 7}.com/about/us{'x' * (i % 9)}/{i}", 0) for i in range(100)]
+    made = [(f"http://hot.com/about/{i}", 0) for i in range(2000)]
+    hashes = spark.createDataFrame(made + rows, "url string, label int").select("url", "label", F.xxhash64("url").alias("h")).orderBy("h").collect()
+    hot = next(r["url"] for r in hashes if r["url"].startswith("http://hot.com"))
+    model = urls.fit(spark.createDataFrame([(hot, 0)] * 60 + rows, "url string, label int"), 40)
+    pages = spark.createDataFrame([(1, "http://other.com/99999999999999999999999999999999"), (2, "http://other.com/about/team")], "page_id long, url string")
+    assert model.trees and {r["page_id"]: r["verdict"] for r in urls.judge(pages, model, rules=()).collect()} == {1: "block", 2: "allow"}
+
+
+def test_suffixes_are_counted_over_all_labelled_rows(spark):
+    rows = [(f"http://a{i}.{'bad' if i % 2 else 'good'}/x/{i}", i % 2) for i in range(400)]
+    model = urls.fit(spark.createDataFrame(rows, "url string, label int"), 10)
+    assert {r["suffix"] for r in model.stats.where("kind = 's1'").collect()} == {"bad", "good"}
