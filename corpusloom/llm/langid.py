@@ -84,8 +84,8 @@ class NaiveBayes:
         self.matrix = np.ascontiguousarray(logs.T.astype(np.float32))
         self.priors = np.log((priors + 1.0) / (priors + 1.0).sum())
 
-    def score(self, texts: list[str]) -> tuple[list[int], list[float]]:
-        """Best language and score of each text."""
+    def score(self, texts: list[str]) -> tuple[list[int], list[float], list[bool]]:
+        """Best language and score of each text, and whether that language makes the text likelier than n-grams drawn evenly do."""
         h, own = grams(texts)
         n = np.bincount(own, minlength=len(texts))
         sums = np.stack([np.bincount(own, weights=self.matrix[:, k][h], minlength=len(texts)) for k in range(len(self.languages))], axis=1)
@@ -94,7 +94,8 @@ class NaiveBayes:
         tempered = sums * np.minimum(1.0, EVIDENCE / np.maximum(n, 1))[:, None] + self.priors
         tempered = np.exp(tempered - tempered.max(axis=1, keepdims=True))
         tempered /= tempered.sum(axis=1, keepdims=True)
-        return best.tolist(), tempered[np.arange(len(texts)), best].tolist()
+        every = np.arange(len(texts))
+        return best.tolist(), tempered[every, best].tolist(), (sums[every, best] >= -n * np.log(self.matrix.shape[0])).tolist()
 
 
 def fit(rows: DataFrame, text_col: str = "text", lang_col: str = "lang") -> NaiveBayes | None:
@@ -149,16 +150,18 @@ def arrow_batches(f):
     return run
 
 
-def predict(docs: DataFrame, model: NaiveBayes | None, text_col: str = "text", keep: dict[str, Column] | None = None) -> DataFrame:
-    """``keep`` (name: column) with lang_pred string and score double for each row; one pass, no shuffle."""
+def predict(docs: DataFrame, model: NaiveBayes | None, text_col: str = "text", keep: dict[str, Column] | None = None, fits: bool = False) -> DataFrame:
+    """``keep`` (name: column) with lang_pred string and score double for each row, and with ``fits`` a boolean of that name: false
+    for ``und`` and where the text speaks against every language that was learned; one pass, no shuffle."""
     import pyarrow as pa
 
     keep = {c: F.col(f"`{c}`") for c in docs.columns} if keep is None else keep
     text = F.col(f"`{text_col}`")
     has_letter = F.coalesce(text.rlike(r"\p{L}"), F.lit(False))
     if model is None:
-        return docs.select(*(c.alias(n) for n, c in keep.items()), F.lit("und").alias("lang_pred"), F.lit(0.0).alias("score"))
-    shared, names = docs.sparkSession.sparkContext.broadcast(model), [*keep, "lang_pred", "score"]
+        und = [F.lit("und").alias("lang_pred"), F.lit(0.0).alias("score"), F.lit(False).alias("fits")]
+        return docs.select(*(c.alias(n) for n, c in keep.items()), *und[: 2 + fits])
+    shared, names = docs.sparkSession.sparkContext.broadcast(model), [*keep, "lang_pred", "score", "fits"][: len(keep) + 2 + fits]
     frame = docs.select(text_or_empty(text).alias("_t"), has_letter.alias("_h"), *(c.alias(n) for n, c in keep.items()))
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -166,22 +169,27 @@ def predict(docs: DataFrame, model: NaiveBayes | None, text_col: str = "text", k
         m = shared.value
         for batch in batches:
             texts, letters = batch.column(0).to_pylist(), batch.column(1).to_pylist()
-            lang, score = [], []
+            lang, score, like = [], [], []
             for a, b in groups_by_bytes(texts, STEP):
-                best, s = m.score(texts[a:b])
+                best, s, own = m.score(texts[a:b])
                 lang += [m.languages[k] if y else "und" for k, y in zip(best, letters[a:b], strict=True)]
                 score += [v if y else 0.0 for v, y in zip(s, letters[a:b], strict=True)]
-            yield pa.RecordBatch.from_arrays([*batch.columns[2:], pa.array(lang, pa.string()), pa.array(score, pa.float64())], names)
+                like += [v and y for v, y in zip(own, letters[a:b], strict=True)]
+            found = [pa.array(lang, pa.string()), pa.array(score, pa.float64()), pa.array(like, pa.bool_())]
+            yield pa.RecordBatch.from_arrays([*batch.columns[2:], *found[: 2 + fits]], names)
 
     schema = frame.drop("_t", "_h").schema.add("lang_pred", "string").add("score", "double")
-    return frame.mapInArrow(run, schema)
+    return frame.mapInArrow(run, schema.add("fits", "boolean") if fits else schema)
 
 
-def keep_known(docs: DataFrame, text_col: str = "text", lang_col: str = "lang", least: float = 0.5) -> DataFrame:
-    """The rows of ``docs``, all columns, whose language is one that was learned, with a score of ``least`` or more."""
+def keep_known(docs: DataFrame, text_col: str = "text", lang_col: str = "lang") -> DataFrame:
+    """The rows of ``docs``, all columns, that have a letter and do not speak against every language that was learned; if none was
+    learned, all that have a letter."""
+    model = fit(docs, text_col, lang_col)
+    if model is None:
+        return docs.where(F.col(f"`{text_col}`").rlike(r"\p{L}"))
     row = F.struct(*(F.col(f"`{c}`") for c in docs.columns))
-    found = predict(docs, fit(docs, text_col, lang_col), text_col, {"_row": row})
-    return found.where((F.col("lang_pred") != "und") & (F.col("score") >= least)).select("_row.*")
+    return predict(docs, model, text_col, {"_row": row}, fits=True).where("fits").select("_row.*")
 
 
 def query(spark: SparkSession, sf_dir: str) -> DataFrame:

@@ -65,6 +65,19 @@ def test_keep_known(spark):
     assert all(any(ch.isalpha() for ch in r["text"]) for r in kept.collect())
 
 
+def test_keep_known_without_languages(spark):
+    rows = [(1, "some words", None, None), (2, "12 34", None, None), (3, None, None, None), (4, "слова", None, None)]
+    assert {r["doc_id"] for r in langid.keep_known(documents(spark, rows)).collect()} == {1, 4}
+
+
+def test_keep_known_between_like_languages(spark):
+    """Texts that several languages share stay, although no language has half of the posterior; an unknown script goes."""
+    rows = [(i, "the cat sat on the mat and the dog ran", f"l{i % 5}", None) for i in range(50)]
+    rows += [(100, "the cat", None, None), (101, "совсем другие слова", None, None)]
+    kept = {r["doc_id"] for r in langid.keep_known(documents(spark, rows)).collect()}
+    assert kept == {*range(50), 100}
+
+
 def test_held_out_accuracy(spark):
     d = "/root/testdata/sf0.01"
     got = langid.query(spark, d).join(spark.read.parquet(f"{d}/documents.parquet").select("doc_id", "lang"), "doc_id").where("held_out")
