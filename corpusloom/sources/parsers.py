@@ -423,7 +423,10 @@ def parse_files(files: DataFrame, vision: Vision = blind, keep: tuple[str, ...]
 
 
 def read_files(spark, path: str, vision: Vision = blind, most_bytes: int = 512 << 20) -> DataFrame:
-    """Pages of all files below a path; longer files are refused by size before they are read."""
+    """Pages of all files below a path; a longer file is not parsed, and its one row has an error that tells its size."""
     files = spark.read.format("binaryFile").option("recursiveFileLookup", "true").load(path)
     small = F.when(F.col("length") <= most_bytes, F.col("content"))
-    return parse_files(files.select("path", small.alias("content"), F.sha2("content", 256).alias("file_hash")), vision, ("file_hash",))
+    rows = parse_files(files.select("path", small.alias("content"), F.sha2("content", 256).alias("file_hash"), "length"), vision, ("file_hash", "length"))
+    long = F.col("length") > most_bytes
+    told = F.concat(F.lit("larger than most_bytes: "), F.col("length").cast("string"), F.lit(f" of {most_bytes} bytes"))
+    return rows.withColumn("error", F.when(long, told).otherwise(F.col("error"))).drop("length")

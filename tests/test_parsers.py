@@ -139,3 +139,13 @@ def test_files_of_a_folder(spark, tmp_path):
     rows = {r["path"].rsplit("/", 1)[1]: r for r in p.read_files(spark, str(tmp_path)).collect()}
     assert rows["a.html"]["text"] == "hi" and rows["b.csv"]["text"].startswith("| x | y |")
     assert "unsupported" in rows["c.pdf"]["error"] and "ValueError" in rows["d.xlsx"]["error"]
+
+
+def test_file_beyond_the_size_has_its_own_error(spark, tmp_path):
+    (tmp_path / "long.txt").write_text("some words " * 10)
+    (tmp_path / "short.txt").write_text("some words")
+    (tmp_path / "blank.txt").write_text(" ")
+    got = {r["path"].rsplit("/", 1)[1]: r for r in p.read_files(spark, str(tmp_path), most_bytes=50).collect()}
+    assert got["long.txt"]["error"] == "larger than most_bytes: 110 of 50 bytes" and got["long.txt"]["text"] is None
+    assert got["short.txt"]["error"] is None and "most_bytes" not in (got["blank.txt"]["error"] or "")
+    assert got["long.txt"].__fields__ == ["path", "file_hash", "page", "text", "source_attachment", "error"]
