@@ -1,7 +1,8 @@
 """Operator 6: BPE encoding and decoding, long unsplit text by tree concatenation.
 
-Ordinary text is cut at ASCII white space.  No pre-token, special token or normalisation of this tokenizer crosses white
-space, so the ids of a text are the ids of its pieces in order; every distinct piece is encoded once and remembered.
+Ordinary text is cut at ASCII white space where no pre-token, special token or normalisation of the tokenizer crosses it
+(``Codec._cuts_at_blanks``; other tokenizers encode whole texts by the library, so their ids are the library's).  The ids of
+a text are then the ids of its pieces in order; every distinct piece is encoded once and remembered.
 
 A long piece without white space may hold a pre-token of any length.  Such a pre-token is cut into leaves.  All leaves
 are encoded in one parallel batch; then neighbours are joined pairwise up a tree.  At a join, a window of tokens on
@@ -32,9 +33,14 @@ LEAF = 1024  # characters of a leaf
 LONG = 4096  # bytes of a piece from which it goes to the tree
 MEMO = 400_000  # pieces that a worker remembers
 STEP = 4 << 20  # bytes of text handled at once
-#: Lower-case letters of ASCII and Latin-1, digits and ASCII punctuation other than the apostrophe; the runs of such a piece.
-SIMPLE = re.compile(rb"(?:[!-&(-@\[-~]|\xc3[\x9f-\xb6\xb8-\xbf])+")
-RUNS = re.compile(rb"(?:[a-z]|\xc3[\x9f-\xb6\xb8-\xbf])+|[0-9]|[!-&(-/:-@\[-`{-~]+")
+#: Kinds of bytes: 0 the end of a piece, 1 lower-case letters, 2 digits, 3 punctuation but the apostrophe, 4 all others.
+KINDS = np.full(256, 4, np.uint8)
+KINDS[[*range(33, 39), *range(40, 48), *range(58, 65), *range(91, 97), *range(123, 127)]] = 3
+KINDS[48:58], KINDS[97:123], KINDS[10] = 2, 1, 0
+#: Second bytes, after 0xC3, of the lower-case letters of Latin-1.
+LATIN = np.zeros(256, bool)
+LATIN[[*range(0x9F, 0xB7), *range(0xB8, 0xC0)]] = True
+BLANK = re.compile(rb"[\t-\r ]")
 #: The part of a split pattern, as JSON, that keeps runs of letters and runs of punctuation apart.
 LETTERS_SPLIT = r"[\\p{L}]+|[\\p{N}]|[^\\s\\p{L}\\p{N}]+"
 VOCABULARY = "word_bpe_49k.json"
@@ -47,6 +53,15 @@ def byte_letters() -> dict[int, str]:
     return {b: chr(b) for b in plain} | {b: chr(256 + i) for i, b in enumerate(rest)}
 
 
+def _at_blanks(text: bytes, most: int) -> Iterator[bytes]:
+    """The text in parts of about ``most`` bytes that end before white space, or where the text ends."""
+    at = 0
+    while len(text) - at > most and (blank := BLANK.search(text, at + most)):
+        yield text[at : blank.start()]
+        at = blank.start()
+    yield text[at:] if at else text
+
+
 class TreeBPE:
     """BPE of one pre-token of any length by tree concatenation.
 
@@ -99,23 +114,72 @@ class Codec:
         self.tokenizer.no_truncation()
         self.tokenizer.no_padding()
         self.memo: dict[bytes, bytes] = {}
-        spec = json.loads(self.tokenizer.to_str())
+        self._batch = getattr(self.tokenizer, "encode_batch_fast", self.tokenizer.encode_batch)
+        self.spec = spec = json.loads(self.tokenizer.to_str())
+        self.cuts = self._cuts_at_blanks()
         marked = all("<|" in a["content"] for a in spec["added_tokens"])  # special tokens can be told by this
         self.lowers = marked and '"Lowercase"' in json.dumps(spec["normalizer"])
         self.bare = self._bare_model()
         self._tree: tuple | None = None
+        self.spec = None  # the vocabulary is large
 
     def encode(self, texts: list[bytes]) -> list[bytes]:
-        out: list[bytes] = []
-        for begin, end in groups_by_bytes(texts, STEP):
-            split = [self._fold(t).split() for t in texts[begin:end]]  # bytes.split: ASCII white space only
-            self._learn(set().union(*split))
-            get = self.memo.__getitem__
-            out += [b"".join(map(get, words)) for words in split]
-        return out
+        ids, counts = self.encode_flat(texts)
+        data, cuts = ids.tobytes(), [0, *(4 * np.cumsum(counts)).tolist()]
+        return [data[i:j] for i, j in pairwise(cuts)]
+
+    def encode_flat(self, texts: list[bytes]) -> tuple[np.ndarray, np.ndarray]:
+        """(ids of all texts in a row as unsigned 32-bit integers, number of ids of each text).
+
+        A long text is handled in parts that end at white space, so what is held beside the ids is bounded by ``STEP`` and by
+        the longest run without white space."""
+        owner, parts = [], []
+        for i, t in enumerate(texts):
+            for part in _at_blanks(t, 2 * STEP) if self.cuts else (t,):
+                owner.append(i)
+                parts.append(part)
+        found = [self._step(parts[a:b]) for a, b in groups_by_bytes(parts, STEP)]
+        ids = np.concatenate([np.zeros(0, "<u4"), *(x for x, _ in found)])
+        each = np.concatenate([np.zeros(0, np.int64), *(n for _, n in found)])
+        counts = np.zeros(len(texts), np.int64)
+        np.add.at(counts, np.array(owner, np.int64), each)
+        return ids, counts
+
+    def _step(self, texts: list[bytes]) -> tuple[np.ndarray, np.ndarray]:
+        """``encode_flat`` of a few texts: their distinct pieces are encoded once, then laid out by position."""
+        import pyarrow as pa
+        import pyarrow.compute as pc
+
+        if not self.cuts:
+            whole = [e.ids for e in self._batch([t.decode() for t in texts], add_special_tokens=False)]
+            return np.array([i for x in whole for i in x], "<u4"), np.array([len(x) for x in whole], np.int64)
+        lists = pc.ascii_split_whitespace(pa.array([self._fold(t) for t in texts], pa.binary()).cast(pa.string()))
+        coded = lists.flatten().dictionary_encode()
+        pieces = coded.dictionary.cast(pa.binary()).to_pylist()
+        self._learn(pieces)
+        known = list(map(self.memo.__getitem__, pieces))
+        size = np.fromiter(map(len, known), np.int64, len(known)) // 4
+        pool, begin = np.frombuffer(b"".join(known), "<u4"), np.cumsum(size) - size
+        place = coded.indices.to_numpy()
+        n = size[place]
+        ends = np.concatenate([[0], np.cumsum(n)])
+        at = np.repeat(begin[place] - ends[:-1], n)
+        at += np.arange(len(at))
+        return pool[at], np.diff(ends[lists.offsets.to_numpy()])
+
+    def _cuts_at_blanks(self) -> bool:
+        """Whether this tokenizer encodes the pieces between white space one by one: it drops white space, its pre-tokens hold
+        none, and its model has none of the options that the tree does not follow.  Others are encoded whole by the library."""
+        model, split = self.spec["model"], json.dumps(self.spec["pre_tokenizer"] or "")
+        options = ("dropout", "unk_token", "continuing_subword_prefix", "fuse_unk", "byte_fallback", "ignore_merges")
+        normalizers = (self.spec["normalizer"] or {}).get("normalizers", [self.spec["normalizer"]] if self.spec["normalizer"] else [])
+        local = all(n["type"] in ("NFC", "Lowercase") or (n["type"], n.get("pattern"), n.get("content")) == ("Replace", {"Regex": r"\s+"}, " ") for n in normalizers)
+        plain = all(not (a["lstrip"] or a["rstrip"] or a["single_word"] or a["normalized"]) and not re.search(r"\s", a["content"]) for a in self.spec["added_tokens"])
+        removes = LETTERS_SPLIT in split and '"Removed"' in split and '"invert": true' in split and '"add_prefix_space": false' in split
+        return model["type"] == "BPE" and not any(model.get(o) for o in options) and local and plain and removes
 
     def _bare_model(self) -> tuple | None:
-        """(byte to letter table, the model without normaliser, splitting at blanks only); None for a tokenizer that does not
+        """(code point of each byte's letter, the model without normaliser, splitting at blanks only); None for a tokenizer that does not
         mark the ends of its pre-tokens or splits and normalises in another way.  Sets ``ends``: the ids that close one."""
         from tokenizers import Tokenizer, models, pre_tokenizers
 
@@ -129,52 +193,63 @@ class Codec:
             self.ends[i] = t.endswith(suffix)
         bare = Tokenizer(models.BPE(vocab=spec["model"]["vocab"], merges=[tuple(m) for m in spec["model"]["merges"]], end_of_word_suffix=suffix))
         bare.pre_tokenizer = pre_tokenizers.WhitespaceSplit()
-        return {b: c for b, c in byte_letters().items() if b != 32}, bare
+        codes = np.array([ord(byte_letters()[b]) for b in range(256)], "<u4")
+        codes[10] = 32  # the end of a piece
+        return codes, bare
 
     def _fold(self, text: bytes) -> bytes:
         """A-Z to a-z where that comes to the same: the tokenizer lowers case, no special token and no combining mark, which
         could make one character with a letter, stands in the text."""
         return text.lower() if self.lowers and b"<|" not in text and b"\xcc" not in text and b"\xcd" not in text else text
 
-    def _learn(self, pieces: set[bytes]) -> None:
+    def _learn(self, pieces: list[bytes]) -> None:
         if len(self.memo) > self.most:  # what this step has again is what is worth keeping
             self.memo = {p: self.memo[p] for p in pieces if p in self.memo}
-        new = pieces.difference(self.memo)
-        batch = getattr(self.tokenizer, "encode_batch_fast", self.tokenizer.encode_batch)
-        rest = self._learn_simple(new) if self.bare else new
+        new = [p for p in pieces if p not in self.memo]
+        rest = self._learn_simple(new) if self.bare and new else new
         short = [p for p in rest if len(p) <= self.long]
-        for p, e in zip(short, batch([p.decode() for p in short], add_special_tokens=False), strict=True):
+        for p, e in zip(short, self._batch([p.decode() for p in short], add_special_tokens=False), strict=True):
             self.memo[p] = array("I", e.ids).tobytes()
         for p in rest:
             if len(p) > self.long:
                 self.memo[p] = np.array(self.encode_unsplit(p.decode()), "<u4").tobytes()
 
-    def _learn_simple(self, pieces: set[bytes]) -> list[bytes]:
-        """Pieces of lower-case letters, digits and punctuation are split here and encoded many at a time without
-        normalisation, which would leave them as they are; the ids that close a pre-token show where each piece ends.
-        Returns the other pieces."""
-        letters, bare = self.bare
-        plain, split, count, rest = [], [], [], []
-        for p in pieces:
-            core = p.rstrip(b".,;:!?")
-            if core.isalpha() and core.islower() and len(p) <= self.long:  # a word of ASCII letters, punctuation after it
-                plain.append(p)
-                split.append(p if len(core) == len(p) else core + b" " + p[len(core) :])
-                count.append(1 if len(core) == len(p) else 2)
-            elif len(p) <= self.long and b"<|" not in p and SIMPLE.fullmatch(p):
-                runs = RUNS.findall(p)
-                plain.append(p)
-                split.append(b" ".join(runs))
-                count.append(len(runs))
-            else:
-                rest.append(p)
-        texts = [b" ".join(split[i : i + 512]).decode("latin-1").translate(letters) for i in range(0, len(split), 512)]
+    def _learn_simple(self, pieces: list[bytes]) -> list[bytes]:
+        """Pieces of lower-case letters, digits and punctuation are split here, all at once by the kinds of their bytes, and encoded
+        many at a time without normalisation, which would leave them as they are; the ids that close a pre-token show where
+        each piece ends.  Returns the other pieces."""
+        codes, bare = self.bare
+        data = np.frombuffer(b"\n".join(pieces) + b"\n", np.uint8)
+        kind = KINDS[data]
+        lead = np.flatnonzero(data == 0xC3)
+        lead = lead[LATIN[data[lead + 1]]]
+        kind[lead] = kind[lead + 1] = 1
+        kind[np.flatnonzero((data[:-1] == 60) & (data[1:] == 124))] = 4  # "<|" begins a special token
+        ends = np.flatnonzero(data == 10)
+        size = np.diff(ends, prepend=-1)
+        good = (np.diff(np.cumsum(kind == 4)[ends], prepend=0) == 0) & (size <= self.long) & (size > 1)
+        rest = [pieces[i] for i in np.flatnonzero(~good).tolist()]
+        if not good.any():
+            return rest
+        mine = np.repeat(good, size)
+        data, kind = data[mine], kind[mine]
+        ends = np.cumsum(size[good]) - 1
+        # A run ends where the kind changes, and after each digit.
+        cut = np.zeros(len(data), bool)
+        cut[:-1] = ((kind[:-1] != kind[1:]) | (kind[:-1] == 2)) & (kind[:-1] != 0) & (kind[1:] != 0)
+        before = np.cumsum(cut)[ends]
+        closed = before + np.arange(1, len(ends) + 1)  # runs up to the end of each piece
+        runs = np.insert(codes[data], np.flatnonzero(cut) + 1, 32)
+        ends = ends + before
+        names, many = [pieces[i] for i in np.flatnonzero(good).tolist()], 1024
+        lasts = ends[many - 1 :: many].tolist() + ([int(ends[-1])] if len(ends) % many else [])
+        texts = [runs[a + 1 : b].tobytes().decode("utf-32-le") for a, b in pairwise([-1, *lasts])]
         for i, e in enumerate(bare.encode_batch_fast(texts, add_special_tokens=False)):
-            ids = np.array(e.ids, "<u4")
+            ids, a, b = np.array(e.ids, "<u4"), many * i, many * (i + 1)
             closing = np.flatnonzero(self.ends[ids]) + 1
-            cuts = [0, *(4 * closing[np.cumsum(count[512 * i : 512 * (i + 1)]) - 1]).tolist()]
-            data = ids.tobytes()
-            self.memo.update(zip(plain[512 * i : 512 * (i + 1)], [data[a:b] for a, b in pairwise(cuts)], strict=True))
+            at = [0, *(4 * closing[closed[a:b] - (closed[a - 1] if a else 0) - 1]).tolist()]
+            held = ids.tobytes()
+            self.memo.update(zip(names[a:b], [held[x:y] for x, y in pairwise(at)], strict=True))
         return rest
 
     def encode_unsplit(self, text: str) -> list[int]:
@@ -248,7 +323,8 @@ def encode_decode(
         for batch in batches:
             texts = arrow_texts(batch.column(1))
             for begin, end in groups_by_bytes(texts, STEP):
-                ids = [np.frombuffer(x, "<u4") for x in c.encode(texts[begin:end])]
+                flat, counts = c.encode_flat(texts[begin:end])
+                ids = np.split(flat, np.cumsum(counts)[:-1])
                 lists = [x.tolist() for x in ids]
                 decoded = c.decode(lists) if {"decoded", "decoded_sha256"} & set(outputs) else []
                 make = {

@@ -11,8 +11,8 @@ File layout (all integers little-endian):
 costs the header and the blocks that it touches.
 
 Documents are dealt to shards by ranges of the document id, so that shard order is id order.  Each file is written under
-a temporary name and then renamed; a task that runs again replaces its file by an equal one.  The driver only sees one
-row (shard, ids) for each shard, which makes the running totals.
+a temporary name and then renamed; a task that runs again replaces its file by an equal one.  Where a shard begins
+follows from running totals within groups of ``SHARD_GROUP`` shards and over the groups; the driver sees no row of it.
 
 Defined results: null text is empty text (only the end id is stored).  Rows with a null id come first; rows with equal
 ids stand in the order of a hash of their texts.  An empty table gives no shard and an empty result.
@@ -23,9 +23,10 @@ from __future__ import annotations
 import struct
 import zlib
 from collections.abc import Iterator
+from itertools import pairwise
 
 import numpy as np
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from corpusloom.llm.bpe import STEP, VOCABULARY, codec, free_codecs
@@ -36,6 +37,14 @@ BLOCK = 4096  # ids of a block
 SHARD_BYTES = 32 << 20  # text that a shard should hold
 
 
+SHARD_GROUP = 1024  # shards whose places are found together
+READ_IDS = 1 << 20  # ids read back at once
+
+
+def shard_name(number: int) -> str:
+    return f"shard-{number:06d}.clpk"
+
+
 def width(vocabulary: int) -> int:
     """Bits of the largest id of a vocabulary."""
     return max(1, int(vocabulary - 1).bit_length())
@@ -114,7 +123,7 @@ def write_tokens(
 ) -> DataFrame:
     """Write all documents' ids to shard files below ``folder`` in ascending id order.
 
-    Returns the index, one row for each document: ``id_col``, shard string, ordinal int (within the shard), shard_start long
+    Returns the index, one row for each document: ``id_col``, shard int, ordinal int (within the shard), shard_start long
     (ids of all shards before).  Texts are dealt by range before they are encoded: finding the ranges reads the rows once
     more, which must not encode them twice.
     """
@@ -134,13 +143,17 @@ def write_tokens(
         bits = width(c.tokenizer.get_vocab_size())
         wire = np.dtype("<u2" if bits <= 16 else "<u4")
         end = np.array([] if end_id is None else [end_id], wire)
-        name = f"shard-{TaskContext.get().partitionId():06d}.clpk"
+        number = TaskContext.get().partitionId()
+        name = shard_name(number)
         kept, docs_ids = [], []
         for batch in batches:
             kept.append(batch.column(0))
             texts = arrow_texts(batch.column(1))
             for a, b in groups_by_bytes(texts, STEP):
-                docs_ids += [np.concatenate([np.frombuffer(x, "<u4").astype(wire), end]) for x in c.encode(texts[a:b])]
+                flat, counts = c.encode_flat(texts[a:b])
+                last = np.cumsum(counts)
+                flat = np.insert(flat.astype(wire), last, end[0]) if len(end) else flat.astype(wire)
+                docs_ids += np.split(flat, (last + len(end) * np.arange(1, len(last) + 1))[:-1])
         if not docs_ids:
             return
         out = AtomicFile(folder, name)
@@ -150,7 +163,7 @@ def write_tokens(
         at, n = 0, sum(map(len, docs_ids))
         for col in kept:
             yield pa.RecordBatch.from_arrays(
-                [col, pa.array([name] * len(col), pa.string()), pa.array(range(at, at + len(col)), pa.int32()), pa.array([n] * len(col), pa.int64())], ["id", "shard", "ordinal", "shard_ids"]
+                [col, pa.array([number] * len(col), pa.int32()), pa.array(range(at, at + len(col)), pa.int32()), pa.array([n] * len(col), pa.int64())], ["id", "shard", "ordinal", "shard_ids"]
             )
             at += len(col)
 
@@ -158,15 +171,15 @@ def write_tokens(
     rows = rows.withColumn("h", F.xxhash64("text"))  # so that even rows of one id can be dealt to several shards
     ordered = rows.repartitionByRange(shards, "id", "h").sortWithinPartitions("id", "h", "text").drop("h")
     index_path = folder.rstrip("/") + "-index"
-    ordered.mapInArrow(write, f"id {id_type}, shard string, ordinal int, shard_ids bigint").write.parquet(index_path)
+    ordered.mapInArrow(write, f"id {id_type}, shard int, ordinal int, shard_ids bigint").write.parquet(index_path)
     index = spark.read.parquet(index_path)
-    sizes = {r["shard"]: r["n"] for r in index.groupBy("shard").agg(F.max("shard_ids").alias("n")).collect()}  # one row a shard
-    starts, total = [], 0
-    for name in sorted(sizes):
-        starts.append((name, total))
-        total += sizes[name]
-    manifest = spark.createDataFrame(starts, "shard string, shard_start bigint")
-    return index.join(F.broadcast(manifest), "shard").select(F.col("id").alias(id_col), "shard", "ordinal", "shard_start")
+    # Where each shard begins: running totals within groups of shards, then over the groups, of which there are few.
+    sizes = index.groupBy("shard").agg(F.max("shard_ids").alias("n")).withColumn("g", F.floor(F.col("shard") / SHARD_GROUP))
+    groups = sizes.groupBy("g").agg(F.sum("n").alias("gn"))
+    groups = groups.select("g", (F.sum("gn").over(Window.orderBy("g")) - F.col("gn")).alias("before"))
+    within = F.sum("n").over(Window.partitionBy("g").orderBy("shard")) - F.col("n")
+    manifest = sizes.withColumn("within", within).join(groups, "g").select("shard", (F.col("before") + F.col("within")).alias("shard_start"))
+    return index.join(manifest, "shard").select(F.col("id").alias(id_col), "shard", "ordinal", "shard_start")
 
 
 def read_tokens(index: DataFrame, folder: str, id_col: str = "doc_id", ids: bool = True) -> DataFrame:
@@ -177,20 +190,30 @@ def read_tokens(index: DataFrame, folder: str, id_col: str = "doc_id", ids: bool
     id_type = index.schema[id_col].dataType.simpleString()
 
     def read(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        shard, name = None, None
+        shard, number = None, None
         for batch in batches:
-            start, n, crc, lists = [], [], [], []
-            for s, i, base in zip(*(batch.column(k).to_pylist() for k in (1, 2, 3)), strict=True):
-                if s != name:
+            crc, lists = [], []
+            numbers, ordinals, base = (np.asarray(batch.column(k)) for k in (1, 2, 3))
+            start, n = np.zeros(len(numbers), np.int64), np.zeros(len(numbers), np.int64)
+            # Rows that stand in a row in a shard are read together.
+            runs = np.flatnonzero((np.diff(numbers) != 0) | (np.diff(ordinals) != 1)) + 1 if len(numbers) else []
+            for first, end in pairwise([0, *runs, len(numbers)]) if len(numbers) else ():
+                if numbers[first] != number:
                     if shard:
                         shard.close()
-                    shard, name = Shard(folder, s), s
-                x = shard.document(i)
-                start.append(base + int(shard.starts[i]))
-                n.append(len(x))
-                crc.append(zlib.crc32(x.astype("<u4").tobytes()))
-                if ids:
-                    lists.append(x.astype(np.int32))
+                    shard, number = Shard(folder, shard_name(int(numbers[first]))), numbers[first]
+                at = shard.starts[ordinals[first] : ordinals[first] + (end - first) + 1]
+                start[first:end], n[first:end] = base[first:end] + at[:-1], np.diff(at)
+                a = 0
+                while a < end - first:  # a bounded number of ids at once, one document at least
+                    b = max(a + 1, int(np.searchsorted(at, at[a] + READ_IDS, "right")) - 1)
+                    ids_run = shard.ids(int(at[a]), int(at[b])).astype("<u4", copy=False)
+                    view = memoryview(ids_run).cast("B") if len(ids_run) else b""
+                    cuts = (at[a : b + 1] - at[a]).tolist()
+                    crc += [zlib.crc32(view[4 * i : 4 * j]) for i, j in pairwise(cuts)]
+                    if ids:
+                        lists += [ids_run[i:j].astype(np.int32) for i, j in pairwise(cuts)]
+                    a = b
             cols = [batch.column(0), pa.array(start, pa.int64()), pa.array(n, pa.int64()), pa.array(crc, pa.int64())]
             yield pa.RecordBatch.from_arrays(cols + ([pa.array(lists, pa.list_(pa.int32()))] if ids else []), [id_col, "start", "n_tokens", "ids_crc32"] + ["ids"] * ids)
         if shard:

@@ -66,17 +66,45 @@ def test_memory_is_dropped_not_wrong(plain):
 
 
 def test_other_vocabularies():
-    """A byte-level vocabulary without ends of words and without lower-casing."""
+    """A byte-level vocabulary: blanks belong to its pre-tokens, so whole texts go to the library and their ids are the library's."""
     path = P.path("byte_bpe_50k.json")
-    texts = ["Hello  World\n\nit's 1999", "x" * 6000 + " tail"]
     t = Tokenizer.from_file(path)
     c = bpe.Codec(path)
-    assert c.bare is None
-    # Blanks belong to its pre-tokens, so it is not cut at white space here; the tree itself holds for any model.
-    tree, _ = c._models()
+    assert not c.cuts and c.bare is None
+    for text in ("Hello  World\n\nit's 1999", "x" * 6000 + " tail", "", " ", "a<|endoftext|> b", "é  \t"):
+        assert ids_of(c, text) == t.encode(text, add_special_tokens=False).ids
     word = "internationalisation" * 50
-    assert bpe.TreeBPE(*_model(path), leaf=7).encode(word) == [x.id for x in t.model.tokenize(word)] == tree.encode(word)
-    assert texts
+    assert bpe.TreeBPE(*_model(path), leaf=7).encode(word) == [x.id for x in t.model.tokenize(word)]
+
+
+def test_models_with_other_options_go_to_the_library(tmp_path):
+    import json
+
+    for option in ("ignore_merges", "byte_fallback", "fuse_unk"):
+        spec = json.load(open(PATH))
+        spec["model"][option] = True
+        (tmp_path / "t.json").write_text(json.dumps(spec))
+        assert not bpe.Codec(str(tmp_path / "t.json")).cuts
+    assert bpe.codec(PATH).cuts
+
+
+@pytest.mark.parametrize("unit", ["ab", "thequickbrownfox", "é", "!?", "a1b2"])
+def test_tree_runs_on_a_megabyte_without_a_blank(plain, monkeypatch, unit):
+    """The tree joins the leaves of each long pre-token; the ids are the library's."""
+    joins, join = [], bpe.TreeBPE._join
+    monkeypatch.setattr(bpe.TreeBPE, "_join", lambda self, *a: joins.append(1) or join(self, *a))
+    text = unit * ((1 << 20) // len(unit.encode()))
+    assert ids_of(bpe.Codec(PATH), text) == plain.encode(text, add_special_tokens=False).ids
+    assert unit == "a1b2" or len(joins) > 100
+
+
+def test_long_texts_are_cut_at_blanks_only(monkeypatch, plain):
+    monkeypatch.setattr(bpe, "STEP", 50)
+    words = "one, two three's 4 (five)\tsix " * 40 + "x" * 500 + "\n end."
+    c = bpe.Codec(PATH)
+    ids, counts = c.encode_flat([t.encode() for t in (words, "", "a", words)])
+    want = [plain.encode(t, add_special_tokens=False).ids for t in (words, "", "a", words)]
+    assert counts.tolist() == [len(w) for w in want] and ids.tolist() == sum(want, [])
 
 
 def _model(path):

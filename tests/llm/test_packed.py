@@ -64,6 +64,18 @@ def test_awkward_rows(spark, shards):
     assert all(r["ids"][-1] == 2 and len(r["ids"]) == r["n_tokens"] for r in got.collect())
 
 
+def test_more_shards_than_digits_of_a_name_and_than_a_group(spark, monkeypatch):
+    """Shards stand in the order of their numbers, not of their names; totals go over groups of shards."""
+    monkeypatch.setattr(packed, "SHARD_GROUP", 2)
+    monkeypatch.setattr(packed, "shard_name", lambda number: f"shard-{number}")
+    monkeypatch.setattr(packed, "READ_IDS", 10)
+    rows = [(i, f"document number {i} " * (i % 7), None, None) for i in range(60)]
+    folder = scratch(spark, "test-tokens")
+    docs = spark.createDataFrame([r[:2] for r in rows], "doc_id long, text string")
+    got = packed.read_tokens(packed.write_tokens(docs, folder, shards=13), folder, ids=False).collect()
+    assert sorted(tuple(r) for r in got) == expected([r[:2] for r in rows])
+
+
 def test_empty_table(spark):
     folder = scratch(spark, "test-tokens")
     assert packed.read_tokens(packed.write_tokens(documents(spark, []), folder), folder).count() == 0
