@@ -14,6 +14,7 @@ import os
 import re
 import zipfile
 from collections.abc import Callable, Iterator
+from email.message import EmailMessage
 from html.parser import HTMLParser
 from xml.etree import ElementTree as ET
 
@@ -35,7 +36,10 @@ NS = {
     "xdr": "http://schemas.openxmlformats.org/drawingml/2006/spreadsheetDrawing",
     "rel": "http://schemas.openxmlformats.org/package/2006/relationships",
 }
+#: Kinds of charts by precedence, the labels of a chart's text, the head lines of a message.
 CHARTS = ["barChart", "lineChart", "pieChart", "scatterChart", "areaChart", "doughnutChart", "radarChart", "bubbleChart"]
+CHART_LABELS = {"title": "Chart: ", "series": "Series: ", "table": "Data", "list": "Values", "columns": ["Category", "Value"]}
+EMAIL_HEAD = ["From", "Date", "Subject"]
 IMAGES = {"png", "jpg", "jpeg", "gif", "webp", "bmp"}
 
 
@@ -181,24 +185,44 @@ def parse_image(content: bytes, name: str = "", vision: Vision = blind) -> list[
     return [(1, text, None)] if text.strip() else []
 
 
+def _local(e: ET.Element) -> str:
+    return e.tag.rpartition("}")[2]
+
+
+def _written(e: ET.Element | None, tag: str) -> list[str]:
+    """Texts of the elements of this name below an element."""
+    return [t for x in (e.iter() if e is not None else ()) if _local(x) == tag and (t := (x.text or "").strip())]
+
+
+def _cache(e: ET.Element | None) -> dict[int, str]:
+    """A series' cached points by their index; a point without one stands in its place."""
+    points = [x for x in e.iter() if _local(x) == "pt"] if e is not None else []
+    return {int(x.get("idx", k)): v[0] for k, x in enumerate(points) if (v := _written(x, "v"))}
+
+
+def _series_text(series: ET.Element) -> str:
+    """A table where points have a category, else a list; empty without values."""
+    parts = {_local(x): x for x in series}
+    name = (_written(parts.get("tx"), "t") or _written(parts.get("tx"), "v"))[:1]
+    labels, values = _cache(parts.get("cat")), _cache(parts.get("val")) or _cache(parts.get("yVal"))
+    if not values:
+        return ""
+    head = CHART_LABELS["series"] + name[0] if name else CHART_LABELS["table" if labels else "list"]
+    if labels:
+        return head + "\n" + markdown([CHART_LABELS["columns"], *([labels[k], values[k]] for k in sorted(labels.keys() & values.keys()))])
+    return head + ": " + ", ".join(values[k] for k in sorted(values))
+
+
 def chart_text(xml: bytes) -> str:
-    """Title or kind of a chart, and each series as a table or a list."""
+    """Title or kind of a chart, then its series, each by its cached points."""
     root = ET.fromstring(xml)
-    texts = lambda e, path: [x.text.strip() for x in e.findall(path, NS) if x.text]
-    title = texts(root, ".//c:title//a:t") + texts(root, ".//c:title//c:v")
-    parts = [f"Chart: {' '.join(title)}"] if title else []
-    kind = next((k for k in CHARTS if root.find(f".//c:{k}", NS) is not None), None)
-    if kind and not title:
-        parts.append(kind.replace("Chart", " Chart").title())
-    for series in root.findall(".//c:ser", NS):
-        named = texts(series, ".//c:tx//a:t") or texts(series, ".//c:tx//c:v")
-        labels = texts(series, ".//c:cat//c:pt/c:v")
-        values = texts(series, ".//c:val//c:pt/c:v") + texts(series, ".//c:yVal//c:pt/c:v")
-        if labels and values:
-            parts.append((f"Series: {named[0]}" if named else "Data") + "\n" + markdown([["Category", "Value"], *map(list, zip(labels, values, strict=False))]))
-        elif values:
-            parts.append((f"Series: {named[0]}" if named else "Values") + ": " + ", ".join(values))
-    return "\n\n".join(parts)
+    parts: dict[str, list[ET.Element]] = {}
+    for e in root.iter():
+        parts.setdefault(_local(e), []).append(e)
+    titles = [t for tag in ("t", "v") for e in parts.get("title", ()) for t in _written(e, tag)]
+    kinds = [k for k in CHARTS if k in parts]
+    head = CHART_LABELS["title"] + " ".join(titles) if titles else kinds[0].replace("Chart", " Chart").title() if kinds else ""
+    return "\n\n".join(t for t in (head, *map(_series_text, parts.get("ser", ()))) if t)
 
 
 class _Package:
@@ -354,30 +378,37 @@ def parse_excel(content: bytes, name: str = "", vision: Vision = blind) -> list[
     return pages
 
 
+def _parts(part: EmailMessage) -> Iterator[tuple[str, EmailMessage]]:
+    """("file" or the content type, part) of a message's leaves in reading order; a file is a leaf, whatever it holds."""
+    if part.is_attachment():
+        yield "file", part
+    elif part.is_multipart():
+        for inner in part.iter_parts():
+            yield from _parts(inner)
+    else:
+        yield part.get_content_type(), part
+
+
+def _file_pages(part: EmailMessage, vision: Vision) -> list[Page]:
+    """Pages of an attached file under its name; none if it has no name or cannot be parsed."""
+    name = part.get_filename()
+    try:
+        content = part.get_payload(0).as_bytes() if part.is_multipart() else part.get_payload(decode=True)
+        return [(page, text, name) for page, text, _ in parse(content or b"", name, vision)] if name else []
+    except Exception:  # the message itself is still good
+        return []
+
+
 def parse_email(content: bytes, name: str = "", vision: Vision = blind) -> list[Page]:
     """Head lines and bodies as one page, then the pages of the attachments; one that fails costs only itself."""
     message = email.message_from_bytes(content, policy=email.policy.default)
-    head = "".join(f"{k}: {message.get(k.lower(), '')}\n" for k in ("From", "Date", "Subject"))
-    images = {}
-    for part in message.walk():
-        if part.get("Content-ID") and part.get_content_maintype() == "image" and (data := part.get_payload(decode=True)):
-            images[part["Content-ID"].strip("<>")] = (data, part.get_content_type())
-    bodies, attached = [], []
-    for part in message.walk():
-        if part.get_content_disposition() == "attachment":
-            file = part.get_filename()
-            if not file:
-                continue
-            try:
-                attached += [(p, t, file) for p, t, _ in parse(part.get_payload(decode=True) or b"", file, vision)]
-            except Exception:  # noqa: S112  the message itself is still good
-                continue
-        elif part.get_content_type() == "text/plain":
-            bodies.append(part.get_content())
-        elif part.get_content_type() == "text/html":
-            if text := html_text(part.get_content(), vision, {"script", "style"}, images):
-                bodies.append(text)
-    return [(1, head + "\n" + "\n".join(bodies), None), *attached]
+    leaves = list(_parts(message))
+    pictures = {p["Content-ID"].strip("<>"): (p.get_payload(decode=True) or b"", p.get_content_type()) for _, p in leaves if p["Content-ID"] and p.get_content_maintype() == "image"}
+    read = {"text/plain": lambda p: p.get_content(), "text/html": lambda p: html_text(p.get_content(), vision, {"script", "style"}, {k: v for k, v in pictures.items() if v[0]})}
+    head = [f"{h}: {message.get(h, '')}" for h in EMAIL_HEAD]
+    bodies = [t for kind, p in leaves if kind in read and ((t := read[kind](p)) or kind == "text/plain")]
+    files = [page for kind, p in leaves if kind == "file" for page in _file_pages(p, vision)]
+    return [(1, "\n".join(head) + "\n\n" + "\n".join(bodies), None), *files]
 
 
 #: Parser of each extension.  PDF and TIFF need a reader from outside: add it here, with the layout rules of operators.layout.

@@ -149,3 +149,22 @@ def test_file_beyond_the_size_has_its_own_error(spark, tmp_path):
     assert got["long.txt"]["error"] == "larger than most_bytes: 110 of 50 bytes" and got["long.txt"]["text"] is None
     assert got["short.txt"]["error"] is None and "most_bytes" not in (got["blank.txt"]["error"] or "")
     assert got["long.txt"].__fields__ == ["path", "file_hash", "page", "text", "source_attachment", "error"]
+
+
+def test_chart_points_stand_by_their_index():
+    """A value without a category, or the other way round, does not shift the rest; scatter charts have no categories."""
+    head = '<c:chartSpace xmlns:c="http://schemas.openxmlformats.org/drawingml/2006/chart"><c:plotArea><c:lineChart/><c:barChart><c:ser>'
+    tail = "</c:ser></c:barChart></c:plotArea></c:chartSpace>"
+    point = lambda i, v: f'<c:pt idx="{i}"><c:v>{v}</c:v></c:pt>'
+    gaps = f"<c:cat>{point(0, 'a')}{point(1, 'b')}{point(2, 'c')}</c:cat><c:val>{point(0, 1)}{point(2, 3)}</c:val>"
+    assert p.chart_text((head + gaps + tail).encode()) == "Bar Chart\n\nData\n| Category | Value |\n| --- | --- |\n| a | 1 |\n| c | 3 |"
+    assert p.chart_text((head + f"<c:yVal>{point(0, 4)}{point(1, 5)}</c:yVal>" + tail).encode()) == "Bar Chart\n\nValues: 4, 5"
+    assert p.chart_text((head + tail).encode()) == "Bar Chart"
+
+
+def test_attached_message_is_a_file():
+    inner = b"From: x@y.z\nSubject: In\nContent-Type: text/plain\n\ninside\n"
+    raw = b'From: a@b.c\nSubject: Out\nMIME-Version: 1.0\nContent-Type: multipart/mixed; boundary="X"\n\n--X\nContent-Type: text/plain\n\nouter\n--X\nContent-Type: message/rfc822\nContent-Disposition: attachment; filename="in.eml"\n\n' + inner + b"\n--X--\n"
+    (_, text, none), (_, nested, file) = p.parse_email(raw)
+    assert "outer" in text and "inside" not in text and none is None
+    assert "Subject: In" in nested and "inside" in nested and file == "in.eml"
