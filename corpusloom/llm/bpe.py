@@ -32,7 +32,8 @@ from corpusloom.llm.common import arrow_texts, enter, groups_by_bytes, text_or_e
 LEAF = 1024  # characters of a leaf
 LONG = 4096  # bytes of a piece from which it goes to the tree
 MEMO = 400_000  # pieces that a worker remembers
-STEP = 4 << 20  # bytes of text handled at once
+STEP = 4 << 20  # bytes of text encoded at once
+OUT_STEP = 1 << 20  # bytes of text whose ids and decoded texts are held as Python objects at once
 #: Kinds of bytes: 0 the end of a piece, 1 lower-case letters, 2 digits, 3 punctuation but the apostrophe, 4 all others.
 KINDS = np.full(256, 4, np.uint8)
 KINDS[[*range(33, 39), *range(40, 48), *range(58, 65), *range(91, 97), *range(123, 127)]] = 3
@@ -308,7 +309,7 @@ def encode_decode(
     """``id_col`` and, as named in ``outputs``: ``ids`` array<int>, ``decoded`` string, ``n_tokens`` long, ``ids_sha256`` and
     ``decoded_sha256`` (digests of the ids as decimals joined by one space, and of the decoded text).
 
-    One pass without a shuffle; memory is bounded by ``STEP`` bytes of text (one text at least) and ``most`` remembered pieces.
+    One pass without a shuffle; memory is bounded by ``OUT_STEP`` bytes of text (one text at least) and ``most`` remembered pieces.
     """
     import pyarrow as pa
 
@@ -322,7 +323,7 @@ def encode_decode(
         decimals = [str(i) for i in range(c.tokenizer.get_vocab_size() + 1)]
         for batch in batches:
             texts = arrow_texts(batch.column(1))
-            for begin, end in groups_by_bytes(texts, STEP):
+            for begin, end in groups_by_bytes(texts, OUT_STEP):
                 flat, counts = c.encode_flat(texts[begin:end])
                 ids = np.split(flat, np.cumsum(counts)[:-1])
                 lists = [x.tolist() for x in ids]

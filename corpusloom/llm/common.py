@@ -4,8 +4,10 @@ from __future__ import annotations
 
 import os
 import tempfile
+import threading
 import uuid
-from collections.abc import Iterable
+from collections.abc import Iterable, Iterator
+from contextlib import contextmanager
 
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
@@ -15,6 +17,8 @@ from corpusloom.deploy import ship
 UPPER = "ABCDEFGHIJKLMNOPQRSTUVWXYZ"
 LOWER = UPPER.lower()
 CHECKPOINT_DIR = "spark.checkpoint.dir"
+#: Intermediate tables have small row groups: a writer holds one in memory, uncompressed, for each task.
+ROW_GROUP = {"parquet.block.size": str(16 << 20)}
 SHUFFLE_CLEANUP = "spark.sql.classic.shuffleDependency.fileCleanup.enabled"
 
 
@@ -26,10 +30,13 @@ def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
 def shared_dir(spark: SparkSession) -> str:
     """The folder that driver and executors share.
 
-    The cluster names it in ``spark.checkpoint.dir``.  Only where that is unset (tests, one machine) a folder is made.
+    The cluster names it in ``spark.checkpoint.dir``.  Only where that is unset and all tasks run on this machine (tests), a folder
+    is made; on a cluster that names none this is an error, since each machine would write to a folder of its own.
     """
     base = spark.conf.get(CHECKPOINT_DIR, None)
     if not base:
+        if not spark.sparkContext.master.startswith("local"):
+            raise ValueError(f"{CHECKPOINT_DIR} must name a folder that the driver and all executors share")
         base = "file://" + tempfile.mkdtemp(prefix="corpusloom-")
         spark.conf.set(CHECKPOINT_DIR, base)
     return base.rstrip("/")
@@ -48,12 +55,32 @@ def materialize(df: DataFrame, name: str) -> DataFrame:
     path, before = scratch(spark, name), spark.conf.get(SHUFFLE_CLEANUP, "false")
     spark.conf.set(SHUFFLE_CLEANUP, "true")
     try:
-        df.write.parquet(path)
+        df.write.options(**ROW_GROUP).parquet(path)
     finally:
         spark.conf.set(SHUFFLE_CLEANUP, before)
+    for made in getattr(_scopes, "open", ()):
+        made.append(path)
     return spark.read.schema(df.schema).parquet(path)
 
 
+_scopes = threading.local()
+
+
+@contextmanager
+def intermediates(spark: SparkSession) -> Iterator[None]:
+    """Tables that ``materialize`` writes within go when it ends; what is to stay must have been written elsewhere by then."""
+    if not hasattr(_scopes, "open"):
+        _scopes.open = []
+    made: list[str] = []
+    _scopes.open.append(made)
+    try:
+        yield
+    finally:
+        _scopes.open.pop()
+        for path in made:
+            release(spark, path)
+
+
 def release(spark: SparkSession, path: str) -> None:
     """Delete a scratch path (any file system that Spark can reach)."""
     jvm = spark.sparkContext._jvm

@@ -172,7 +172,9 @@ def fit(docs: DataFrame, labels: DataFrame, id_col: str = "doc_id", text_col: st
 
     id_type = docs.schema[id_col].dataType.simpleString()
     sample = rows.select("_id", "_t", "_y").mapInArrow(maps, f"id {id_type}, y int, map binary")
-    found = sample.select("y", "map").limit(max_train).coalesce(1).mapInArrow(learn, "model binary").collect()
+    # Repeated ids can make more rows than were chosen; which of them stay follows from the rows alone.
+    chosen = sample.select("y", "map").orderBy(F.xxhash64("map"), "y", "map").limit(max_train)
+    found = chosen.coalesce(1).mapInArrow(learn, "model binary").collect()
     if not found:
         return None
     import pickle
