@@ -6,7 +6,7 @@ from pyspark.sql import DataFrame, SparkSession
 
 from corpusloom.deploy import ship
 from corpusloom.llm import bpe, decontaminate, langid, ngram_join, quality
-from corpusloom.llm.common import scratch, table
+from corpusloom.llm.common import ROW_GROUP, intermediates, release, scratch, table
 
 
 def quality_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
@@ -50,9 +50,14 @@ ORACLE_SQL = None
 
 
 def run(spark: SparkSession, sf_dir: str) -> DataFrame:
-    docs = table(spark, sf_dir, "documents")
+    """Each stage is written and reread; what a stage made on its way, and the stage before it, go when it is written."""
+    docs, before = table(spark, sf_dir, "documents"), None
     for name, stage in STAGES:
         path = scratch(spark, f"stage-{name}")
-        stage(spark, docs, sf_dir).write.parquet(path)
+        with intermediates(spark):
+            stage(spark, docs, sf_dir).write.options(**ROW_GROUP).parquet(path)
         docs = spark.read.parquet(path)
+        if before:
+            release(spark, before)
+        before = path
     return docs

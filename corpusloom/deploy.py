@@ -13,6 +13,9 @@ _shipped: dict[str, str] = {}
 
 #: Rows that cross to a Python worker at once: whole documents, so far fewer than Spark's default.
 ROWS_PER_BATCH = "2000"
+#: And so many bytes, whatever the length of a row: an executor holds a batch for each running task beside its heap.
+BYTES_PER_BATCH, SPARKS_BYTES = str(4 << 20), "67108864b"
+BYTES_SETTING = "spark.sql.execution.arrow.maxBytesPerBatch"
 
 
 def ship(spark: SparkSession) -> None:
@@ -20,6 +23,8 @@ def ship(spark: SparkSession) -> None:
     context = spark.sparkContext
     if int(spark.conf.get("spark.sql.execution.arrow.maxRecordsPerBatch")) > int(ROWS_PER_BATCH):
         spark.conf.set("spark.sql.execution.arrow.maxRecordsPerBatch", ROWS_PER_BATCH)
+    if spark.conf.get(BYTES_SETTING) == SPARKS_BYTES:  # a caller's own bound stays
+        spark.conf.set(BYTES_SETTING, BYTES_PER_BATCH)
     if context.applicationId in _shipped:
         return
     root = os.path.dirname(os.path.abspath(__file__))
