@@ -31,8 +31,8 @@ from corpusloom.llm.common import arrow_texts, enter, groups_by_bytes, text_or_e
 
 LEAF = 1024  # characters of a leaf
 LONG = 4096  # bytes of a piece from which it goes to the tree
-MEMO = 400_000  # pieces that a worker remembers
-STEP = 4 << 20  # bytes of text encoded at once
+MEMO = 200_000  # pieces that a worker remembers
+STEP = 2 << 20  # bytes of text encoded at once
 OUT_STEP = 1 << 20  # bytes of text whose ids and decoded texts are held as Python objects at once
 #: Kinds of bytes: 0 the end of a piece, 1 lower-case letters, 2 digits, 3 punctuation but the apostrophe, 4 all others.
 KINDS = np.full(256, 4, np.uint8)
