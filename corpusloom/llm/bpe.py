@@ -1,6 +1,11 @@
 """Operator 6: BPE encoding and decoding, long unsplit text by tree concatenation.
 
-Ordinary text is cut at ASCII white space where no pre-token, special token or normalisation of the tokenizer crosses it
+A text of more than ``HALF`` bytes is halved, wherever the middle falls, until its parts are that short; all parts are encoded
+in one batch, then neighbours are joined pairwise up the tree.  At a join, a window of the text on either side of the cut is
+encoded anew.  It grows until either side of it ends at white space or at the side's end and the side's ids there are those of
+its share of the window, so that both sides agree exactly with what the window replaces (``Codec._join_parts``).
+
+Parts are cut at ASCII white space where no pre-token, special token or normalisation of the tokenizer crosses it
 (``Codec._cuts_at_blanks``; other tokenizers encode whole texts by the library, so their ids are the library's).  The ids of
 a text are then the ids of its pieces in order; every distinct piece is encoded once and remembered.
 
@@ -30,6 +35,8 @@ from pyspark.sql import functions as F
 from corpusloom.llm.common import arrow_texts, enter, groups_by_bytes, text_or_empty, tokenizer_path
 
 LEAF = 1024  # characters of a leaf
+HALF = 4096  # bytes of text from which it is halved
+WINDOW = 16  # bytes on either side of a join at first
 LONG = 4096  # bytes of a piece from which it goes to the tree
 MEMO = 200_000  # pieces that a worker remembers
 STEP = 2 << 20  # bytes of text encoded at once
@@ -42,6 +49,7 @@ KINDS[48:58], KINDS[97:123], KINDS[10] = 2, 1, 0
 LATIN = np.zeros(256, bool)
 LATIN[[*range(0x9F, 0xB7), *range(0xB8, 0xC0)]] = True
 BLANK = re.compile(rb"[\t-\r ]")
+LAST_BLANK = re.compile(rb"[\t-\r ][^\t-\r ]*\Z")
 #: The part of a split pattern, as JSON, that keeps runs of letters and runs of punctuation apart.
 LETTERS_SPLIT = r"[\\p{L}]+|[\\p{N}]|[^\\s\\p{L}\\p{N}]+"
 VOCABULARY = "word_bpe_49k.json"
@@ -129,6 +137,65 @@ class Codec:
         data, cuts = ids.tobytes(), [0, *(4 * np.cumsum(counts)).tolist()]
         return [data[i:j] for i, j in pairwise(cuts)]
 
+    def encode_tree(self, texts: list[bytes], half: int = HALF, window: int = WINDOW) -> tuple[np.ndarray, np.ndarray]:
+        """``encode_flat`` by tree concatenation of the halves of each text longer than ``half`` bytes."""
+        if not self.cuts:
+            return self.encode_flat(texts)
+        bounds = [[0, *self._halves(t, 0, len(t), half), len(t)] for t in texts]
+        flat, counts = self.encode_flat([t[i:j] for t, b in zip(texts, bounds, strict=True) for i, j in pairwise(b)])
+        if len(counts) == len(texts):
+            return flat, counts
+        parts = iter(np.split(flat, np.cumsum(counts)[:-1]))
+        trees = [[(i, j, next(parts)) for i, j in pairwise(b)] for b in bounds]
+        while joins := [(n, i) for n, t in enumerate(trees) for i in range(0, len(t) - 1, 2)]:
+            joined = iter(self._join_parts([(texts[n], trees[n][i], trees[n][i + 1]) for n, i in joins], window))
+            trees = [[next(joined) if i + 1 < len(t) else t[i] for i in range(0, len(t), 2)] for t in trees]
+        return np.concatenate([t[0][2] for t in trees]), np.array([len(t[0][2]) for t in trees], np.int64)
+
+    def _halves(self, text: bytes, i: int, j: int, half: int) -> list[int]:
+        """Ascending places at which text[i:j] is halved.  A cut stays out of a run without white space that reaches ``long`` bytes
+        to a side: such a run is a piece, whose pre-tokens have a tree of their own."""
+        if j - i <= half:
+            return []
+        at = (i + j) // 2
+        while at < j and text[at] & 0xC0 == 0x80:
+            at += 1
+        near = at - self.long <= i or LAST_BLANK.search(text[at - self.long : at])
+        if not (near and (at + self.long >= j or BLANK.search(text, at, at + self.long))):
+            after = BLANK.search(text, at, j)
+            at = after.start() if after else max(text.rfind(b, i, at) for b in (b"\t", b"\n", b"\v", b"\f", b"\r", b" "))
+        return [*self._halves(text, i, at, half), at, *self._halves(text, at, j, half)] if i < at < j else []
+
+    def _join_parts(self, joins: list[tuple], window: int) -> list[tuple[int, int, np.ndarray]]:
+        """(begin, end, ids) of each join of (text, left part, right part), parts as (begin, end, ids); all windows of one size are
+        encoded in one batch."""
+        out: list = [None] * len(joins)
+        left = list(range(len(joins)))
+        while left:
+            tried, windows = [], []
+            for n in left:
+                text, (begin, cut, _), (_, end, _) = joins[n]
+                a, b = max(begin, cut - window), min(end, cut + window)
+                if a > begin:
+                    blank = LAST_BLANK.search(text[a:cut])
+                    a = a + blank.start() if blank else -1
+                if b < end:
+                    blank = BLANK.search(text, cut, b)
+                    b = blank.start() if blank else -1
+                if a >= 0 and b >= 0:
+                    tried.append(n)
+                    windows += [text[a:cut], text[cut:b], text[a:b]]
+            flat, counts = self.encode_flat(windows)
+            parts = iter(np.split(flat, np.cumsum(counts)[:-1]) if windows else ())
+            for n in tried:
+                _, (begin, _, a), (_, end, b) = joins[n]
+                x, y, both = next(parts), next(parts), next(parts)
+                if len(x) <= len(a) and np.array_equal(a[len(a) - len(x) :], x) and np.array_equal(b[: len(y)], y):
+                    out[n] = (begin, end, np.concatenate([a[: len(a) - len(x)], both, b[len(y) :]]))
+            left = [n for n in left if out[n] is None]
+            window *= 2
+        return out
+
     def encode_flat(self, texts: list[bytes]) -> tuple[np.ndarray, np.ndarray]:
         """(ids of all texts in a row as unsigned 32-bit integers, number of ids of each text).
 
@@ -324,7 +391,7 @@ def encode_decode(
         for batch in batches:
             texts = arrow_texts(batch.column(1))
             for begin, end in groups_by_bytes(texts, OUT_STEP):
-                flat, counts = c.encode_flat(texts[begin:end])
+                flat, counts = c.encode_tree(texts[begin:end])
                 ids = np.split(flat, np.cumsum(counts)[:-1])
                 lists = [x.tolist() for x in ids]
                 decoded = c.decode(lists) if {"decoded", "decoded_sha256"} & set(outputs) else []

@@ -107,6 +107,25 @@ def test_long_texts_are_cut_at_blanks_only(monkeypatch, plain):
     assert counts.tolist() == [len(w) for w in want] and ids.tolist() == sum(want, [])
 
 
+@settings(max_examples=300, deadline=None)
+@given(st.text(st.one_of(st.characters(blacklist_categories=["Cs"]), st.sampled_from("abe1'.,S    \n\té\u0301 <|>endoftxİ")), max_size=300), st.integers(2, 40), st.integers(1, 9), st.integers(2, 30))
+def test_halves_of_any_text(text, half, window, long):
+    c = bpe.codec(PATH, 4, long)
+    ids, counts = c.encode_tree([b"", text.encode(), text[::-1].encode()], half, window)
+    want = [Tokenizer_().encode(t, add_special_tokens=False).ids for t in ("", text, text[::-1])]
+    assert counts.tolist() == [len(w) for w in want] and ids.tolist() == sum(want, [])
+
+
+def test_long_texts_are_halved_and_joined(spark, plain, monkeypatch):
+    c, joins, join = bpe.Codec(PATH), [], bpe.Codec._join_parts
+    monkeypatch.setattr(bpe.Codec, "_join_parts", lambda self, j, w: joins.append(len(j)) or join(self, j, w))
+    texts = ["one, two three's 4 (five)\tsix " * 9000, "é" * 20_000, "short", "word " * 300 + "x" * 9000 + " tail" * 2000, "a<|endoftext|>b" * 900 + " end"]
+    ids, counts = c.encode_tree([t.encode() for t in texts])
+    want = [plain.encode(t, add_special_tokens=False).ids for t in texts]
+    assert counts.tolist() == [len(w) for w in want] and ids.tolist() == sum(want, [])
+    assert sum(joins) > 60 and len(joins) >= 7
+
+
 def _model(path):
     import json
 
