@@ -1,16 +1,19 @@
 """Operator 3: n-gram Jaccard join by token-combination prefixes.
 
 A text's tokens are its distinct five-word shingles.  Tokens are ordered by the number of texts that hold them, rarest
-first, counted over all texts.  Two sets of Jaccard similarity 0.8 share at least ``K`` tokens of their prefixes of
-length n - ceil(0.8 n) + K.  So each set is indexed under
+first, counted over all texts.  Two sets of Jaccard similarity 0.8 share at least k tokens of their prefixes of length
+n - ceil(0.8 n) + k, the k that come first in this order.  A token that at most ``RARE`` texts hold is rare, else frequent.
 
-* every rare token of that prefix (at most ``RARE`` texts hold it), alone, and
-* every combination of K = 2 frequent tokens of the prefix,
+* If the first token that two sets share is rare, it is in both prefixes for k = 1: each set is indexed under every rare token
+  of that prefix, alone.
+* Else all tokens that they share are frequent.  Frequent tokens are dealt to g classes by their hash, and prefixes are extended
+  to k = g + 1: two of the shared tokens there have one class.  Each set is indexed under every combination of two frequent
+  tokens of one class of that prefix.
 
-and two similar sets meet in a list: among the K shared tokens one is rare, or all are frequent.  Tokens that one text
-holds are never indexed, but take up their places in the prefix, so most texts have no entry at all.  Long sets would
-have too many combinations; sets of more than ``LONG`` tokens take their frequent tokens alone instead, and sets within
-a factor 0.8 of that limit do both, so that every similar pair still has a way to meet.
+g is a power of two between a tenth and a fifth of n (at least 1), so a set of any size has about n / 2 combinations.  A set
+whose similar sets can have the g below its own is indexed with both.  Tokens that one text holds are never indexed, but take
+up their places in the prefix, and combinations are made only of a set that has at least 0.8 n frequent tokens, so most
+texts have no entry at all.
 
 An entry also says how many tokens its set can share with one that it meets there first; sets that cannot reach 0.8 with any
 member of a list leave it.  What meets is verified exactly on the token sets.  A list is not expanded into all pairs: every member is compared with the
@@ -42,9 +45,7 @@ from corpusloom.llm.textvec import SPACED, mix, shingles, word_hashes
 
 U = np.uint64
 SHINGLE = 5
-K = 2
 RARE = 32
-LONG = 200
 PIVOTS = 8
 STEP = 1 << 20
 KEY, LEAST, CHOSEN = "_text_key_", "_least_id_", "_chosen_"
@@ -65,32 +66,46 @@ def _block_tokens(table) -> tuple[np.ndarray, np.ndarray]:
     return np.unique(np.concatenate([np.zeros(0, U), *sets]), return_counts=True)
 
 
-def index_keys(tokens: np.ndarray, held: np.ndarray, n: int, rare: int = RARE, long: int = LONG) -> tuple[np.ndarray, np.ndarray]:
+def classes(n: int) -> int:
+    """Classes of frequent tokens for a set of ``n`` tokens: the power of two between n / 10 and n / 5, at least 1."""
+    return 1 << max(0, (n // 5).bit_length() - 1)
+
+
+def _combinations(group: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """Places i < j of all pairs of equal values."""
+    order = np.argsort(group, kind="stable")
+    start = np.searchsorted(group[order], group[order])
+    before = np.arange(len(group)) - start
+    i = np.arange(before.sum()) - np.repeat(np.cumsum(before) - before - start, before)
+    return order[i], order[np.repeat(np.arange(len(group)), before)]
+
+
+def index_keys(tokens: np.ndarray, held: np.ndarray, n: int, rare: int = RARE) -> tuple[np.ndarray, np.ndarray]:
     """(keys of the lists that a set of ``n`` tokens stands in, most tokens it can share with a set that it meets there first).
 
-    ``tokens``: those that other texts hold too; ``held``: by how many.  The bound counts the key's tokens and all that come
-    after them in the order."""
-    alone = n - len(tokens)
-    prefix = n - -(-80 * n // 100) + K - alone
-    if prefix <= 0:
+    ``tokens``: those that other texts hold too; ``held``: by how many.  The bound counts the key's last token, all that come
+    after it in the order, and the tokens before it that can be shared without a combination: one of each class."""
+    needed = -(-80 * n // 100)
+    if len(tokens) < needed:
         return np.zeros(0, U), np.zeros(0, np.int64)
-    order = np.lexsort((tokens, held))[:prefix]
-    tokens, held, rest = tokens[order], held[order], n - alone - np.arange(len(order))
-    few = held <= rare
-    keys, bounds = [mix(tokens[few] ^ U(0x5851F42D4C957F2D))], [rest[few]]
+    order = np.lexsort((tokens, held))
+    tokens, few, rest = tokens[order], held[order] <= rare, len(tokens) - np.arange(len(tokens))
+    single = few & (rest >= needed)
+    keys, bounds = [mix(tokens[single] ^ U(0x5851F42D4C957F2D))], [rest[single]]
     frequent, after = tokens[~few], rest[~few]
-    if 80 * n <= 100 * long:
-        i, j = np.triu_indices(len(frequent), 1)
-        keys.append(mix(np.minimum(frequent[i], frequent[j]) * U(0xD1342543DE82EF95) + mix(np.maximum(frequent[i], frequent[j]))))
-        bounds.append(after[j] + 1)
-    if 100 * n >= 80 * long:
-        keys.append(mix(frequent ^ U(0x14057B7EF767814F)))
-        bounds.append(after)
+    for g in {classes(n), classes(needed)} if len(frequent) >= needed else ():
+        prefix = frequent[after + g >= needed]
+        i, j = _combinations(mix(prefix) & U(g - 1))
+        most = after[j] + np.minimum(g, j)
+        i, j, most = (x[most >= needed] for x in (i, j, most))
+        pair = np.minimum(prefix[i], prefix[j]) * U(0xD1342543DE82EF95) + mix(np.maximum(prefix[i], prefix[j]))
+        keys.append(mix(pair + U(g)))
+        bounds.append(most)
     unique, first = np.unique(np.concatenate(keys), return_index=True)
     return unique, np.concatenate(bounds)[first]
 
 
-def token_sets(docs: DataFrame, text_col: str = "text", rare: int = RARE, long: int = LONG) -> DataFrame:
+def token_sets(docs: DataFrame, text_col: str = "text", rare: int = RARE) -> DataFrame:
     """One row for each distinct text that has words: key, node (digest of its set), n long, alone long (tokens that no other
     text holds), tokens binary (the others; null if it stands in no list), keys array<struct<key long, most int>>."""
     import pyarrow as pa
@@ -114,7 +129,7 @@ def token_sets(docs: DataFrame, text_col: str = "text", rare: int = RARE, long:
                 if not n:
                     continue
                 shared = h > 1
-                keys, most = index_keys(s[shared], h[shared], n, rare, long)
+                keys, most = index_keys(s[shared], h[shared], n, rare)
                 row_values = (names[row], hashlib.blake2b(s.tobytes(), digest_size=16).hexdigest(), n, n - int(shared.sum()), s[shared].astype("<u8").tobytes() if len(keys) else None, len(keys))
                 for c, v in zip(cols, row_values, strict=True):
                     cols[c].append(v)
@@ -216,9 +231,9 @@ def open_lists(entries: DataFrame, labels: DataFrame | None) -> DataFrame:
     return materialize(named.join(mixed, "key", "left_semi"), "open-lists")
 
 
-def _classes(docs: DataFrame, id_col: str, text_col: str, rare: int, long: int) -> DataFrame:
+def _classes(docs: DataFrame, id_col: str, text_col: str, rare: int) -> DataFrame:
     """For each distinct text with words: _key, n_shingles, root (of its component), least (smallest id of its rows)."""
-    texts = materialize(token_sets(docs, text_col, rare, long), "texts")
+    texts = materialize(token_sets(docs, text_col, rare), "texts")
     free_shuffles(docs.sparkSession)
     labels = link_components(texts)
     rows = docs.select(F.col(id_col).alias("_id"), text_key(F.col(text_col)).alias("_key"))
@@ -227,9 +242,9 @@ def _classes(docs: DataFrame, id_col: str, text_col: str, rare: int, long: int)
     return named.withColumn("root", F.col("node")) if labels is None else named.join(labels, "node", "left").withColumn("root", F.coalesce("root", "node"))
 
 
-def join(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", rare: int = RARE, long: int = LONG) -> DataFrame:
+def join(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", rare: int = RARE) -> DataFrame:
     """``id_col``, n_shingles long and component_id (smallest id reachable by links) for each row."""
-    named = _classes(docs, id_col, text_col, rare, long)
+    named = _classes(docs, id_col, text_col, rare)
     tops = named.groupBy("root").agg(F.min("least").alias("component_id"))
     named = materialize(named.join(tops, "root").select("_key", "n_shingles", "component_id"), "components")
     rows = docs.select(F.col(id_col), text_key(F.col(text_col)).alias("_key"))
@@ -238,10 +253,10 @@ def join(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", rare:
     return joined.select(id_col, F.coalesce("n_shingles", F.lit(0)).cast("long").alias("n_shingles"), own.alias("component_id"))
 
 
-def keep_one(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", rare: int = RARE, long: int = LONG) -> DataFrame:
+def keep_one(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", rare: int = RARE) -> DataFrame:
     """The rows of ``docs``, all columns, of which each component keeps one: that with its smallest id (null last), one of them
     if rows repeat.  Rows without words all stay."""
-    named = _classes(docs, id_col, text_col, rare, long)
+    named = _classes(docs, id_col, text_col, rare)
     named = materialize(named.select("_key", "root", "least"), "components")
     chosen = named.groupBy("root").agg(F.min(F.struct(F.col("least").isNull().alias("no_id"), "least", "_key")).alias("c"))
     marks = named.select("_key", "least", "root").join(chosen, "root")

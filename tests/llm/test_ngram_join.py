@@ -2,6 +2,7 @@ from __future__ import annotations
 
 import random
 
+import numpy as np
 import pytest
 
 from corpusloom.llm import ngram_join
@@ -31,9 +32,9 @@ def family(rng, base, n, most):
     return out
 
 
-@pytest.mark.parametrize("rare,long", [(32, 200), (2, 200), (1, 20), (3, 60)])
-def test_families_of_near_copies(spark, rare, long):
-    rng = random.Random(rare * 1000 + long)
+@pytest.mark.parametrize("rare,seed", [(32, 200), (2, 200), (1, 20), (3, 60)])
+def test_families_of_near_copies(spark, rare, seed):
+    rng = random.Random(rare * 1000 + seed)
     texts = []
     for f in range(5):
         base = [f"f{f}v{rng.randint(0, 60)}" for _ in range(rng.choice([6, 20, 60, 120]))]
@@ -41,7 +42,7 @@ def test_families_of_near_copies(spark, rare, long):
     shared = [f"p{i}" for i in range(60)]
     texts += [" ".join(shared[: rng.randint(20, 60)] + [f"u{rng.randint(0, 10**6)}" for _ in range(rng.randint(0, 30))]) for _ in range(40)]
     rng.shuffle(texts)
-    check(spark, [(i, t, None, None) for i, t in enumerate(texts)], rare=rare, long=long)
+    check(spark, [(i, t, None, None) for i, t in enumerate(texts)], rare=rare)
 
 
 def test_chain_is_one_component(spark):
@@ -89,6 +90,36 @@ def test_query(spark, tiny):
     assert got == {i: (len(shingle_set(t)), rows[c][0]) for (i, t), c in zip(rows, comp, strict=True)}
 
 
+def test_similar_sets_of_any_size_share_an_entry():
+    """Every pair of similar sets stands in a list together, which says that they can share as much as they do."""
+    rng = np.random.default_rng(5)
+    order = np.sort(rng.integers(0, 1 << 63, 6000, np.uint64))
+    held = rng.choice([2, 5, 40, 90, 3000], len(order), p=[0.02, 0.02, 0.3, 0.36, 0.3])
+    linked = singles = 0
+    for _ in range(1500):
+        n = int(rng.choice([5, 9, 10, 39, 40, 55, 160, 199, 320, 399, 640, 1300, 2560]))
+        base = rng.choice(len(order), n, replace=False)
+        other = base[rng.random(n) > rng.random() * 0.2]
+        more = rng.choice(len(order), int(rng.integers(0, n // 9 + 1)))
+        a, b = np.unique(base), np.unique(np.concatenate([other, more]))
+        shared = len(np.intersect1d(a, b))
+        if 100 * shared < 80 * (len(a) + len(b) - shared):
+            continue
+        linked += 1
+        (ka, ma), (kb, mb) = (ngram_join.index_keys(order[x], held[x], len(x)) for x in (a, b))
+        _, ia, ib = np.intersect1d(ka, kb, return_indices=True)
+        assert (np.minimum(ma[ia], mb[ib]) >= shared).any(), (len(a), len(b), shared)
+        assert len(ka) <= 8 + 1.5 * len(a)
+        singles += not len(ia)
+    assert linked > 500 and not singles
+
+
+def test_combinations():
+    group = np.array([3, 1, 3, 3, 0, 1], np.uint64)
+    got = sorted(zip(*(x.tolist() for x in ngram_join._combinations(group)), strict=True))
+    assert got == [(0, 2), (0, 3), (1, 5), (2, 3)] and not len(ngram_join._combinations(group[:0])[0])
+
+
 def test_shingles_of_texts():
     texts = ["a b c d e f", "A  b\tc d e", "a b", "", "b a", "a b c d e f a b c d e f"]
     sets = shingles(*word_hashes([t.encode() for t in texts], SPACED))
