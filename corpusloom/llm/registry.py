@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from corpusloom.llm import bpe, chat, decontaminate, filter_audit, hmm, langid, media, ngram_join, packed, quality, urls
+from corpusloom.llm import bpe, chat, decontaminate, filter_audit, hmm, langid, late_days, media, ngram_join, packed, quality, urls
 
 QUERIES = {
     "op1_packed_tokens": packed.query,
@@ -15,6 +15,7 @@ QUERIES = {
     "op8_chat_format": chat.query,
     "op9_language_id": langid.query,
     "op10_quality": quality.query,
+    "op12_late_days": late_days.query,
     "op13_filter_audit": filter_audit.query,
 }
 
