@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from corpusloom.llm import bpe, chat, decontaminate, filter_audit, hmm, langid, late_days, media, ngram_join, packed, quality, urls
+from corpusloom.llm import bpe, chat, decontaminate, filter_audit, hmm, langid, late_days, media, ngram_join, packed, quality, substring, urls
 
 QUERIES = {
     "op1_packed_tokens": packed.query,
@@ -15,8 +15,9 @@ QUERIES = {
     "op8_chat_format": chat.query,
     "op9_language_id": langid.query,
     "op10_quality": quality.query,
+    "op11_substring_dedup": substring.query,
     "op12_late_days": late_days.query,
     "op13_filter_audit": filter_audit.query,
 }
 
-ORACLE_SQL: dict[str, str] = {"op13_filter_audit": filter_audit.SQL}
+ORACLE_SQL: dict[str, str] = {"op11_substring_dedup": substring.SQL, "op13_filter_audit": filter_audit.SQL}
