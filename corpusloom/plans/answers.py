@@ -58,8 +58,8 @@ _Q = f"""{with_views('v_asked', 'v_transactions')}, q AS (SELECT query_id, quest
       ELSE 'Spending in the last ' || sp.days || ' days: ' || {ap._m('sp.total')} || chr(10) || 'Number of debit transactions: ' || sp.c || chr(10) || 'Average per transaction: ' || {ap._m('CASE WHEN sp.c = 0 THEN 0 ELSE CAST(sp.total AS DOUBLE) / sp.c END')} END, '{a.NOTHING_FOUND}') AS answer
       FROM i LEFT JOIN bal USING ({ap._K}) LEFT JOIN fl USING ({ap._K}) LEFT JOIN cat USING ({ap._K}) LEFT JOIN rec USING (query_id) LEFT JOIN sp USING (query_id))"""
 
-_GUARDED = f"""g AS (SELECT query_id, tenant_id, customer_id, regexp_replace(regexp_replace(question, '^\\s+|\\s+$', '', 'g'), '[\\x00-\\x08\\x0b\\x0c\\x0e-\\x1f\\x7f]', '', 'g') AS question FROM q),
-    ok AS (SELECT query_id, {ap._ROUTE} AS kind, query_id % 3 = 0 AS hit FROM g WHERE question <> '' AND NOT regexp_matches(question, '{g.INJECTION}')),
+_GUARDED = f"""g AS (SELECT query_id, tenant_id, customer_id, length(regexp_replace(question, '^\\s+|\\s+$', '', 'g')) AS n_chars, regexp_replace(regexp_replace(question, '^\\s+|\\s+$', '', 'g'), '[\\x00-\\x08\\x0b\\x0c\\x0e-\\x1f\\x7f]', '', 'g') AS question FROM q),
+    ok AS (SELECT query_id, {ap._ROUTE} AS kind, query_id % 3 = 0 AS hit FROM g WHERE question <> '' AND n_chars <= {g.MAX_QUESTION} AND NOT regexp_matches(question, '{g.INJECTION}')),
     s AS (SELECT query_id, CASE WHEN kind IN ('sql', 'hybrid') THEN kind ELSE 'rag' END AS src, hit, answer AS acc FROM ok JOIN ans USING (query_id)),
     w AS (SELECT query_id, src AS data_source, CASE WHEN src = 'sql' OR src = 'hybrid' AND NOT hit THEN acc WHEN NOT hit THEN {v._quoted(g.CANNOT_ANSWER)} ELSE '' END AS answer,
       CASE WHEN src = 'sql' OR src = 'hybrid' THEN '{g.ACCOUNT_SOURCE}' ELSE '' END AS sources, hit FROM s),

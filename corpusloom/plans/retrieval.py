@@ -117,7 +117,7 @@ def _cache_frames(spark, d):
 def semantic_cache_hits(spark, d):
     """A looser similarity, so that the stored vectors have hits; a longer life likewise."""
     q, c = _cache_frames(spark, d)
-    return r.cache_hits(q, c.where("cache_id % 3 != 0"), similarity=0.3, ttl=36000)
+    return r.cache_hits(q, c, similarity=0.3, ttl=36000)
 
 
 def cache_admission(spark, d):
@@ -205,7 +205,7 @@ ORACLE_SQL = {
       SELECT query_id, md5('CONTEXT CHUNKS:' || chr(10) || context || chr(10) || chr(10) || 'QUESTION: What?' || chr(10) || chr(10) || 'ANSWER (cite every claim inline' || {_TAIL}) AS message_md5,
         md5('LIVE TRANSACTION DATA (from account database):' || chr(10) || 'none' || chr(10) || chr(10) || 'POLICY / DOCUMENT CONTEXT:' || chr(10) || context || chr(10) || chr(10) || 'QUESTION: What?' || chr(10) || chr(10) || 'ANSWER (cite document chunks inline' || {_TAIL}) AS hybrid_md5 FROM k""",
     "semantic_cache_hits": f"""{with_views('v_points')}, s AS (SELECT q.doc_id AS query_id, c.doc_id AS cache_id, {_COS.format(a='q.embedding', b='c.embedding')} AS score FROM v_points q JOIN v_points c USING (tenant_id)
-      WHERE q.doc_id % 7 <> 0 AND c.doc_id % 3 <> 0 AND c.doc_id * 60 - 30 <= q.doc_id * 60 AND c.doc_id * 60 - 30 >= q.doc_id * 60 - 36000)
+      WHERE q.doc_id % 7 <> 0 AND c.doc_id * 60 - 30 <= q.doc_id * 60 AND c.doc_id * 60 - 30 >= q.doc_id * 60 - 36000)
       SELECT query_id, cache_id, score FROM (SELECT *, row_number() OVER (PARTITION BY query_id ORDER BY score DESC, cache_id) AS k FROM s WHERE score >= 0.3) WHERE k = 1""",
     "cache_admission": f"{with_views('v_audit')} SELECT id, tenant_id FROM v_audit WHERE data_source NOT IN ('sql', 'hybrid') AND faithfulness >= 0.8 AND relevance >= 0.75",
     "retrieval_frequency_monitor": f"""{with_views('v_points')}, {_ASKS}, h AS ({_sql_dense(10)}), n AS (SELECT count(DISTINCT query_id) AS q FROM h)

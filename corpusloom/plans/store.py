@@ -37,10 +37,10 @@ def ingestion_state_machine(spark, d):
 
 
 def status_upsert(spark, d):
-    """Statuses of the first files, then later statuses of some of them and of others."""
+    """Statuses of all files, then later statuses of every third."""
     p = v.pages(spark, d)
     row = lambda rows, status, seq: rows.select("file_name", F.lit(status).alias("status"), (F.col("doc_id") % 7).alias("chunk_count"), F.lit(seq).alias("seq"))
-    old, new = row(p.where("doc_id % 2 = 0"), st.PROCESSING, 1), row(p.where("doc_id % 3 = 0"), st.COMPLETE, 2)
+    old, new = row(p, st.PROCESSING, 1), row(p.where("doc_id % 3 = 0"), st.COMPLETE, 2)
     return st.upsert(old, new, "file_name", "seq").select("file_name", "status", "chunk_count")
 
 
@@ -203,7 +203,7 @@ ORACLE_SQL = {
     "hash_gate": f"{_STATUS} SELECT file_name, file_hash, tenant_id FROM v_pages p WHERE NOT EXISTS (SELECT 1 FROM status s WHERE s.file_hash = p.file_hash AND s.status = 'complete')",
     "hash_dedup_docs": f"{_P} SELECT file_hash, min(doc_id) AS doc_id, arg_min(tenant_id, doc_id) AS tenant_id FROM v_pages GROUP BY file_hash",
     "ingestion_state_machine": f"{_STATUS} SELECT file_name, CASE WHEN status = 'complete' THEN 'skip' WHEN status = 'processing' THEN 'restart' ELSE 'ingest' END AS action FROM v_pages LEFT JOIN status USING (file_hash)",
-    "status_upsert": f"{_P} SELECT file_name, CASE WHEN doc_id % 3 = 0 THEN 'complete' ELSE 'processing' END AS status, doc_id % 7 AS chunk_count FROM v_pages WHERE doc_id % 2 = 0 OR doc_id % 3 = 0",
+    "status_upsert": f"{_P} SELECT file_name, CASE WHEN doc_id % 3 = 0 THEN 'complete' ELSE 'processing' END AS status, doc_id % 7 AS chunk_count FROM v_pages",
     "parents_insert_new": f"{tp._PARENTS}, u AS (SELECT DISTINCT parent_id, parent_index FROM parents) SELECT CAST(parent_index AS BIGINT) AS parent_index, count(*) AS n FROM u WHERE parent_index > 0 GROUP BY parent_index",
     "point_payloads": f"SELECT sha256(file_hash || '|' || chunk_index) AS point_id, tenant_id, c.page, CAST(0 AS BIGINT) AS n_vector FROM ({tp.ORACLE_SQL['chunk_fixed']}) c JOIN ({v.SQL['v_pages']}) p USING (file_name)",
     "point_batches": f"{_P} SELECT tenant_id, batch, count(*) AS n, min(doc_id) AS first_id FROM (SELECT *, (row_number() OVER (PARTITION BY tenant_id ORDER BY doc_id) - 1) // 16 AS batch FROM v_pages) GROUP BY ALL",

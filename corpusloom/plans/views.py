@@ -72,12 +72,11 @@ def transactions(spark: SparkSession, sf_dir: str) -> DataFrame:
     )
 
 
-def asked(spark: SparkSession, sf_dir: str, most: int | None = None) -> DataFrame:
-    """User turns as questions, each behind a phrase that routing rules look for; ``most``: only so many characters of the turn."""
+def asked(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Whole user turns as questions, each behind a phrase that routing rules look for; a null turn is empty."""
     c = table(spark, sf_dir, "conversations").where("role = 'user'")
     phrase = F.element_at(F.array(*map(F.lit, PHRASES)), (F.pmod(F.col("conv_id") * 3 + F.col("turn"), F.lit(len(PHRASES))) + 1).cast("int"))
-    text = F.col("text") if most is None else F.left("text", F.lit(most))
-    return c.select((F.col("conv_id") * 100 + F.col("turn")).alias("query_id"), F.concat(phrase, text).alias("question"))
+    return c.select((F.col("conv_id") * 100 + F.col("turn")).alias("query_id"), F.concat(phrase, F.coalesce("text", F.lit(""))).alias("question"))
 
 
 def audit(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -129,8 +128,7 @@ def _quoted(x: str) -> str:
     return "'" + x.replace("'", "''") + "'"
 
 
-#: The same views as SQL, to be used as common table expressions; v_asked has the first ASKED_START characters of a turn only.
-ASKED_START = 60
+#: The same views as SQL, to be used as common table expressions.
 SQL = {
     "v_pages": "SELECT doc_id, 'doc_' || doc_id || '.txt' AS file_name, sha256(text) AS file_hash, source AS tenant_id, 1 AS page, text FROM documents",
     "v_multipage": "SELECT conv_id, 'conv_' || conv_id || '.eml' AS file_name, sha256('conv_' || conv_id || '.eml') AS file_hash, CAST(turn + 1 AS INTEGER) AS page, text FROM conversations",
@@ -142,7 +140,7 @@ SQL = {
         p_name AS description, l_discount >= 0.09 AS flagged
         FROM lineitem JOIN orders ON l_orderkey = o_orderkey JOIN customer ON o_custkey = c_custkey JOIN nation ON c_nationkey = n_nationkey
         JOIN region ON n_regionkey = r_regionkey JOIN supplier ON l_suppkey = s_suppkey JOIN part ON l_partkey = p_partkey""",
-    "v_asked": f"""SELECT conv_id * 100 + turn AS query_id, ([{', '.join(map(_quoted, PHRASES))}])[CAST((conv_id * 3 + turn) % {len(PHRASES)} + 1 AS INTEGER)] || left(text, 60) AS question
+    "v_asked": f"""SELECT conv_id * 100 + turn AS query_id, ([{', '.join(map(_quoted, PHRASES))}])[CAST((conv_id * 3 + turn) % {len(PHRASES)} + 1 AS INTEGER)] || coalesce(text, '') AS question
         FROM conversations WHERE role = 'user'""",
     "v_audit": """SELECT q.conv_id * 100 + q.turn AS id, 'tenant' || (q.conv_id % 5) AS tenant_id, 'Q' || (q.conv_id % 40) || '?' AS question,
         CASE WHEN (q.conv_id * 7 + q.turn * 3) % 11 = 0 THEN 'sql' ELSE 'rag' END AS data_source, a.text AS answer,
