@@ -121,13 +121,31 @@ def user_message(context: Column, question: Column, account: Column | None = Non
     )
 
 
-def cache_hits(queries: DataFrame, cache: DataFrame, similarity: float = CACHE_SIMILARITY, ttl: int = CACHE_TTL) -> DataFrame:
-    """The most similar live answer of the same tenant: query_id, cache_id, score.
+def cache_candidates(queries: DataFrame, cache: DataFrame, similarity: float = CACHE_SIMILARITY, ttl: int = CACHE_TTL, axis: int = 0) -> DataFrame:
+    """The pairs that ``cache_hits`` scores: query_id, asked_at, _q, cache_id, created_at, _c.
+
+    A stored row lives ``ttl``, so it can serve its own interval of that length and the next.  Vectors of length 1 with this similarity
+    are at most ``reach`` apart, on every axis; so along one of them they lie in the same cell of that width or in neighbouring ones.
+    Both are parts of the join's key: pairs grow with the rows of a tenant and interval, not with its history."""
+    known = (F.coalesce(F.col("tenant_id"), F.lit("")) != "") & (F.size("_v") > 0)
+    life = lambda c: F.floor(F.col(c) / F.lit(ttl)).cast("long")
+    reach = (2.0 - 2.0 * (similarity - 1e-6)) ** 0.5
+    # A vector of length 0 has similarity 0 to all.
+    cell = F.floor(F.get("_v", F.lit(axis)) / F.lit(reach)).cast("int") if similarity > 1e-6 else F.lit(0)
+    near = F.sequence(cell - 1, cell + 1) if similarity > 1e-6 else F.array(cell)
+    q = queries.select("query_id", "tenant_id", "asked_at", unit(F.col("embedding")).alias("_v")).where(known)
+    q = q.withColumn("_life", F.explode(F.sequence(life("asked_at") - 1, life("asked_at")))).withColumn("_cell", F.explode(near)).withColumnRenamed("_v", "_q")
+    c = cache.select("cache_id", "tenant_id", "created_at", unit(F.col("embedding")).alias("_v")).where(known)
+    c = c.withColumns({"_life": life("created_at"), "_cell": cell}).withColumnRenamed("_v", "_c")
+    met = q.join(c, ["tenant_id", "_life", "_cell"])
+    return met.where((F.col("created_at") <= F.col("asked_at")) & (F.col("created_at") >= F.col("asked_at") - ttl)).drop("_life", "_cell")
+
+
+def cache_hits(queries: DataFrame, cache: DataFrame, similarity: float = CACHE_SIMILARITY, ttl: int = CACHE_TTL, axis: int = 0) -> DataFrame:
+    """The most similar live answer of the same tenant: query_id, cache_id, score.  Rows without a tenant or a vector find nothing.
 
     ``queries``: query_id, tenant_id, data_source, asked_at, embedding; ``cache``: cache_id, tenant_id, created_at, embedding."""
-    q = queries.where(~F.col("data_source").isin("sql", "hybrid")).select("query_id", "tenant_id", "asked_at", unit(F.col("embedding")).alias("_q"))
-    c = cache.select("cache_id", "tenant_id", "created_at", unit(F.col("embedding")).alias("_c"))
-    met = q.join(c, "tenant_id").where((F.col("created_at") <= F.col("asked_at")) & (F.col("created_at") >= F.col("asked_at") - ttl))
+    met = cache_candidates(queries.where(~F.col("data_source").isin("sql", "hybrid")), cache, similarity, ttl, axis)
     scored = met.select("query_id", "cache_id", F.round(dot(F.col("_q"), F.col("_c")), DIGITS).alias("score")).where(F.col("score") >= similarity)
     return top_k(scored, "query_id", "cache_id", 1).drop("rank")
 
