@@ -31,3 +31,57 @@ def sparse_search(queries: DataFrame, points: DataFrame, k: int, query: str = "q
     met = q.join(points, [tenant, "idx"])
     scored = met.groupBy(query, item).agg(F.round(F.sum(F.col("q_weight") * F.col("weight")), 6).alias("score"))
     return top_k(scored, query, item, k)
+
+
+#: Items of a block of postings; a term's list is split by blocks, however common it is.
+BLOCK_ITEMS = 4096
+#: Blocks of each query that are scored before the rest is pruned.
+FIRST_BLOCKS = 2
+
+
+def block_postings(points: DataFrame, item: str = "doc_id", tenant: str = "tenant_id", block_items: int = BLOCK_ITEMS) -> DataFrame:
+    """Postings with their block: adds size int and part int.  A block holds items of one tenant whose numbers of slots have the same
+    power of two, about ``block_items`` of them, so its longest item says how many terms of a query its items can hold."""
+    sized = points.groupBy(item, tenant).agg(F.count("*").alias("_n")).withColumn("size", F.floor(F.log2("_n")).cast("int"))
+    parts = sized.groupBy(tenant, "size").agg(F.ceil(F.count("*") / F.lit(block_items)).alias("_parts"))  # some twenty rows a tenant
+    dealt = sized.join(parts, [tenant, "size"]).select(item, tenant, "size", F.pmod(F.xxhash64(item), F.col("_parts")).cast("int").alias("part"))
+    return points.join(dealt, [item, tenant])
+
+
+def block_maxima(postings: DataFrame, tenant: str = "tenant_id") -> DataFrame:
+    """The greatest weight of each slot in each block: tenant, size, part, idx, top double."""
+    return postings.groupBy(tenant, "size", "part", "idx").agg(F.max("weight").alias("top"))
+
+
+def block_bounds(queries: DataFrame, maxima: DataFrame, query: str = "query_id", tenant: str = "tenant_id") -> DataFrame:
+    """The most that any item of a block can score for a query: query, tenant, size, part, bound.
+
+    An item of fewer than 2**(size + 1) slots meets at most so many slots of the query, so the greatest of them count."""
+    met = queries.join(maxima, [tenant, "idx"]).withColumn("_share", F.col("q_weight") * F.col("top"))
+    shares = met.groupBy(query, tenant, "size", "part").agg(F.sort_array(F.collect_list("_share"), False).alias("_s"))  # of one query's slots
+    most = F.pow(F.lit(2.0), F.col("size") + 1)
+    best = F.slice("_s", F.lit(1), F.greatest(F.lit(1), (most - 1).cast("int")))
+    return shares.select(query, tenant, "size", "part", F.aggregate(best, F.lit(0.0), lambda a, x: a + x).alias("bound"))
+
+
+def sparse_search_blocks(queries: DataFrame, postings: DataFrame, maxima: DataFrame, k: int, query: str = "query_id", item: str = "doc_id", tenant: str = "tenant_id", first: int = FIRST_BLOCKS) -> DataFrame:
+    """``sparse_search`` over blocks: the same rows, without reading blocks that cannot hold one of the best ``k``.
+
+    Each query's ``first`` most promising blocks are scored; their k-th score is a threshold that the bounds of the others are held
+    against.  ``postings`` and ``maxima`` are stored tables, as ``block_postings`` and ``block_maxima`` make them."""
+    q = queries.where(F.coalesce(F.col(tenant), F.lit("")) != "").withColumnRenamed("weight", "q_weight")
+    bounds = block_bounds(q, maxima, query, tenant)
+    turn = F.row_number().over(Window.partitionBy(query).orderBy(F.desc("bound"), "size", "part"))
+    bounds = bounds.withColumn("_turn", turn)
+    block = [tenant, "size", "part"]
+
+    def score(chosen: DataFrame) -> DataFrame:
+        asked = q.join(chosen.select(query, *block), [query, tenant])
+        met = asked.join(postings, [*block, "idx"])
+        return met.groupBy(query, item).agg(F.round(F.sum(F.col("q_weight") * F.col("weight")), 6).alias("score"))
+
+    leaders = score(bounds.where(F.col("_turn") <= first))
+    least = top_k(leaders, query, item, k).where(F.col("rank") == k).select(query, F.col("score").alias("_least"))
+    # Scores are rounded, bounds are not; a tie can still win by its item's number.
+    rest = bounds.where(F.col("_turn") > first).join(least, query, "left").where(F.col("_least").isNull() | (F.col("bound") >= F.col("_least") - 1e-6))
+    return top_k(leaders.unionByName(score(rest)), query, item, k)

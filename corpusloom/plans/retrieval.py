@@ -6,10 +6,11 @@ from pyspark.sql import functions as F
 
 from corpusloom.operators import chunking as ch
 from corpusloom.operators import retrieval as r
-from corpusloom.operators.sparse import sparse_search, sparse_vectors
+from corpusloom.operators.sparse import block_maxima, block_postings, sparse_search, sparse_search_blocks, sparse_vectors
 from corpusloom.plans import text as tp
 from corpusloom.plans import views as v
 from corpusloom.plans.views import with_views
+from corpusloom.storage import new_folder
 
 LONG = "long"
 
@@ -49,6 +50,17 @@ def dense_topk_by_file(spark, d):
     return _hits(r.dense_search(_queries(e), e, 5, on=("label",)))
 
 
+def sparse_topk_blocks(spark, d):
+    """Every fiftieth document asks with all its terms, against blocks of postings that are written once."""
+    p = v.points(spark, d).drop("embedding")
+    folder = new_folder(spark, "sparse-index")
+    block_postings(sparse_vectors(p, "doc_id", "tenant_id")).write.parquet(f"{folder}/postings")
+    postings = spark.read.parquet(f"{folder}/postings")
+    block_maxima(postings).write.parquet(f"{folder}/maxima")
+    asks = sparse_vectors(_queries(p), "query_id", "tenant_id")
+    return _hits(sparse_search_blocks(asks, postings, spark.read.parquet(f"{folder}/maxima"), 10))
+
+
 def rrf_fusion(spark, d):
     return _hits(_fused(spark, d))
 
@@ -166,6 +178,7 @@ _MMR = f"""{_sql_fused(recursive=True)},
 QUERIES = {
     "dense_topk": dense_topk,
     "dense_topk_by_file": dense_topk_by_file,
+    "sparse_topk_blocks": sparse_topk_blocks,
     "rrf_fusion": rrf_fusion,
     "rrf_multi_query": rrf_multi_query,
     "rerank_default": rerank_default,
@@ -186,6 +199,8 @@ ORACLE_SQL = {
     "dense_topk": f"{with_views('v_points')}, {_ASKS} SELECT query_id, doc_id, score, rank FROM ({_sql_dense(10)})",
     "dense_topk_by_file": f"""WITH e AS (SELECT vec_id AS doc_id, label, CAST(embedding AS DOUBLE[]) AS embedding FROM embeddings)
       {_TOP.format(q="SELECT q.doc_id AS query_id, p.doc_id AS doc_id, " + _COS.format(a='q.embedding', b='p.embedding') + " AS score FROM e q JOIN e p USING (label) WHERE q.doc_id % 50 = 0", k=5)}""",
+    "sparse_topk_blocks": f"""{with_views('v_points')}, {_ASKS}, sq AS ({tp.sql_sparse('asks', 'query_id', 'tenant_id')}), spp AS ({tp.sql_sparse('v_points', 'doc_id', 'tenant_id')})
+      SELECT query_id, doc_id, score, rank FROM ({_TOP.format(q="SELECT query_id, doc_id, round(sum(q.weight * p.weight), 6) AS score FROM sq q JOIN spp p USING (tenant_id, idx) WHERE tenant_id <> '' GROUP BY ALL", k=10)})""",
     "rrf_fusion": f"{_sql_fused()} SELECT query_id, doc_id, score, rank FROM fused",
     "rrf_multi_query": f"""{with_views('v_points')}, own AS (SELECT q.doc_id AS qid, n, q.tenant_id, e.embedding FROM v_points q, (SELECT unnest([0, 1, 2]) AS n), v_points e WHERE q.doc_id % 50 = 0 AND e.doc_id = q.doc_id + n),
       s AS (SELECT qid, n, p.doc_id, {_COS.format(a='q.embedding', b='p.embedding')} AS score FROM own q JOIN v_points p USING (tenant_id)),
