@@ -6,37 +6,22 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.streaming import StreamingQuery
 
-from corpusloom.operators.store import upsert
+from corpusloom.storage import Buckets
 
 
-def upsert_stream(rows: DataFrame, path: str, key: str, order: str, checkpoint: str) -> StreamingQuery:
-    """Keep the newest row of each key below ``path``: every micro-batch writes a new version, named by its number, and a batch that
-    runs again writes the same one.  Readers take the highest version that is complete (``latest``)."""
+def upsert_stream(rows: DataFrame, path: str, key: str, order: str, checkpoint: str, buckets: int = 64, keep: int = 2) -> StreamingQuery:
+    """Keep the newest row of each key below ``path``: every micro-batch rewrites the buckets of its keys (``storage.Buckets``), a batch
+    that runs again writes the same, and what only manifests before the last ``keep`` name is deleted."""
+    schema = ", ".join(f"`{f.name}` {f.dataType.simpleString()}" for f in rows.schema.fields)
 
     def write(batch: DataFrame, number: int) -> None:
-        old = latest(batch.sparkSession, path, before=number)
-        new = upsert(batch.limit(0), batch, key, order) if old is None else upsert(old, batch, key, order)
-        new.write.mode("overwrite").parquet(f"{path}/version={number}")
+        table = Buckets(batch.sparkSession, path, schema, key, order, buckets)
+        table.upsert(batch, number)
+        table.vacuum(keep)
 
     return rows.writeStream.foreachBatch(write).option("checkpointLocation", checkpoint).trigger(availableNow=True).start()
 
 
-def latest(spark, path: str, before: int | None = None) -> DataFrame | None:
-    """The newest complete version; None if there is none."""
-    root = spark.sparkContext._jvm.org.apache.hadoop.fs.Path(path)
-    fs = root.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration())
-    if not fs.exists(root):
-        return None
-    found = []
-    for status in fs.listStatus(root):
-        name = status.getPath().getName()
-        done = spark.sparkContext._jvm.org.apache.hadoop.fs.Path(status.getPath(), "_SUCCESS")
-        if name.startswith("version=") and fs.exists(done):
-            found.append(int(name.split("=")[1]))
-    found = [n for n in found if before is None or n < before]
-    return spark.read.parquet(f"{path}/version={max(found)}") if found else None
-
-
 def windowed_counts(events: DataFrame, at: Column, window: str = "1 hour", late: str = "1 day", *keys: str) -> DataFrame:
     """Counts by event-time window; rows later than ``late`` are dropped by the watermark."""
     rows = events.withColumn("event_time", at).withWatermark("event_time", late)
