@@ -50,6 +50,27 @@ def dense_search(queries: DataFrame, points: DataFrame, k: int = TOP_K, query: s
     return top_k(scored, query, item, k)
 
 
+def similar_chunks(queries: DataFrame, points: DataFrame, texts: DataFrame, parents: DataFrame, files: DataFrame | None = None, k: int = 5, query: str = "query_id", item: str = "point_id", tenant: str = "tenant_id") -> DataFrame:
+    """The nearest chunks of each query with their texts and their parents': query, item, rank, score, text, parent_text.
+
+    ``queries``: query, tenant, embedding; ``points``: item, tenant, file_name, parent_id, embedding, without texts; ``texts``: item, text;
+    ``parents``: parent_id, text; ``files``: (query, file_name) pairs, of queries that want these files only.  Such a query meets the points
+    of its files before anything is ranked; texts join after ranking, to at most ``k`` rows a query.  A chunk without a stored parent has a
+    null parent_text."""
+    bare = points.select(item, tenant, "file_name", "embedding")
+    if files is None:
+        hits = dense_search(queries, bare, k, query, item, (tenant,))
+    else:
+        wanted = files.select(query, "file_name").distinct()
+        free = dense_search(queries.join(wanted.select(query).distinct(), query, "left_anti"), bare, k, query, item, (tenant,))
+        q = queries.where(F.coalesce(F.col(tenant), F.lit("")) != "").select(query, tenant, unit(F.col("embedding")).alias("_q")).join(wanted, query)
+        p = bare.select(item, tenant, "file_name", unit(F.col("embedding")).alias("_p"))
+        scored = q.join(p, [tenant, "file_name"]).select(query, item, F.round(dot(F.col("_q"), F.col("_p")), DIGITS).alias("score"))
+        hits = free.select(query, item, "score", "rank").unionByName(top_k(scored, query, item, k).select(query, item, "score", "rank"))
+    own = hits.join(points.select(item, "parent_id"), item).join(texts.select(item, "text"), item)
+    return own.join(parents.select("parent_id", F.col("text").alias("parent_text")), "parent_id", "left").select(query, item, "rank", "score", "text", "parent_text")
+
+
 def fuse(lists: DataFrame, k: int = TOP_K, rrf_k: int = RRF_K, query: str = "query_id", item: str = "doc_id") -> DataFrame:
     """Reciprocal rank fusion of rows (query, list_id, item, rank from 1)."""
     share = 1.0 / (F.lit(rrf_k) + F.col("rank") - 1)

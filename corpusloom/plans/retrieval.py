@@ -105,6 +105,21 @@ def parent_expand(spark, d):
     return rows.select("file_name", F.col("chunk_index").cast(LONG).alias("chunk_index"), "score", "source", F.col("page").cast(LONG).alias("page"), F.md5(F.col("text").cast("binary")).alias("text_md5"))
 
 
+def similar_with_parents(spark, d):
+    """A document's vector stands for its first child chunk; every other query wants the files of its own last digit only."""
+    children = ch.parents_of(ch.pieces_of_files(v.pages(spark, d)))
+    parents = children.select("parent_id", "text").dropDuplicates(["parent_id"])
+    first = ch.chunk_children(children).where("chunk_index = 0").select("file_name", "parent_id", "text")
+    p = v.points(spark, d).select("doc_id", "tenant_id", "embedding", F.concat(F.lit("doc_"), F.col("doc_id").cast("string"), F.lit(".txt")).alias("file_name"))
+    texts = first.join(p.select("doc_id", "file_name"), "file_name")
+    points = p.join(first.select("file_name", "parent_id"), "file_name")
+    asks = _queries(p).select("query_id", "tenant_id", "embedding")
+    digit = asks.where("query_id % 100 = 0").select("query_id", F.pmod(F.floor(F.col("query_id") / 100), F.lit(10)).alias("digit"))
+    files = digit.join(p.select("file_name", F.pmod("doc_id", F.lit(10)).alias("digit")), "digit")
+    rows = r.similar_chunks(asks, points, texts, parents, files, 5, item="doc_id")
+    return rows.select("query_id", "doc_id", "score", F.col("rank").cast(LONG).alias("rank"), F.md5(F.col("text").cast("binary")).alias("text_md5"), F.md5(F.col("parent_text").cast("binary")).alias("parent_md5"))
+
+
 def reorder_context(spark, d):
     rows = _fused(spark, d)
     sizes = rows.groupBy("query_id").agg(F.count("*").alias("n"))
@@ -185,6 +200,7 @@ QUERIES = {
     "mmr_select": mmr_select,
     "hybrid_retrieve": hybrid_retrieve,
     "parent_expand": parent_expand,
+    "similar_with_parents": similar_with_parents,
     "reorder_context": reorder_context,
     "prompt_context": prompt_context,
     "semantic_cache_hits": semantic_cache_hits,
@@ -212,6 +228,9 @@ ORACLE_SQL = {
     "parent_expand": f"""SELECT file_name, chunk_index, round(n_words / 7.0::DOUBLE, 4) AS score, file_name AS source, page, parent_md5 AS text_md5 FROM (
       {tp.ORACLE_SQL['chunk_children'].replace("SELECT file_name, row_number()", "SELECT file_name, md5(array_to_string(s, ' ')) AS parent_md5, row_number()")})
 """,
+    "similar_with_parents": f"""{with_views('v_points')}, kids AS ({tp.ORACLE_SQL['chunk_children'].replace("SELECT file_name, row_number()", "SELECT file_name, md5(array_to_string(s, ' ')) AS parent_md5, row_number()")}),
+      p AS (SELECT v.*, k.text_md5, k.parent_md5 FROM v_points v JOIN kids k ON k.file_name = 'doc_' || v.doc_id || '.txt' AND k.chunk_index = 0),
+      {_ASKS} SELECT query_id, doc_id, score, rank, text_md5, parent_md5 FROM ({_TOP.format(q="SELECT query_id, doc_id, text_md5, parent_md5, " + _COS.format(a='q.embedding', b='p.embedding') + " AS score FROM asks q JOIN p USING (tenant_id) WHERE query_id % 100 <> 0 OR p.doc_id % 10 = (query_id // 100) % 10", k=5)})""",
     "reorder_context": f"""{_sql_fused()}, z AS (SELECT *, count(*) OVER (PARTITION BY query_id) AS n, rank - 1 AS pos FROM fused)
       SELECT query_id, doc_id, CAST(CASE WHEN n <= 2 THEN pos WHEN pos = 0 THEN 0 WHEN pos = 1 THEN n - 1 ELSE pos - 1 END AS BIGINT) AS place FROM z""",
     "prompt_context": f"""{_sql_fused()}, z AS (SELECT query_id, doc_id, regexp_replace(coalesce(text, ''), '^\\s+|\\s+$', '', 'g') AS t, count(*) OVER (PARTITION BY query_id) AS n, rank - 1 AS pos FROM fused JOIN v_points USING (doc_id) WHERE rank <= 4),

@@ -9,6 +9,8 @@ from corpusloom.operators import layout
 from corpusloom.plans import text as tp
 from corpusloom.plans import views as v
 from corpusloom.sources import parsers
+from corpusloom.storage import new_folder
+from corpusloom.streaming import failures
 
 WIDTH = 600
 
@@ -70,6 +72,26 @@ def parser_failures(spark, d):
     return rows.select("page_id", state.alias("state"))
 
 
+def ingest_attempts(spark, d):
+    """Every page as a file.  Some are of a kind nobody parses; some stores time out up to four times before they answer."""
+    p = v.table(spark, d, "pages")
+    kind = F.when(F.col("page_id") % 7 == 0, ".xyz").otherwise(".txt")
+    files = p.select(F.col("page_id").cast("string").alias("file_hash"), F.concat(F.col("page_id").cast("string"), kind).alias("path"), F.concat(F.lit("page "), "html").cast("binary").alias("content"), F.lit(0).cast("long").alias("arrived_at"))
+
+    def parse(rows):
+        out = (F.col("file_hash").cast("long") % 5 >= F.col("attempt")) & ~F.endswith("path", F.lit(".xyz"))
+        none = F.lit(None).cast("string")
+        slow = rows.where(out).select("file_hash", F.lit(None).cast("int").alias("page"), none.alias("text"), F.lit("TimeoutError: the store does not answer").alias("error"))
+        return slow.unionByName(parsers.parse_files(rows.where(~out), keep=("file_hash",)).select("file_hash", "page", "text", "error"))
+
+    step = failures.Ingestion(spark, new_folder(spark, "ingestion"), parse, "page int, text string")
+    for batch in range(failures.RETRIES + 1):
+        step.step(files if batch == 0 else files.where("false"), batch, 1000 * batch)
+    pages = step.results.read().groupBy("file_hash").agg(F.count("page").alias("n_pages"))
+    rows = step.states().join(pages, "file_hash", "left")
+    return rows.select(F.col("file_hash").cast("long").alias("page_id"), "state", "kind", F.col("attempt").cast("long").alias("attempts"), F.coalesce("n_pages", F.lit(0)).alias("n_pages"))
+
+
 def media_types(spark, d):
     e = F.element_at(F.array(*map(F.lit, ["jpg", "JPEG", "PNG", "gif"])), (F.col("page_id") % 4 + 1).cast("int"))
     return v.table(spark, d, "pages").select("page_id", markup.media_type(e).alias("media_type"))
@@ -131,6 +153,7 @@ QUERIES = {
     "csv_pages": csv_pages,
     "email_pages": email_pages,
     "parser_failures": parser_failures,
+    "ingest_attempts": ingest_attempts,
     "media_types": media_types,
     "reading_order": reading_order,
     "bbox_exclusion": bbox_exclusion,
@@ -144,6 +167,8 @@ ORACLE_SQL = {
     "email_pages": """SELECT conv_id, turn, NULL AS source_attachment, md5('From: a@b.com' || chr(10) || 'Date: Mon, 01 Jan 2024 00:00:00 +0000' || chr(10) || 'Subject: s' || conv_id || chr(10) || chr(10) || coalesce(text, '')) AS text_md5 FROM conversations
       UNION ALL SELECT conv_id, turn, 't.csv', md5('| a | b |' || chr(10) || '| --- | --- |' || chr(10) || '| 1 | 2 |') FROM conversations""",
     "parser_failures": "SELECT page_id, CASE WHEN page_id % 3 = 0 THEN 'unsupported' WHEN page_id % 6 = 1 THEN 'no pages' ELSE 'ok' END AS state FROM pages",
+    "ingest_attempts": """SELECT page_id, CASE WHEN page_id % 7 = 0 OR page_id % 5 = 4 THEN 'dead' ELSE 'done' END AS state, CASE WHEN page_id % 7 = 0 THEN 'permanent' WHEN page_id % 5 = 4 THEN 'transient' ELSE 'done' END AS kind,
+      CASE WHEN page_id % 7 = 0 THEN 1 ELSE least(page_id % 5 + 1, 4) END AS attempts, CASE WHEN page_id % 7 = 0 OR page_id % 5 = 4 THEN 0 ELSE 1 END AS n_pages FROM (SELECT DISTINCT page_id FROM pages)""",
     "media_types": "SELECT page_id, (['image/jpeg', 'image/jpeg', 'image/png', 'image/gif'])[CAST(page_id % 4 + 1 AS INTEGER)] AS media_type FROM pages",
     "reading_order": f"""WITH {_ELEMENTS}, c AS (SELECT page_id, (x0 + x1) / 2 AS c, row_number() OVER (PARTITION BY page_id ORDER BY (x0 + x1) / 2) AS k FROM e WHERE etype = 'text'),
       g AS (SELECT a.page_id, b.c - a.c AS gap, (a.c + b.c) / 2 AS mid FROM c a JOIN c b ON a.page_id = b.page_id AND b.k = a.k + 1),

@@ -11,6 +11,7 @@ from corpusloom.operators import store as st
 from corpusloom.plans import text as tp
 from corpusloom.plans import views as v
 from corpusloom.plans.views import with_views
+from corpusloom.storage import Buckets, new_folder
 
 LONG = "long"
 WINDOW_HOURS, PER_WINDOW = 12, 2
@@ -44,6 +45,16 @@ def status_upsert(spark, d):
     return st.upsert(old, new, "file_name", "seq").select("file_name", "status", "chunk_count")
 
 
+def status_upsert_buckets(spark, d):
+    """The same two batches through a stored table, of which the second rewrites the buckets of its keys."""
+    p = v.pages(spark, d)
+    row = lambda rows, status, seq: rows.select("file_name", F.lit(status).alias("status"), (F.col("doc_id") % 7).alias("chunk_count"), F.lit(seq).alias("seq"))
+    table = Buckets(spark, new_folder(spark, "statuses"), "file_name string, status string, chunk_count bigint, seq int", "file_name", "seq")
+    table.upsert(row(p, st.PROCESSING, 1), 0)
+    table.upsert(row(p.where("doc_id % 3 = 0"), st.COMPLETE, 2), 1)
+    return table.read().select("file_name", "status", "chunk_count")
+
+
 def parents_insert_new(spark, d):
     files = ch.pieces_of_files(v.pages(spark, d))
     new = ch.parents_of(files).select("parent_id", "file_name", F.col("parent_index").cast(LONG).alias("parent_index"))
@@ -179,6 +190,7 @@ QUERIES = {
     "hash_dedup_docs": hash_dedup_docs,
     "ingestion_state_machine": ingestion_state_machine,
     "status_upsert": status_upsert,
+    "status_upsert_buckets": status_upsert_buckets,
     "parents_insert_new": parents_insert_new,
     "point_payloads": point_payloads,
     "point_batches": point_batches,
@@ -230,3 +242,4 @@ ORACLE_SQL = {
     "export_reranker": f"{_X}, {_J} {_RERANK}",
     "export_summary": f"{_X}, {_J} SELECT name, n, n >= least AS ready FROM (SELECT 'sft' AS name, count(*) AS n, 100 AS least FROM ({_SFT}) UNION ALL SELECT 'dpo', count(*), 50 FROM ({_DPO}) UNION ALL SELECT 'reranker', count(*), 200 FROM ({_RERANK}))",
 }
+ORACLE_SQL["status_upsert_buckets"] = ORACLE_SQL["status_upsert"]
