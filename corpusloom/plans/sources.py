@@ -8,7 +8,7 @@ from corpusloom.functions import adapters, markup
 from corpusloom.operators import layout
 from corpusloom.plans import text as tp
 from corpusloom.plans import views as v
-from corpusloom.sources import parsers
+from corpusloom.sources import parsers, pdf
 from corpusloom.storage import new_folder
 from corpusloom.streaming import failures
 
@@ -61,6 +61,18 @@ def email_pages(spark, d):
     return rows.select("conv_id", "turn", "source_attachment", F.md5(body.cast("binary")).alias("text_md5"))
 
 
+def pdf_columns(spark, d):
+    """Forty customers to a PDF page, names in the left column and segments in the right, read back column by column."""
+    c = v.table(spark, d, "customer").withColumn("n", F.col("c_custkey") % 40)
+    show = lambda x, c: F.concat(F.lit(f"BT /F1 8 Tf {x} "), (F.lit(900) - F.col("n") * 20).cast("string"), F.lit(" Td ("), F.col(c), F.lit(") Tj ET\n"))
+    lines = F.array_join(F.transform(F.array_sort(F.collect_list(F.struct("n", F.concat(show(50, "c_name"), show(350, "c_mktsegment")).alias("l")))), lambda x: x.l), "")
+    drawn = c.groupBy(F.floor(F.col("c_custkey") / 40).alias("file_no")).agg(lines.alias("l"))
+    head = "%PDF-1.4\n1 0 obj << /Type /Catalog /Pages 2 0 R >> endobj\n2 0 obj << /Type /Pages /Kids [3 0 R] /MediaBox [0 0 600 920] >> endobj\n3 0 obj << /Type /Page /Contents 5 0 R >> endobj\n5 0 obj << /Length "
+    body = F.concat(F.lit(head), F.octet_length("l").cast("string"), F.lit(" >>\nstream\n"), "l", F.lit("\nendstream endobj\n"))
+    files = drawn.select(F.concat(F.col("file_no").cast("string"), F.lit(".pdf")).alias("path"), body.cast("binary").alias("content"), "file_no")
+    return pdf.pdf_pages(files, keep=("file_no",)).select("file_no", F.col("page").cast("long").alias("page"), F.md5(F.col("text").cast("binary")).alias("text_md5"), "error")
+
+
 def parser_failures(spark, d):
     """Files of a kind nobody parses, and empty ones, each with its error."""
     p = v.table(spark, d, "pages")
@@ -152,6 +164,7 @@ QUERIES = {
     "html_tables_markdown": html_tables_markdown,
     "csv_pages": csv_pages,
     "email_pages": email_pages,
+    "pdf_columns": pdf_columns,
     "parser_failures": parser_failures,
     "ingest_attempts": ingest_attempts,
     "media_types": media_types,
@@ -166,6 +179,8 @@ ORACLE_SQL = {
     "csv_pages": "SELECT c_nationkey, md5('| key | name | segment |' || chr(10) || '| --- | --- | --- |' || chr(10) || string_agg('| ' || c_custkey || ' | ' || c_name || ' | ' || c_mktsegment || ' |', chr(10) ORDER BY c_custkey)) AS text_md5 FROM customer GROUP BY c_nationkey",
     "email_pages": """SELECT conv_id, turn, NULL AS source_attachment, md5('From: a@b.com' || chr(10) || 'Date: Mon, 01 Jan 2024 00:00:00 +0000' || chr(10) || 'Subject: s' || conv_id || chr(10) || chr(10) || coalesce(text, '')) AS text_md5 FROM conversations
       UNION ALL SELECT conv_id, turn, 't.csv', md5('| a | b |' || chr(10) || '| --- | --- |' || chr(10) || '| 1 | 2 |') FROM conversations""",
+    "pdf_columns": """SELECT c_custkey // 40 AS file_no, 1::BIGINT AS page, md5(string_agg(c_name, chr(10) || chr(10) ORDER BY c_custkey) || chr(10) || chr(10) || string_agg(c_mktsegment, chr(10) || chr(10) ORDER BY c_custkey)) AS text_md5, NULL AS error
+      FROM customer GROUP BY ALL""",
     "parser_failures": "SELECT page_id, CASE WHEN page_id % 3 = 0 THEN 'unsupported' WHEN page_id % 6 = 1 THEN 'no pages' ELSE 'ok' END AS state FROM pages",
     "ingest_attempts": """SELECT page_id, CASE WHEN page_id % 7 = 0 OR page_id % 5 = 4 THEN 'dead' ELSE 'done' END AS state, CASE WHEN page_id % 7 = 0 THEN 'permanent' WHEN page_id % 5 = 4 THEN 'transient' ELSE 'done' END AS kind,
       CASE WHEN page_id % 7 = 0 THEN 1 ELSE least(page_id % 5 + 1, 4) END AS attempts, CASE WHEN page_id % 7 = 0 OR page_id % 5 = 4 THEN 0 ELSE 1 END AS n_pages FROM (SELECT DISTINCT page_id FROM pages)""",

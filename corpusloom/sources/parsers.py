@@ -411,7 +411,7 @@ def parse_email(content: bytes, name: str = "", vision: Vision = blind) -> list[
     return [(1, "\n".join(head) + "\n\n" + "\n".join(bodies), None), *files]
 
 
-#: Parser of each extension.  PDF and TIFF need a reader from outside: add it here, with the layout rules of operators.layout.
+#: Parser of each extension; ``read_files`` sends PDF files to ``sources.pdf``.  TIFF needs a reader from outside.
 PARSERS: dict[str, Callable[[bytes, str, Vision], list[Page]]] = {
     ".html": parse_html, ".htm": parse_html, ".csv": parse_csv, ".txt": parse_text, ".docx": parse_docx, ".xlsx": parse_excel, ".eml": parse_email,
     **{f".{e}": parse_image for e in sorted(IMAGES)},
@@ -457,7 +457,12 @@ def read_files(spark, path: str, vision: Vision = blind, most_bytes: int = 512 <
     """Pages of all files below a path; a longer file is not parsed, and its one row has an error that tells its size."""
     files = spark.read.format("binaryFile").option("recursiveFileLookup", "true").load(path)
     small = F.when(F.col("length") <= most_bytes, F.col("content"))
-    rows = parse_files(files.select("path", small.alias("content"), F.sha2("content", 256).alias("file_hash"), "length"), vision, ("file_hash", "length"))
+    from corpusloom.sources.pdf import pdf_pages
+
+    own = files.select("path", small.alias("content"), F.sha2("content", 256).alias("file_hash"), "length")
+    is_pdf, keep = F.endswith(F.lower("path"), F.lit(".pdf")), ("file_hash", "length")
+    rows = parse_files(own.where(~is_pdf), vision, keep)
+    rows = rows.unionByName(pdf_pages(own.where(is_pdf), vision, keep), allowMissingColumns=True)
     long = F.col("length") > most_bytes
     told = F.concat(F.lit("larger than most_bytes: "), F.col("length").cast("string"), F.lit(f" of {most_bytes} bytes"))
     return rows.withColumn("error", F.when(long, told).otherwise(F.col("error"))).drop("length")

@@ -138,7 +138,7 @@ def test_files_of_a_folder(spark, tmp_path):
     (tmp_path / "d.xlsx").write_bytes(b"broken")
     rows = {r["path"].rsplit("/", 1)[1]: r for r in p.read_files(spark, str(tmp_path)).collect()}
     assert rows["a.html"]["text"] == "hi" and rows["b.csv"]["text"].startswith("| x | y |")
-    assert "unsupported" in rows["c.pdf"]["error"] and "ValueError" in rows["d.xlsx"]["error"]
+    assert "not a PDF file" in rows["c.pdf"]["error"] and "ValueError" in rows["d.xlsx"]["error"]
 
 
 def test_file_beyond_the_size_has_its_own_error(spark, tmp_path):
