@@ -234,3 +234,17 @@ def test_markdown(spark):
     lines = F.array(markup.markdown_line([F.lit("1"), F.lit("2")]))
     assert one(spark, markup.markdown_table(["a", "b"], lines)) == "| a | b |\n| --- | --- |\n| 1 | 2 |"
     assert one(spark, markup.markdown_table(["a"], F.array().cast("array<string>"))) == ""
+
+
+def test_similar_chunks(spark):
+    """Files are chosen before ranking; a missing parent is null; an empty tenant finds nothing."""
+    from corpusloom.operators.retrieval import similar_chunks
+
+    points = spark.createDataFrame([(1, "a", "f1", "p1", [1.0, 0.0]), (2, "a", "f2", "p2", [0.9, 0.1]), (3, "a", "f2", None, [0.0, 1.0]), (4, "b", "f2", "p1", [1.0, 0.0]), (5, "", "f1", "p1", [1.0, 0.0])], "point_id long, tenant_id string, file_name string, parent_id string, embedding array<double>")
+    texts = points.selectExpr("point_id", "concat('t', point_id) AS text")
+    parents = spark.createDataFrame([("p1", "parent one")], "parent_id string, text string")
+    asks = spark.createDataFrame([(10, "a", [1.0, 0.0]), (11, "a", [1.0, 0.0]), (12, "", [1.0, 0.0]), (13, "a", [1.0, 0.0])], "query_id long, tenant_id string, embedding array<double>")
+    files = spark.createDataFrame([(11, "f2"), (11, "f2"), (13, "none")], "query_id long, file_name string")
+    got = sorted((r["query_id"], r["rank"], r["point_id"], r["text"], r["parent_text"]) for r in similar_chunks(asks, points, texts, parents, files, 2).collect())
+    assert got == [(10, 1, 1, "t1", "parent one"), (10, 2, 2, "t2", None), (11, 1, 2, "t2", None), (11, 2, 3, "t3", None)]
+    assert {r["query_id"] for r in similar_chunks(asks, points, texts, parents, k=1).collect()} == {10, 11, 13}
