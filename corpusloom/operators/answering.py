@@ -1,7 +1,7 @@
 """A batch of questions from routing to evaluated answers.
 
-Stages are projections and joins over a DataFrame of questions; the one retry that an answer may have is a second, unrolled pass over the
-rows that need it.  Models are columns: without one, account questions are answered in full, the others by the sentence for no answer
+Stages are projections and joins over a DataFrame of questions; column retry says which rows need a second pass, which ``operators.flow``
+makes, with cache and log.  Models are columns: without one, account questions are answered in full, the others by the sentence for no answer
 when nothing was found, else by what the caller's ``written`` column says."""
 
 from __future__ import annotations

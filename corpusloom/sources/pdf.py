@@ -8,7 +8,6 @@ from __future__ import annotations
 
 import base64
 import re
-import struct
 import zlib
 from collections.abc import Iterator
 from typing import Any
@@ -18,6 +17,7 @@ from pyspark.sql import functions as F
 
 from corpusloom.operators import layout
 from corpusloom.sources.parsers import Vision, blind, markdown
+from corpusloom.sources.tiff import png
 
 #: Pictures with a shorter side than this, in samples, are decoration.
 LEAST_PICTURE = 50
@@ -530,9 +530,7 @@ def _picture_bytes(doc: Document, head: dict, data: bytes) -> tuple[bytes, str]
     channels = len(data) // (width * height)
     if channels not in (1, 3):
         return None
-    chunk = lambda kind, body: struct.pack(">I", len(body)) + kind + body + struct.pack(">I", zlib.crc32(kind + body))
-    rows = b"".join(b"\0" + data[i * width * channels : (i + 1) * width * channels] for i in range(height))
-    return b"\x89PNG\r\n\x1a\n" + chunk(b"IHDR", struct.pack(">IIBBBBB", width, height, 8, 0 if channels == 1 else 2, 0, 0, 0)) + chunk(b"IDAT", zlib.compress(rows)) + chunk(b"IEND", b""), "image/png"
+    return png(width, height, channels, data), "image/png"
 
 
 def elements_of(content: bytes, vision: Vision = blind) -> Iterator[tuple[int, str, float, float, float, float, float, str]]:
