@@ -16,7 +16,8 @@ up their places in the prefix, and combinations are made only of a set that has
 texts have no entry at all.
 
 An entry also says how many tokens its set can share with one that it meets there first; sets that cannot reach 0.8 with any
-member of a list leave it.  What meets is verified exactly on the token sets.  A list is not expanded into all pairs: every member is compared with the
+member of a list leave it.  What meets is verified on the whole token sets, exactly
+but for collisions of the tokens' 64-bit hashes.  A list is not expanded into all pairs: every member is compared with the
 list's most central member first, components are joined, and only lists that still hold two components go on, with 8, 64,
 512 ... further pivots, between members of different components whose distances to the first pivot allow a link by the
 triangle inequality.  The last round has every member as a pivot, so nothing is left out; copies cost one comparison each.
