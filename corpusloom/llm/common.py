@@ -35,7 +35,7 @@ def shared_dir(spark: SparkSession) -> str:
     """
     base = spark.conf.get(CHECKPOINT_DIR, None)
     if not base:
-        if not spark.sparkContext.master.startswith("local"):
+        if not (spark.sparkContext.master + "[").startswith("local["):
             raise ValueError(f"{CHECKPOINT_DIR} must name a folder that the driver and all executors share")
         base = "file://" + tempfile.mkdtemp(prefix="corpusloom-")
         spark.conf.set(CHECKPOINT_DIR, base)

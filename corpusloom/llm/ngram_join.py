@@ -21,6 +21,7 @@ but for collisions of the tokens' 64-bit hashes.  A list is not expanded into al
 list's most central member first, components are joined, and only lists that still hold two components go on, with 8, 64,
 512 ... further pivots, between members of different components whose distances to the first pivot allow a link by the
 triangle inequality.  The last round has every member as a pivot, so nothing is left out; copies cost one comparison each.
+A list of more than ``PART`` members is dealt in parts by a hash of the member; every part meets all pivots of a round.
 
 Texts with equal sets are one node from the start.  See ``blocks`` for how counts are made.
 
@@ -48,6 +49,8 @@ U = np.uint64
 SHINGLE = 5
 RARE = 32
 PIVOTS = 8
+#: Members of a list that are compared with its pivots in one task; longer lists are dealt in parts.
+PART = 256
 STEP = 1 << 20
 KEY, LEAST, CHOSEN = "_text_key_", "_least_id_", "_chosen_"
 
@@ -178,7 +181,7 @@ def link_components(texts: DataFrame) -> DataFrame | None:
     lists = materialize(lists.select("key", "members", F.col("first.node").alias("pivot")), "lists")
     if not has_rows(lists):
         return None
-    entries = materialize(entries.drop("apart").join(lists, "key"), "entries")
+    entries = materialize(in_parts(entries.drop("apart").join(lists, "key")), "entries")
     pairs = entries.where("node != pivot").select(F.col("node").alias("a"), F.col("pivot").alias("b")).distinct()
     checked = materialize(verify(pairs, sets), "verified")
     labels = components(checked.where(_linked()))
@@ -192,8 +195,9 @@ def link_components(texts: DataFrame) -> DataFrame | None:
         turn = F.pmod(F.xxhash64("node"), F.lit(1 << 30)) / float(1 << 30) * F.col("members")
         turn = F.floor(F.log(F.greatest(turn, F.lit(1.0))) / F.log(F.lit(float(PIVOTS)))).cast("int")
         members = left.withColumn("turn", turn).where(F.col("turn") >= level)
-        q = members.where(F.col("turn") == level).select("key", *(F.col(c).alias("q_" + c) for c in ("node", "n", "most", "d", "root")))
-        met = members.join(q, "key").where(
+        every = F.explode(F.sequence(F.lit(0), F.col("parts") - 1)).alias("part")
+        q = members.where(F.col("turn") == level).select("key", every, *(F.col(c).alias("q_" + c) for c in ("node", "n", "most", "d", "root")))
+        met = members.join(q, ["key", "part"]).where(
             (F.col("root") != F.col("q_root"))
             & ((F.col("turn") > level) | (F.col("node") < F.col("q_node")))
             & (100 * F.least("n", "q_n") >= 80 * F.greatest("n", "q_n"))
@@ -225,11 +229,18 @@ def possible(entries: DataFrame) -> DataFrame:
     return entries.join(least, "key").where(enough).drop("_n", "_c")
 
 
+def in_parts(entries: DataFrame) -> DataFrame:
+    """Adds parts int, of a list by its members, and part int, of an entry by its node."""
+    rows = entries.withColumn("parts", F.ceil(F.col("members") / PART).cast("int"))
+    return rows.withColumn("part", F.pmod(F.xxhash64("node"), F.col("parts").cast("long")).cast("int"))
+
+
 def open_lists(entries: DataFrame, labels: DataFrame | None) -> DataFrame:
     """The entries, with their root, of lists that still hold more than one component and may hold a link between two."""
     named = entries.withColumn("root", F.col("node")) if labels is None else entries.join(labels, "node", "left").withColumn("root", F.coalesce("root", "node"))
-    mixed = named.groupBy("key").agg(F.min("root").alias("lo"), F.max("root").alias("hi")).where("lo != hi").select("key")
-    return materialize(named.join(mixed, "key", "left_semi"), "open-lists")
+    mixed = named.groupBy("key").agg(F.min("root").alias("lo"), F.max("root").alias("hi"), F.max("parts").alias("parts")).where("lo != hi")
+    mixed = mixed.select("key", F.explode(F.sequence(F.lit(0), F.col("parts") - 1)).alias("part"))
+    return materialize(named.join(mixed, ["key", "part"], "left_semi"), "open-lists")
 
 
 def _classes(docs: DataFrame, id_col: str, text_col: str, rare: int) -> DataFrame:

@@ -90,6 +90,20 @@ def test_query(spark, tiny):
     assert got == {i: (len(shingle_set(t)), rows[c][0]) for (i, t), c in zip(rows, comp, strict=True)}
 
 
+def test_long_lists_in_parts(spark, monkeypatch):
+    """Many texts that share frequent shingles, some linked and some not: lists of many parts, over several rounds of pivots."""
+    monkeypatch.setattr(ngram_join, "PART", 5)
+    rng = np.random.default_rng(9)
+    common = [f"w{i}" for i in range(120)]
+    texts = [" ".join(common[:k] + [f"r{j}x{i}" for i in range(int(rng.integers(0, 50)))]) for j in range(140) for k in (100 + j % 21,)]
+    texts += texts[:20]
+    comp = brute_components(texts)
+    docs = spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string")
+    got = {r["doc_id"]: (r["n_shingles"], r["component_id"]) for r in ngram_join.join(docs).collect()}
+    assert got == {i: (len(shingle_set(t)), c) for i, (t, c) in enumerate(zip(texts, comp, strict=True))}
+    assert 1 < len(set(comp)) < len(texts)
+
+
 def test_similar_sets_of_any_size_share_an_entry():
     """Every pair of similar sets stands in a list together, which says that they can share as much as they do."""
     rng = np.random.default_rng(5)
