@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+from collections.abc import Callable
+
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
@@ -10,13 +12,21 @@ from corpusloom.functions.text import count_words, is_financial, sentence_pieces
 FIXED, PARENT, CHILD = (512, 50), (1024, 0), (256, 30)
 
 
-def pieces_of_files(pages: DataFrame, key: str = "file_name") -> DataFrame:
+def word_pieces(text: Column) -> Column:
+    """array<struct<s, n>>: sentences with their words, long ones in windows."""
+    return F.transform(sentence_pieces(text), lambda s: F.struct(s.alias("s"), count_words(s).alias("n")))
+
+
+def pieces_of_files(pages: DataFrame, key: str = "file_name", measure: Callable[[Column], Column] = word_pieces) -> DataFrame:
     """One row a file: ``key``, file_hash and pieces array<struct<s, page, n>> in page and sentence order.
 
-    ``pages`` has ``key``, file_hash, page and text; null texts are skipped."""
-    cut = F.transform(sentence_pieces(F.col("text")), lambda s: F.struct(s.alias("s"), F.col("page").cast("int").alias("page"), count_words(s).alias("n")))
+    ``pages`` has ``key``, file_hash, page and text; null texts are skipped.  ``measure``: what cuts a text and counts its pieces, in words
+    or, with ``functions.tokens.bpe_pieces``, in tokens; all budgets of chunks are then in its unit, and so is their column n_words."""
     dealt = pages.where(F.col("text").isNotNull()).select(key, "file_hash", "page", "text").repartition(key)  # whole texts, so that cutting runs in parallel
-    rows = dealt.select(key, "file_hash", F.struct(F.col("page").cast("int").alias("page"), cut.alias("cut")).alias("p"))
+    # A measure that runs in Python must be called once for each text, beside the functions over its result.
+    measured = dealt.select(key, "file_hash", "page", measure(F.col("text")).alias("cut"))
+    cut = F.transform("cut", lambda s: F.struct(s.s.alias("s"), F.col("page").cast("int").alias("page"), s.n.alias("n")))
+    rows = measured.select(key, "file_hash", F.struct(F.col("page").cast("int").alias("page"), cut.alias("cut")).alias("p"))
     files = rows.groupBy(key).agg(F.min("file_hash").alias("file_hash"), F.array_sort(F.collect_list("p")).alias("ps"))
     return files.select(key, "file_hash", F.flatten(F.transform("ps", lambda p: p.cut)).alias("pieces")).where(F.size("pieces") > 0)
 

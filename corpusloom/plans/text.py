@@ -4,8 +4,10 @@ from __future__ import annotations
 
 from pyspark.sql import functions as F
 
+from corpusloom.deploy import ship
 from corpusloom.functions import sparse as sp
 from corpusloom.functions import text as tx
+from corpusloom.functions.tokens import bpe_pieces
 from corpusloom.operators import chunking as ch
 from corpusloom.operators.sparse import sparse_search, sparse_vectors
 from corpusloom.plans import views as v
@@ -56,6 +58,23 @@ def chunk_fixed_multipage(spark, d):
     return _chunks(ch.chunk_fixed(ch.pieces_of_files(v.multipage(spark, d)), size=128, overlap=20))
 
 
+def _by_tokens(spark, d):
+    """Pieces of the documents' files, counted in tokens of a public vocabulary that lies beside the tables' engine."""
+    import public_tokenizers
+
+    return ch.pieces_of_files(v.pages(spark, d), measure=bpe_pieces(str(public_tokenizers.path("byte_bpe_50k.tiktoken"))))
+
+
+def chunk_fixed_tokens(spark, d):
+    ship(spark)
+    return _chunks(ch.chunk_fixed(_by_tokens(spark, d))).withColumnRenamed("n_words", "n_tokens")
+
+
+def chunk_children_tokens(spark, d):
+    ship(spark)
+    return _chunks(ch.chunk_children(ch.parents_of(_by_tokens(spark, d)))).withColumnRenamed("n_words", "n_tokens")
+
+
 def chunk_parents(spark, d):
     rows = ch.parents_of(ch.pieces_of_files(v.pages(spark, d)))
     return rows.select("file_name", F.col("parent_index").cast("long").alias("parent_index"), "parent_id", F.col("n_words").cast("long").alias("n_words"), F.md5(F.col("text").cast("binary")).alias("text_md5"))
@@ -184,6 +203,8 @@ QUERIES = {
     "sentence_page_map": sentence_page_map,
     "token_window_split": token_window_split,
     "chunk_fixed": chunk_fixed,
+    "chunk_fixed_tokens": chunk_fixed_tokens,
+    "chunk_children_tokens": chunk_children_tokens,
     "chunk_fixed_multipage": chunk_fixed_multipage,
     "chunk_parents": chunk_parents,
     "chunk_children": chunk_children,

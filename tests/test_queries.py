@@ -19,7 +19,7 @@ def test_entry_and_registration(spark):
 
     assert len(entry.entry(spark).take(1)) == 1
     assert set(entry.oracle_sql()) <= set(entry.queries())
-    assert set(catalog.QUERIES) - set(catalog.ORACLE_SQL) == {"html_text"}
+    assert set(catalog.QUERIES) - set(catalog.ORACLE_SQL) == {"html_text", "chunk_fixed_tokens", "chunk_children_tokens"}
 
 
 def test_html_parser_on_whole_pages(spark, tiny):
