@@ -142,6 +142,13 @@ def admission_limiter(spark, d):
     return rows.select("event_id", "user_id", "accepted")
 
 
+def admission_ranges(spark, d):
+    """All clicks, of hot clients and of none; a click without a time is not judged."""
+    rows = v.table(spark, d, "clicks").select("click_id", "client_id", F.unix_micros(F.col("ts").cast("timestamp")).alias("us"))
+    rows = admission.admit_in_ranges(rows, "client_id", "us", "click_id", PER_WINDOW, WINDOW_HOURS * 3600 * 1_000_000)
+    return rows.select("click_id", "client_id", "accepted")
+
+
 def export_sft(spark, d):
     rows = fb.export_sft(v.feedback(spark, d), v.audit(spark, d))
     return rows.select("id", F.md5(F.to_json(F.struct("messages")).cast("binary")).alias("json_md5"))
@@ -205,6 +212,7 @@ QUERIES = {
     "tune_params_iterated": tune_params_iterated,
     "params_lookup": params_lookup,
     "admission_limiter": admission_limiter,
+    "admission_ranges": admission_ranges,
     "export_sft": export_sft,
     "export_dpo": export_dpo,
     "export_reranker": export_reranker,
@@ -237,6 +245,11 @@ ORACLE_SQL = {
         UNION ALL SELECT e.user_id, e.event_id, e.n, ok, CASE WHEN ok THEN list_append(taken, e.us) ELSE taken END FROM (
           SELECT w.taken, e.*, len(w.taken) < {PER_WINDOW} OR w.taken[-{PER_WINDOW}] < e.us - {WINDOW_HOURS * 3600 * 1_000_000} AS ok FROM w JOIN e ON e.user_id = w.user_id AND e.n = w.n + 1) e)
       SELECT event_id, user_id, accepted FROM w""",
+    "admission_ranges": f"""WITH RECURSIVE e AS (SELECT click_id, coalesce(client_id, -1) AS k, epoch_us(ts) AS us, row_number() OVER (PARTITION BY client_id ORDER BY ts, click_id) AS n FROM clicks WHERE ts IS NOT NULL),
+      w AS (SELECT k, click_id, n, true AS accepted, [us] AS taken FROM e WHERE n = 1
+        UNION ALL SELECT e.k, e.click_id, e.n, ok, CASE WHEN ok THEN list_append(taken, e.us)[-{PER_WINDOW}:] ELSE taken END FROM (
+          SELECT w.taken, e.*, len(w.taken) < {PER_WINDOW} OR w.taken[-{PER_WINDOW}] < e.us - {WINDOW_HOURS * 3600 * 1_000_000} AS ok FROM w JOIN e ON e.k = w.k AND e.n = w.n + 1) e)
+      SELECT click_id, nullif(k, -1) AS client_id, accepted FROM w UNION ALL SELECT click_id, client_id, NULL FROM clicks WHERE ts IS NULL""",
     "export_sft": f"{_F}, {_J} SELECT id, md5(CAST(to_json({{'messages': [{{'role': 'user', 'content': question}}, {{'role': 'assistant', 'content': answer}}]}}) AS VARCHAR)) AS json_md5 FROM ({_SFT})",
     "export_dpo": f"{_F}, {_J} SELECT prompt, md5(chosen) AS chosen, md5(rejected) AS rejected FROM ({_DPO})",
     "export_reranker": f"{_X}, {_J} {_RERANK}",

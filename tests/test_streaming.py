@@ -1,8 +1,11 @@
 from __future__ import annotations
 
+import random
+
+import pytest
 from pyspark.sql import functions as F
 
-from corpusloom.operators.admission import admit
+from corpusloom.operators.admission import admit, admit_in_ranges
 from corpusloom.streaming.admission import admit_stream
 from corpusloom.storage import Buckets, complete, file_system
 from corpusloom.streaming.failures import Ingestion, delay, failure_class
@@ -28,6 +31,23 @@ def test_batch_admission(spark):
     assert got == deque_admission(ROWS, 3, 20.0)
 
 
+@pytest.mark.parametrize("rounds, limit, window", [(0, 3, 20), (1, 2, 5000), (4, 1, 10), (4, 0, 5)])
+def test_admission_in_ranges(spark, rounds, limit, window):
+    """A key with half of all rows, irregular and saturated; one whose exits never agree; ties, repeats, null keys and times."""
+    rng = random.Random(7)
+    rows = [("hot", rng.randrange(4000), i) for i in range(500)] + [("even", 3 * i, 500 + i) for i in range(300)]
+    rows += [(rng.choice("abc"), rng.randrange(4000), 800 + i) for i in range(150)] + [(None, rng.randrange(900), 950 + i) for i in range(60)]
+    df = spark.createDataFrame([*rows, ("hot", None, 2000), (None, None, 2001)], "user string, at long, n int").repartition(3)
+    got = {r["n"]: r["accepted"] for r in admit_in_ranges(df, "user", "at", "n", limit, window, 8, rounds).collect()}
+    assert got == {**deque_admission(rows, limit, window), 2000: None, 2001: None}
+
+
+def test_admission_in_ranges_of_nothing(spark):
+    rows = spark.createDataFrame([], "user string, at long, n int, more string")
+    got = admit_in_ranges(rows, "user", "at", "n")
+    assert got.columns == ["user", "at", "n", "more", "accepted"] and got.count() == 0
+
+
 def test_streamed_admission_equals_batch(spark, tmp_path):
     rows = sorted(ROWS, key=lambda r: (r[1], r[2]))
     for i, part in enumerate((rows[:90], rows[90:])):
