@@ -15,7 +15,9 @@ def admit_stream(requests: DataFrame, key: str, at: str, order: str, limit: int
     """(``key``, ``order``, accepted) for a stream with those columns and ``at`` (seconds as double).
 
     Requests of one trigger are taken in the order of time; one that arrives in a later trigger is judged by what has been accepted
-    by then.  A key's state goes when a whole window has passed since its last request by the clock of processing."""
+    by then.  A key's state goes when a whole window has passed since its last request by the clock of processing.  Such time-outs make
+    Spark run batches without data for ever; a query that shall end (trigger availableNow) must be started while the session's setting
+    spark.sql.streaming.noDataMicroBatches.enabled is false, and its states go in a later run."""
     from pyspark.sql.streaming.state import GroupState, GroupStateTimeout
 
     types = {f.name: f.dataType.simpleString() for f in requests.schema.fields}

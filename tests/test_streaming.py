@@ -11,6 +11,7 @@ from corpusloom.storage import Buckets, complete, file_system
 from corpusloom.streaming.failures import Ingestion, delay, failure_class
 from corpusloom.streaming.ingest import upsert_stream, windowed_counts
 
+NO_DATA = "spark.sql.streaming.noDataMicroBatches.enabled"
 SCHEMA = "user string, at double, n int"
 
 
@@ -48,14 +49,15 @@ def test_admission_in_ranges_of_nothing(spark):
     assert got.columns == ["user", "at", "n", "more", "accepted"] and got.count() == 0
 
 
-def test_streamed_admission_equals_batch(spark, tmp_path):
+def test_streamed_admission_equals_batch(spark, tmp_path, request):
     rows = sorted(ROWS, key=lambda r: (r[1], r[2]))
+    request.addfinalizer(lambda: spark.conf.unset(NO_DATA))
+    spark.conf.set(NO_DATA, "false")
     for i, part in enumerate((rows[:90], rows[90:])):
         spark.createDataFrame(part, SCHEMA).coalesce(1).write.mode("append").json(str(tmp_path / "in"))
         stream = spark.readStream.schema(SCHEMA).json(str(tmp_path / "in"))
         q = admit_stream(stream, "user", "at", "n", 3, 20.0).writeStream.format("parquet").option("path", str(tmp_path / "out")).option("checkpointLocation", str(tmp_path / "cp")).trigger(availableNow=True).start()
-        q.awaitTermination(120)
-        assert q.exception() is None, i
+        assert q.awaitTermination(120) and q.exception() is None, i
     got = {r["n"]: r["accepted"] for r in spark.read.parquet(str(tmp_path / "out")).collect()}
     assert got == deque_admission(ROWS, 3, 20.0)
 
