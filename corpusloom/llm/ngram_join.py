@@ -21,6 +21,8 @@ but for collisions of the tokens' 64-bit hashes.  A list is not expanded into al
 list's most central member first, components are joined, and only lists that still hold two components go on, with 8, 64,
 512 ... further pivots, between members of different components whose distances to the first pivot allow a link by the
 triangle inequality.  The last round has every member as a pivot, so nothing is left out; copies cost one comparison each.
+Members also carry 256 parities of their tokens' hashes: two sets differ by at least as many tokens as parities, so pairs that differ by
+more than a ninth of their sizes together, which is what 0.8 allows, are not formed.
 A list of more than ``PART`` members is dealt in parts by a hash of the member; every part meets all pivots of a round.
 
 Texts with equal sets are one node from the start.  See ``blocks`` for how counts are made.
@@ -75,6 +77,12 @@ def classes(n: int) -> int:
     return 1 << max(0, (n // 5).bit_length() - 1)
 
 
+def parities(tokens: np.ndarray) -> np.ndarray:
+    """Four 64-bit numbers: for each of 256 classes of tokens, whether the set holds an odd number of them."""
+    odd = np.bincount((mix(tokens ^ U(0x2545F4914F6CDD1D)) & U(255)).astype(np.int64), minlength=256) & 1
+    return np.packbits(odd.astype(np.uint8)).view(np.int64)
+
+
 def _combinations(group: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
     """Places i < j of all pairs of equal values."""
     order = np.argsort(group, kind="stable")
@@ -111,7 +119,7 @@ def index_keys(tokens: np.ndarray, held: np.ndarray, n: int, rare: int = RARE) -
 
 def token_sets(docs: DataFrame, text_col: str = "text", rare: int = RARE) -> DataFrame:
     """One row for each distinct text that has words: key, node (digest of its set), n long, alone long (tokens that no other
-    text holds), tokens binary (the others; null if it stands in no list), keys array<struct<key long, most int>>."""
+    text holds), tokens binary (the others; null if it stands in no list), bits array<long> (their parities, likewise), keys array<struct<key long, most int>>."""
     import pyarrow as pa
 
     blocks = block_count(docs, text_col)
@@ -122,7 +130,7 @@ def token_sets(docs: DataFrame, text_col: str = "text", rare: int = RARE) -> Dat
         x, held = lookup_table(counts)
         names = table.column("key").to_pylist() if table.num_rows else []
         found, bounds = [np.zeros(0, U)], [np.zeros(0, np.int64)]
-        cols: dict[str, list] = {"key": [], "node": [], "n": [], "alone": [], "tokens": [], "keys": []}
+        cols: dict[str, list] = {"key": [], "node": [], "n": [], "alone": [], "tokens": [], "bits": [], "keys": []}
         for rows, sets in _sets(table) if table.num_rows else ():
             sizes = [len(s) for s in sets]
             number = lookup(np.concatenate(sets), x, held)
@@ -134,18 +142,18 @@ def token_sets(docs: DataFrame, text_col: str = "text", rare: int = RARE) -> Dat
                     continue
                 shared = h > 1
                 keys, most = index_keys(s[shared], h[shared], n, rare)
-                row_values = (names[row], hashlib.blake2b(s.tobytes(), digest_size=16).hexdigest(), n, n - int(shared.sum()), s[shared].astype("<u8").tobytes() if len(keys) else None, len(keys))
+                row_values = (names[row], hashlib.blake2b(s.tobytes(), digest_size=16).hexdigest(), n, n - int(shared.sum()), s[shared].astype("<u8").tobytes() if len(keys) else None, parities(s[shared]).tolist() if len(keys) else None, len(keys))
                 for c, v in zip(cols, row_values, strict=True):
                     cols[c].append(v)
                 found.append(keys)
                 bounds.append(most)
         flat = pa.StructArray.from_arrays([pa.array(np.concatenate(found).view(np.int64)), pa.array(np.concatenate(bounds).astype(np.int32))], ["key", "most"])
         lists = pa.ListArray.from_arrays(pa.array(np.cumsum([0, *cols.pop("keys")]), pa.int32()), flat)
-        types = [pa.string(), pa.string(), pa.int64(), pa.int64(), pa.binary()]
+        types = [pa.string(), pa.string(), pa.int64(), pa.int64(), pa.binary(), pa.list_(pa.int64())]
         return pa.table([*(pa.array(v, t) for v, t in zip(cols.values(), types, strict=True)), lists], [*cols, "keys"])
 
     back = totals(dealt, blocks, _block_tokens, least=2)
-    return dealt.groupBy("block").cogroup(back.groupBy("block")).applyInArrow(attach, "key string, node string, n bigint, alone bigint, tokens binary, keys array<struct<key:bigint,most:int>>")
+    return dealt.groupBy("block").cogroup(back.groupBy("block")).applyInArrow(attach, "key string, node string, n bigint, alone bigint, tokens binary, bits array<bigint>, keys array<struct<key:bigint,most:int>>")
 
 
 def verify(pairs: DataFrame, sets: DataFrame) -> DataFrame:
@@ -175,7 +183,7 @@ def _needed(n, other):
 def link_components(texts: DataFrame) -> DataFrame | None:
     """(node, root) of the nodes that are linked with another, from what ``token_sets`` returns; None if there are none."""
     indexed = texts.where(F.size("keys") > 0).dropDuplicates(["node"])
-    sets = materialize(indexed.select("node", "n", "tokens", (F.col("alone") / F.col("n")).alias("apart"), "keys"), "token-sets")
+    sets = materialize(indexed.select("node", "n", "tokens", (F.col("alone") / F.col("n")).alias("apart"), "bits", "keys"), "token-sets")
     entries = possible(sets.select("node", "n", "apart", F.explode("keys").alias("k")).select("node", "n", "apart", "k.key", "k.most"))
     lists = entries.groupBy("key").agg(F.count("*").alias("members"), F.min(F.struct(F.round("apart", 2), -F.col("n"), "node")).alias("first")).where("members > 1")
     lists = materialize(lists.select("key", "members", F.col("first.node").alias("pivot")), "lists")
@@ -188,6 +196,7 @@ def link_components(texts: DataFrame) -> DataFrame | None:
     distance = 1.0 - F.col("shared") / F.col("union")
     apart = checked.select(F.col("a").alias("node"), F.col("b").alias("pivot"), distance.alias("d"))
     left = open_lists(entries.join(apart, ["node", "pivot"], "left").withColumn("d", F.coalesce("d", F.lit(0.0))), labels)
+    left = materialize(left.join(sets.select("node", "bits"), "node"), "open-lists")
     done, level = checked.select(F.least("a", "b").alias("a"), F.greatest("a", "b").alias("b")), 0
     most = left.agg(F.max("members")).first()[0]
     while most is not None:
@@ -196,13 +205,14 @@ def link_components(texts: DataFrame) -> DataFrame | None:
         turn = F.floor(F.log(F.greatest(turn, F.lit(1.0))) / F.log(F.lit(float(PIVOTS)))).cast("int")
         members = left.withColumn("turn", turn).where(F.col("turn") >= level)
         every = F.explode(F.sequence(F.lit(0), F.col("parts") - 1)).alias("part")
-        q = members.where(F.col("turn") == level).select("key", every, *(F.col(c).alias("q_" + c) for c in ("node", "n", "most", "d", "root")))
+        q = members.where(F.col("turn") == level).select("key", every, *(F.col(c).alias("q_" + c) for c in ("node", "n", "most", "d", "root", "bits")))
         met = members.join(q, ["key", "part"]).where(
             (F.col("root") != F.col("q_root"))
             & ((F.col("turn") > level) | (F.col("node") < F.col("q_node")))
             & (100 * F.least("n", "q_n") >= 80 * F.greatest("n", "q_n"))
             & (180 * F.least("most", "q_most") >= _needed(F.col("n"), F.col("q_n")))
             & (F.abs(F.col("d") - F.col("q_d")) <= 0.2 + 1e-9)
+            & (9 * _differing("bits", "q_bits") <= F.col("n") + F.col("q_n"))
         )
         new = met.select(F.least("node", "q_node").alias("a"), F.greatest("node", "q_node").alias("b")).distinct().join(done, ["a", "b"], "left_anti")
         found = materialize(verify(new, sets), "verified")
@@ -221,6 +231,11 @@ def link_components(texts: DataFrame) -> DataFrame | None:
     return labels
 
 
+def _differing(a: str, b: str):
+    """Parities in which two sets differ."""
+    return sum((F.bit_count(F.col(a)[i].bitwiseXOR(F.col(b)[i])) for i in range(1, 4)), F.bit_count(F.col(a)[0].bitwiseXOR(F.col(b)[0])))
+
+
 def possible(entries: DataFrame) -> DataFrame:
     """The entries of lists with at least two members, without those that cannot share enough with a set of the list's least size,
     or of the least size that can be similar."""

@@ -128,6 +128,16 @@ def test_similar_sets_of_any_size_share_an_entry():
     assert linked > 500 and not singles
 
 
+def test_parities_never_exceed_the_difference():
+    rng = np.random.default_rng(3)
+    pool = rng.integers(0, 1 << 63, 4000, np.uint64)
+    for n in (0, 1, 7, 90, 700, 3000):
+        a, b = (np.unique(rng.choice(pool, n)) for _ in range(2))
+        apart = sum(int(x ^ y).bit_count() for x, y in zip(*(ngram_join.parities(t).view(np.uint64).tolist() for t in (a, b)), strict=True))
+        assert apart <= len(np.setxor1d(a, b)) and (apart > 0 or n == 0)
+        assert not (ngram_join.parities(a) ^ ngram_join.parities(a)).any()
+
+
 def test_combinations():
     group = np.array([3, 1, 3, 3, 0, 1], np.uint64)
     got = sorted(zip(*(x.tolist() for x in ngram_join._combinations(group)), strict=True))
