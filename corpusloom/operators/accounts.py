@@ -22,8 +22,13 @@ def balance(t: DataFrame) -> DataFrame:
     )
 
 
+def newest_first() -> list:
+    """The order of rows from the newest on; ties go by columns."""
+    return [F.desc("date"), "id", "amount", "merchant", "category"]
+
+
 def _newest(t: DataFrame, limit: int) -> DataFrame:
-    order = Window.partitionBy(*KEYS).orderBy(F.desc("date"), "id", "amount", "merchant", "category")
+    order = Window.partitionBy(*KEYS).orderBy(*newest_first())
     return t.withColumn("n", F.row_number().over(order)).where(F.col("n") <= min(limit, ROW_LIMIT))
 
 
@@ -98,22 +103,27 @@ def money(c: Column) -> Column:
     return F.concat(F.lit("$"), F.format_number(F.coalesce(c.cast("double"), F.lit(0.0)), 2))
 
 
+def balance_text(balance: Column, credits: Column, debits: Column, n: Column) -> Column:
+    signed = F.when(F.coalesce(balance, F.lit(0)) >= 0, F.concat(F.lit("+"), money(balance))).otherwise(F.concat(F.lit("$"), F.format_number(balance.cast("double"), 2)))
+    return F.concat(
+        F.lit("Current account balance: "), signed, F.lit("\nTotal credits received: "), money(credits), F.lit("\nTotal debits made: "), money(debits),
+        F.lit("\nTotal transactions on record: "), n.cast("string"),
+    )
+
+
 def render_balance(rows: DataFrame) -> DataFrame:
-    signed = F.when(F.coalesce("balance", F.lit(0)) >= 0, F.concat(F.lit("+"), money(F.col("balance")))).otherwise(F.concat(F.lit("$"), F.format_number(F.col("balance").cast("double"), 2)))
-    text = F.concat(
-        F.lit("Current account balance: "), signed, F.lit("\nTotal credits received: "), money(F.col("total_credits")), F.lit("\nTotal debits made: "), money(F.col("total_debits")),
-        F.lit("\nTotal transactions on record: "), F.col("total_transactions").cast("string"),
+    return rows.select(*KEYS, balance_text(*(F.col(c) for c in ("balance", "total_credits", "total_debits", "total_transactions"))).alias("answer"))
+
+
+def spending_text(days: Column, spent: Column, n: Column) -> Column:
+    mean = F.when(n > 0, spent.cast("double") / n).otherwise(0.0)
+    return F.concat(
+        F.lit("Spending in the last "), days, F.lit(" days: "), money(spent), F.lit("\nNumber of debit transactions: "), n.cast("string"), F.lit("\nAverage per transaction: "), money(mean)
     )
-    return rows.select(*KEYS, text.alias("answer"))
 
 
 def render_spending(rows: DataFrame, days: int) -> DataFrame:
-    mean = F.when(F.col("num_transactions") > 0, F.col("total_spent").cast("double") / F.col("num_transactions")).otherwise(0.0)
-    text = F.concat(
-        F.lit(f"Spending in the last {days} days: "), money(F.col("total_spent")), F.lit("\nNumber of debit transactions: "), F.col("num_transactions").cast("string"),
-        F.lit("\nAverage per transaction: "), money(mean),
-    )
-    return rows.select(*KEYS, text.alias("answer"))
+    return rows.select(*KEYS, spending_text(F.lit(str(days)), F.col("total_spent"), F.col("num_transactions")).alias("answer"))
 
 
 def _listed(rows: DataFrame, head: Column, line: Column) -> DataFrame:
@@ -122,12 +132,15 @@ def _listed(rows: DataFrame, head: Column, line: Column) -> DataFrame:
     return found.select(*KEYS, F.array_join(F.concat(F.array(head), F.transform("_lines", lambda x: x.l)), "\n").alias("answer"))
 
 
+def category_line(category: Column, total: Column, n: Column) -> Column:
+    return F.concat(F.lit("  "), F.coalesce(category, F.lit("Unknown")), F.lit(": "), money(total), F.lit(" ("), n.cast("string"), F.lit(" transactions)"))
+
+
 def render_categories(rows: DataFrame) -> DataFrame:
-    line = F.concat(F.lit("  "), F.coalesce("category", F.lit("Unknown")), F.lit(": "), money(F.col("total")), F.lit(" ("), F.col("count").cast("string"), F.lit(" transactions)"))
-    return _listed(rows, F.lit("Spending breakdown by category:"), line)
+    return _listed(rows, F.lit("Spending breakdown by category:"), category_line(F.col("category"), F.col("total"), F.col("count")))
 
 
-def _transaction_line(mark: str, describe: bool) -> Column:
+def transaction_line(mark: str, describe: bool) -> Column:
     parts = [F.lit("  "), F.col("date").cast("string"), F.lit(" | "), F.col("merchant"), F.lit(" | "), money(F.abs("amount")), F.lit(" ("), F.col("type"), F.lit(")")]
     if describe:
         parts.append(F.when(F.coalesce("description", F.lit("")) != "", F.concat(F.lit(" — "), "description")).otherwise(""))
@@ -135,11 +148,11 @@ def _transaction_line(mark: str, describe: bool) -> Column:
 
 
 def render_transactions(rows: DataFrame) -> DataFrame:
-    return _listed(rows, F.concat(F.lit("Transactions ("), F.col("_rows").cast("string"), F.lit(" results):")), _transaction_line(" ⚠️", True))
+    return _listed(rows, F.concat(F.lit("Transactions ("), F.col("_rows").cast("string"), F.lit(" results):")), transaction_line(" ⚠️", True))
 
 
 def render_flagged(rows: DataFrame) -> DataFrame:
-    return _listed(rows, F.concat(F.lit("Flagged / suspicious transactions ("), F.col("_rows").cast("string"), F.lit(" found):")), _transaction_line(" ⚠️ FLAGGED", False))
+    return _listed(rows, F.concat(F.lit("Flagged / suspicious transactions ("), F.col("_rows").cast("string"), F.lit(" found):")), transaction_line(" ⚠️ FLAGGED", False))
 
 
 def distinct_transactions(t: DataFrame) -> DataFrame:
