@@ -4,12 +4,13 @@ The training texts' words are indexed in shards of at most ``SHARD_BYTES`` of te
 row of a stored table: sorted term hashes, the bounds of their posting lists, and the postings, positions of the shard in
 ascending order.  A position is a word's number plus its document's number, so no phrase can cross two documents.
 
-A search takes benchmark items in blocks of at most ``BLOCK_BYTES``, so what is sent to the tasks is bounded; every
-shard answers every block.  A phrase starts from the posting list of its rarest term in the shard; the lists of its other
+A search takes distinct benchmark items in blocks of about ``BLOCK_BYTES``, one block at a time: it is sent to the tasks, every shard
+answers it, and it is given up before the next one.  So the driver and each task hold one block, whatever the benchmark's size.  A phrase starts from the posting list of its rarest term in the shard; the lists of its other
 terms, shifted by their offsets, are intersected from the next rarest on until nothing is left or all agree.  Proximity
 search asks for the terms in any order within a number of words of the rarest one.
 
-There is no shuffle: the index is partitioned by document, and only answers leave a shard.
+With one block there is no shuffle: the index is partitioned by document, and only answers leave a shard.  With more, the answers to
+each block, covered spans of the documents that it meets, are a stored table; they are put together by document, spans overlapping or not.
 
 Defined results: null and wordless texts have no words, hits or items; a null or wordless item has no window; an item id
 counts once however many rows carry it; rows with a null item id mark hits, but are neither listed nor counted; an item
@@ -168,44 +169,104 @@ class Items:
                 yield item, at
 
 
-def item_blocks(items: DataFrame, id_col: str, text_col: str, block_bytes: int = BLOCK_BYTES) -> Iterator[list[tuple[str | None, str]]]:
-    """The items' (id, text), at most about ``block_bytes`` at a time."""
-    rows = items.select(F.col(id_col).cast("string").alias("id"), text_or_empty(F.col(text_col)).alias("text"))
-    total = rows.agg(F.sum(F.octet_length("text"))).first()[0] or 0
+def item_blocks(items: DataFrame, id_col: str, text_col: str, block_bytes: int = BLOCK_BYTES) -> Iterator[tuple[int, list[tuple[str | None, str]]]]:
+    """How many blocks there are, and the distinct (id, text) of one, about ``block_bytes`` at a time."""
+    rows = items.select(F.col(id_col).cast("string").alias("id"), text_or_empty(F.col(text_col)).alias("text")).distinct()
+    total = rows.agg(F.sum(F.octet_length("text") + 16)).first()[0] or 0
     n = max(1, -(-total // block_bytes))
     for k in range(n):
         part = rows if n == 1 else rows.where(F.pmod(F.xxhash64("id", "text"), F.lit(n)) == k)
-        yield [(r["id"], r["text"]) for r in part.collect()]
+        yield n, [(r["id"], r["text"]) for r in part.collect()]
+
+
+def _each_block(index: DataFrame, items: DataFrame, item_col: str, text_col: str, window: int, block_bytes: int, one, more) -> list[DataFrame]:
+    """``one(broadcast items)`` of the only block; or ``more`` of each, stored before the next block is fetched."""
+    out = []
+    for n, rows in item_blocks(items, item_col, text_col, block_bytes):
+        block = index.sparkSession.sparkContext.broadcast(Items(rows, window))
+        if n == 1:
+            return [one(block)]
+        out.append(materialize(more(block), "block-answers"))
+        block.unpersist()
+    return out
+
+
+def _covered(p: Postings, block: Items) -> tuple[np.ndarray, list[set[str]]]:
+    """Which positions of a shard lie in an occurrence of a window, and the items of each document."""
+    steps = np.zeros(int(p.begin[-1]) + 1, np.int32)
+    listed: list[set[str]] = [set() for _ in range(len(p.begin) - 1)]
+    for item, at, size in block.phrases(p):
+        np.add.at(steps, at, 1)
+        np.add.at(steps, at + size, -1)
+        if item is not None:
+            for d in set(p.document(at).tolist()):
+                listed[d].add(item)
+    return np.cumsum(steps) > 0, listed
+
+
+def _postings(batch, k: int) -> Postings:
+    return Postings(np.asarray(batch.column("n_words")[k].values, dtype=np.int64), *(batch.column(c)[k].as_buffer() for c in ("terms", "bounds", "postings")))
 
 
 def search(index: DataFrame, items: DataFrame, item_col: str = "item_id", text_col: str = "text", window: int = WINDOW, block_bytes: int = BLOCK_BYTES) -> DataFrame:
     """Phrase matches, one row for each indexed document: id, n_words long, n_hit long, items array<string> (sorted, distinct)."""
     import pyarrow as pa
 
-    spark = index.sparkSession
     kind = index.schema["ids"].dataType.elementType.simpleString()
-    blocks = [spark.sparkContext.broadcast(Items(rows, window)) for rows in item_blocks(items, item_col, text_col, block_bytes)]
-
-    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        enter("decontaminate")
-        for batch in batches:
-            for k in range(batch.num_rows):
-                ids, n_words = batch.column(1)[k].values, np.asarray(batch.column(2)[k].values, dtype=np.int64)
-                p = Postings(n_words, *(batch.column(c)[k].as_buffer() for c in (3, 4, 5)))
-                steps = np.zeros(int(p.begin[-1]) + 1, np.int32)
-                listed: list[set[str]] = [set() for _ in n_words]
-                for block in blocks:
-                    for item, at, size in block.value.phrases(p):
-                        np.add.at(steps, at, 1)
-                        np.add.at(steps, at + size, -1)
-                        if item is not None:
-                            for d in set(p.document(at).tolist()):
-                                listed[d].add(item)
-                hit = np.concatenate([[0], np.cumsum(np.cumsum(steps) > 0)])
-                n_hit = hit[p.begin[1:]] - hit[p.begin[:-1]]
-                yield pa.RecordBatch.from_arrays([ids, pa.array(n_words), pa.array(n_hit.astype(np.int64)), pa.array([sorted(x) for x in listed], pa.list_(pa.string()))], ["id", "n_words", "n_hit", "items"])
-
-    return index.select("shard", "ids", "n_words", "terms", "bounds", "postings").mapInArrow(run, f"id {kind}, n_words bigint, n_hit bigint, items array<string>")
+    rows = index.select("shard", "ids", "n_words", "terms", "bounds", "postings")
+
+    def whole(block) -> DataFrame:
+        """A row for each document of each shard."""
+
+        def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+            enter("decontaminate")
+            for batch in batches:
+                for k in range(batch.num_rows):
+                    p = _postings(batch, k)
+                    covered, listed = _covered(p, block.value)
+                    hit = np.concatenate([[0], np.cumsum(covered)])
+                    n_hit = hit[p.begin[1:]] - hit[p.begin[:-1]]
+                    n_words = batch.column("n_words")[k].values.cast(pa.int64())
+                    found = [batch.column("ids")[k].values, n_words, pa.array(n_hit.astype(np.int64)), pa.array([sorted(x) for x in listed], pa.list_(pa.string()))]
+                    yield pa.RecordBatch.from_arrays(found, ["id", "n_words", "n_hit", "items"])
+
+        return rows.mapInArrow(run, f"id {kind}, n_words bigint, n_hit bigint, items array<string>")
+
+    def spans(block) -> DataFrame:
+        """A row for each document with a match: its number in the shard, the covered spans and the items."""
+
+        def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+            enter("decontaminate")
+            span = pa.struct([("first", pa.int64()), ("end", pa.int64())])
+            for batch in batches:
+                for k in range(batch.num_rows):
+                    p = _postings(batch, k)
+                    covered, listed = _covered(p, block.value)
+                    turns = np.diff(np.concatenate([[0], covered.astype(np.int8), [0]]))
+                    first, end = np.flatnonzero(turns == 1), np.flatnonzero(turns == -1)
+                    # A position lies between two documents, so no span reaches over their border.
+                    docs, at = np.unique(p.document(first), return_index=True)
+                    pairs = pa.StructArray.from_arrays([pa.array(first), pa.array(end)], fields=list(span))
+                    lists = pa.ListArray.from_arrays(pa.array(np.append(at, len(first)).astype(np.int32)), pairs)
+                    found = [pa.array([batch.column("shard")[k].as_py()] * len(docs), pa.string()), pa.array(docs.astype(np.int64)), lists, pa.array([sorted(listed[d]) for d in docs], pa.list_(pa.string()))]
+                    yield pa.RecordBatch.from_arrays(found, ["shard", "doc", "spans", "items"])
+
+        return rows.mapInArrow(run, "shard string, doc bigint, spans array<struct<first bigint, end bigint>>, items array<string>")
+
+    found = _each_block(index, items, item_col, text_col, window, block_bytes, whole, spans)
+    if "shard" not in found[0].columns:
+        return found[0]
+    met = found[0]
+    for part in found[1:]:
+        met = met.unionByName(part)
+    met = met.groupBy("shard", "doc").agg(F.array_sort(F.flatten(F.collect_list("spans"))).alias("spans"), F.array_sort(F.array_distinct(F.flatten(F.collect_list("items")))).alias("items"))
+    # Spans by their first position: each adds what lies beyond the end of those before it.
+    start = F.struct(F.lit(0).cast("bigint").alias("n"), F.lit(0).cast("bigint").alias("end"))
+    more = lambda a, x: F.struct((a.n + F.greatest(x.end - F.greatest(x.first, a.end), F.lit(0).cast("bigint"))).alias("n"), F.greatest(a.end, x.end).alias("end"))
+    met = met.select("shard", "doc", F.aggregate("spans", start, more).n.alias("n_hit"), "items")
+    docs = index.select("shard", F.posexplode(F.arrays_zip("ids", "n_words")).alias("doc", "d")).select("shard", F.col("doc").cast("bigint").alias("doc"), F.col("d.ids").alias("id"), F.col("d.n_words").cast("bigint").alias("n_words"))
+    none = F.array().cast("array<string>")
+    return docs.join(met, ["shard", "doc"], "left").select("id", "n_words", F.coalesce("n_hit", F.lit(0).cast("bigint")).alias("n_hit"), F.coalesce("items", none).alias("items"))
 
 
 def proximity(index: DataFrame, items: DataFrame, within: int, item_col: str = "item_id", text_col: str = "text", block_bytes: int = BLOCK_BYTES) -> DataFrame:
@@ -213,19 +274,23 @@ def proximity(index: DataFrame, items: DataFrame, within: int, item_col: str = "
     import pyarrow as pa
 
     kind = index.schema["ids"].dataType.elementType.simpleString()
-    blocks = [index.sparkSession.sparkContext.broadcast(Items(rows, WINDOW)) for rows in item_blocks(items, item_col, text_col, block_bytes)]
 
-    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in batches:
-            for k in range(batch.num_rows):
-                ids = batch.column(1)[k].values
-                p = Postings(np.asarray(batch.column(2)[k].values, dtype=np.int64), *(batch.column(c)[k].as_buffer() for c in (3, 4, 5)))
-                for block in blocks:
+    def answers(block) -> DataFrame:
+        def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+            for batch in batches:
+                for k in range(batch.num_rows):
+                    ids, p = batch.column("ids")[k].values, _postings(batch, k)
                     for item, at in block.value.proximities(p, within):
                         d, n = np.unique(p.document(at), return_counts=True)
                         yield pa.RecordBatch.from_arrays([ids.take(pa.array(d)), pa.array([item] * len(d), pa.string()), pa.array(n.astype(np.int64))], ["id", "item", "n_places"])
 
-    return index.select("shard", "ids", "n_words", "terms", "bounds", "postings").mapInArrow(run, f"id {kind}, item string, n_places bigint")
+        return index.select("ids", "n_words", "terms", "bounds", "postings").mapInArrow(run, f"id {kind}, item string, n_places bigint")
+
+    found = _each_block(index, items, item_col, text_col, WINDOW, block_bytes, answers, answers)
+    out = found[0]
+    for part in found[1:]:
+        out = out.unionByName(part)
+    return out
 
 
 def report(found: DataFrame, id_name: str = "doc_id") -> DataFrame:

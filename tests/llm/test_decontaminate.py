@@ -47,6 +47,23 @@ def test_proximity(spark):
     assert {r["id"] for r in dc.proximity(index, items(spark, [(1, "gamma beta alpha")]), within=60).collect()} == {1, 2}
 
 
+def test_one_block_at_a_time(spark, tiny, monkeypatch):
+    """Many blocks give the rows of one block, and no task is sent more than one; repeated items fill no block."""
+    docs, bench = spark.read.parquet(f"{tiny}/documents.parquet"), spark.read.parquet(f"{tiny}/benchmark.parquet")
+    bench = bench.unionByName(bench.withColumn("text", dc.F.substring("text", 40, 200))).unionByName(bench)
+    index = dc.build_index(docs, shard_bytes=20_000)
+    key = lambda r: r["id"]
+    whole = sorted(dc.search(index, bench).collect(), key=key)
+    sizes = []
+    made = dc.Items.__init__
+    monkeypatch.setattr(dc.Items, "__init__", lambda self, rows, window: (sizes.append(sum(len(t) for _, t in rows)), made(self, rows, window))[1])
+    got = sorted(dc.search(index, bench, block_bytes=3000).collect(), key=key)
+    assert got == whole and any(r["n_hit"] for r in got)
+    assert len(sizes) > 3 and max(sizes) < 3 * 3000 and len(dc.search(index, bench.limit(0), block_bytes=10).collect()) == len(whole)
+    near = [sorted(tuple(r) for r in dc.proximity(index, bench, 30, block_bytes=b).collect()) for b in (1 << 24, 3000)]
+    assert near[0] == near[1] and near[0]
+
+
 def test_empty_tables(spark):
     assert dc.search(dc.build_index(documents(spark, [])), items(spark)).count() == 0
     got = dc.search(dc.build_index(documents(spark)), items(spark, [])).collect()
@@ -64,7 +81,7 @@ def test_keep_clean(spark, broadcast_rows):
 
 def test_query(spark, tiny):
     bench = [(r["item_id"], r["text"]) for r in spark.read.parquet(f"{tiny}/benchmark.parquet").collect()]
-    docs = {r["doc_id"]: r["text"] for r in spark.read.parquet(f"{tiny}/documents.parquet").limit(60).collect()}
+    docs = {r["doc_id"]: r["text"] for r in spark.read.parquet(f"{tiny}/documents.parquet").collect()}
     got = {r["doc_id"]: r for r in dc.query(spark, tiny).collect()}
     for i, t in docs.items():
         n, hit, found = brute_hits(t, bench)
