@@ -2,7 +2,8 @@
 
 Host and path are cut from the url by position; curated rules decide first, the longest rule that fits.  What no rule
 decides, boosted trees do: features are length, path depth, digit ratio, character entropy, parameter count, hyphens and
-dots of the host, and suffix statistics (smoothed log-odds of the last one and two host labels among labelled urls).
+dots of the host, and suffix statistics: smoothed log-odds of the last one and two host labels among labelled urls, shrunk
+towards 0 as if ``SUFFIX_PRIOR`` more urls had said nothing, so a rare suffix says little and none is left out.
 
 Training: features are cut to ``BINS`` bins at fixed edges; labelled rows with equal bins are one weighted cell.  At most
 ``MAX_TRAIN`` distinct labelled urls, those with the smallest hash, are learned from (the parameter is the sample's bound),
@@ -11,8 +12,9 @@ in the sample as in all labelled rows.  Every level of every tree is one aggrega
 sums (nodes x features x bins rows, whatever the input) and picks the splits.  A model is a list of trees and becomes one
 CASE expression, so scoring is a projection inside whole-stage code.
 
-The suffix statistics are counted over all labelled rows and have a row for each suffix that occurs ``MIN_SUFFIX`` times;
-how they join is left to the planner.
+The suffix statistics are counted over all labelled rows and have a row for each suffix; how they join is left to the planner.  A url
+that is learned from sees statistics of the other ``FOLDS`` - 1 parts of the labelled urls only (parts by hash of the url), so no tree learns
+how far a suffix repeats the url's own label; a url that is judged sees the statistics of all.
 
 Defined results: a null url or one without ``://`` has empty host and path, fits no rule, and gets the model's verdict
 like any other; without labelled urls of both kinds the model allows.  Repeated rows give repeated rows; an empty table
@@ -32,7 +34,8 @@ from corpusloom.llm.common import ascii_lower, materialize, text_or_empty
 #: (host, path, verdict), a rule is written host + path.
 RULES = (("net", "/", "block"), ("example.net", "/en/", "allow"), ("example.com", "/de/", "block"), ("org", "/fr/", "allow"))
 MAX_TRAIN = 20_000
-MIN_SUFFIX = 20
+SUFFIX_PRIOR = 20.0
+FOLDS = 5
 BINS = 16
 TREES, DEPTH, RATE, LAMBDA = 8, 3, 0.4, 1.0
 #: Features and the edges between their bins.
@@ -123,16 +126,37 @@ def _with_features(urls: DataFrame) -> DataFrame:
     return rows.withColumns(suffixes(F.col("host")))
 
 
-def _with_statistics(rows: DataFrame, stats: DataFrame | None) -> DataFrame:
-    """Adds suffix1 and suffix2; 0 where a suffix is unknown."""
+def _with_statistics(rows: DataFrame, stats: DataFrame | None, *keys: str) -> DataFrame:
+    """Adds suffix1 and suffix2; 0 where a suffix is unknown.  ``keys`` are further columns that must agree."""
     if stats is None:
         return rows.withColumns({"suffix1": F.lit(0.0), "suffix2": F.lit(0.0)})
     for k in ("1", "2"):
-        own = stats.where(F.col("kind") == f"s{k}").select(F.col("suffix").alias(f"s{k}"), F.col("odds").alias(f"suffix{k}"))
-        rows = rows.join(own, f"s{k}", "left").withColumn(f"suffix{k}", F.coalesce(F.col(f"suffix{k}"), F.lit(0.0)))
+        own = stats.where(F.col("kind") == f"s{k}").select(*keys, F.col("suffix").alias(f"s{k}"), F.col("odds").alias(f"suffix{k}"))
+        rows = rows.join(own, [*keys, f"s{k}"], "left").withColumn(f"suffix{k}", F.coalesce(F.col(f"suffix{k}"), F.lit(0.0)))
     return rows
 
 
+def _suffix_odds(n: Column, block: Column) -> Column:
+    return n / (n + SUFFIX_PRIOR) * F.log((block + 1.0) / (n - block + 1.0))
+
+
+def _fold(url: Column) -> Column:
+    return F.pmod(F.xxhash64(url, F.lit("fold")), F.lit(FOLDS)).cast("int")
+
+
+def suffix_statistics(rows: DataFrame) -> tuple[DataFrame, DataFrame]:
+    """From (url, label, w): (kind, suffix, odds) over all rows, and (kind, suffix, fold, odds) over the rows of all other folds."""
+    counted = rows.withColumns(suffixes(host_and_path(F.col("url"))[0]) | {"fold": _fold(F.col("url"))})
+    pairs = F.explode(F.array(*(F.struct(F.lit(k).alias("kind"), F.col(k).alias("suffix")) for k in ("s1", "s2")))).alias("p")
+    by_fold = counted.select("label", "w", "fold", pairs).groupBy("p.kind", "p.suffix", "fold").agg(F.sum("w").alias("n"), F.sum(F.col("w") * F.col("label")).alias("block"))
+    # A row a suffix, its folds in an array of FOLDS at most.
+    stats = by_fold.groupBy("kind", "suffix").agg(F.sum("n").alias("n"), F.sum("block").alias("block"), F.collect_list(F.struct("fold", "n", "block")).alias("folds"))
+    stats = materialize(stats, "url-suffixes")
+    others = stats.select("kind", "suffix", "n", "block", F.explode("folds").alias("f"))
+    others = others.select("kind", "suffix", F.col("f.fold").alias("fold"), _suffix_odds(F.col("n") - F.col("f.n"), F.col("block") - F.col("f.block")).alias("odds"))
+    return stats.select("kind", "suffix", _suffix_odds(F.col("n"), F.col("block")).alias("odds")), others
+
+
 def fit(labelled: DataFrame, max_train: int = MAX_TRAIN) -> Model:
     """Learn from (url, label) rows, label 1 for block and 0 for allow."""
     rows = labelled.where(F.col("label").isin(0, 1) & F.col("url").isNotNull()).select("url", F.col("label").cast("double").alias("label"))
@@ -140,17 +164,13 @@ def fit(labelled: DataFrame, max_train: int = MAX_TRAIN) -> Model:
     all_rows = {r["label"]: r for r in rows.groupBy("label").agg(F.count("*").alias("urls"), F.sum("w").alias("w")).collect()}  # two rows
     if len(all_rows) < 2:
         return Model(-1.0, [])
-    counted = rows.withColumns(suffixes(host_and_path(F.col("url"))[0]))
-    pairs = F.explode(F.array(*(F.struct(F.lit(k).alias("kind"), F.col(k).alias("suffix")) for k in ("s1", "s2")))).alias("p")
-    counts = counted.select("label", "w", pairs).groupBy("p.kind", "p.suffix").agg(F.sum("w").alias("n"), F.sum(F.col("w") * F.col("label")).alias("block"))
-    stats = counts.where(F.col("n") >= MIN_SUFFIX).select("kind", "suffix", F.log((F.col("block") + 1.0) / (F.col("n") - F.col("block") + 1.0)).alias("odds"))
-    stats = materialize(stats, "url-suffixes")
+    stats, others = suffix_statistics(rows)
     least = {x: min(r["urls"], max(1, max_train // 2)) for x, r in all_rows.items()}
     most = {x: min(r["urls"], max(least[x], max_train - least[1.0 - x])) for x, r in all_rows.items()}
     first = [rows.where(F.col("label") == x).orderBy(F.xxhash64("url"), "url").limit(n) for x, n in most.items()]
-    sample = _with_features(first[0].unionByName(first[1]))
+    sample = _with_features(first[0].unionByName(first[1])).withColumn("fold", _fold(F.col("url")))
     bins = {f: sum((F.when(F.col(f) >= e, 1).otherwise(0) for e in edges), F.lit(0)).alias(f) for f, edges in EDGES.items()}
-    cells = _with_statistics(sample, stats).select("label", "w", *bins.values()).groupBy("label", *EDGES).agg(F.sum("w").alias("w"))
+    cells = _with_statistics(sample, others, "fold").select("label", "w", *bins.values()).groupBy("label", *EDGES).agg(F.sum("w").alias("w"))
     cells = materialize(cells.coalesce(1), "url-cells")
     n = {r["label"]: r["w"] for r in cells.groupBy("label").agg(F.sum("w").alias("w")).collect()}  # two rows
     share = sum(n.values()) / sum(r["w"] for r in all_rows.values())
@@ -234,6 +254,36 @@ def labels_from_rules(pages: DataFrame, url_col: str = "url", rules=RULES) -> Da
     return rows.withColumn("label", F.when(verdict == "block", 1).when(verdict == "allow", 0)).where(F.col("label").isNotNull())
 
 
+def auc(scored: DataFrame, score: str = "block_score", label: str = "label") -> float | None:
+    """The share of (block, allow) pairs of rows that ``score`` puts in order, ties half; null without both labels.
+
+    Rows are summed by score, and scores by leaf are few: a model has at most 8 ** ``TREES`` of them, whatever the input."""
+    from pyspark.sql import Window
+
+    at = scored.groupBy(F.col(score).alias("s")).agg(F.sum((F.col(label) == 1).cast("double")).alias("b"), F.sum((F.col(label) == 0).cast("double")).alias("a"))
+    below = F.sum("a").over(Window.orderBy("s").rowsBetween(Window.unboundedPreceding, -1))
+    r = at.withColumn("below", F.coalesce(below, F.lit(0.0))).agg(F.sum(F.col("b") * (F.col("below") + F.col("a") / 2)).alias("x"), F.sum("b").alias("b"), F.sum("a").alias("a")).first()
+    return r["x"] / (r["b"] * r["a"]) if r["b"] and r["a"] else None
+
+
+def held_out_auc(pages: DataFrame, url_col: str = "url", rules=RULES) -> dict[str, float | None]:
+    """How well urls are ranked that a model has not learned from.
+
+    ``urls``: a fifth of the labelled urls (by hash) is left out.  A pair of a blocking and an allowing rule, as in ``net/ example.net/en/``: the
+    model learns from what all other rules say and ranks what this pair decides, so it cannot just repeat them."""
+    named = pages.select(F.monotonically_increasing_id().alias("page_id"), text_or_empty(F.col(url_col)).alias("url"))
+    rule, verdict = rule_and_verdict(*host_and_path(F.col("url")), rules)
+    rows = materialize(named.withColumns({"rule": rule, "label": F.when(verdict == "block", 1).when(verdict == "allow", 0)}).where(F.col("label").isNotNull()), "url-rules")
+    tests = {"urls": F.pmod(F.xxhash64("url", F.lit("held out")), F.lit(5)) == 0}
+    for block in (h + p for h, p, v in rules if v == "block"):
+        tests |= {f"{block} {allow}": F.col("rule").isin(block, allow) for allow in (h + p for h, p, v in rules if v == "allow")}
+    out = {}
+    for name, held in tests.items():
+        model = fit(rows.where(~held).select("url", "label"))
+        out[name] = auc(judge(rows.where(held), model).join(rows.select("page_id", "label"), "page_id"))
+    return out
+
+
 def query(spark: SparkSession, sf_dir: str) -> DataFrame:
     """op2: verdict on every page's url; the labelled urls are those that the rules decide."""
     from corpusloom.llm.common import table

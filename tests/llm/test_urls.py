@@ -87,3 +87,81 @@ def test_suffixes_are_counted_over_all_labelled_rows(spark):
     rows = [(f"http://a{i}.{'bad' if i % 2 else 'good'}/x/{i}", i % 2) for i in range(400)]
     model = urls.fit(spark.createDataFrame(rows, "url string, label int"), 10)
     assert {r["suffix"] for r in model.stats.where("kind = 's1'").collect()} == {"bad", "good"}
+
+
+def _boosted(rows):
+    """Block scores of the urls of (url, label) rows by boosting row by row, each split tried over all rows."""
+    spark_free = [(u, float(y), f) for u, y, f in rows]
+    names = list(urls.EDGES)
+    bins = [[sum(f[n] >= e for e in urls.EDGES[n]) for n in names] for _, _, f in spark_free]
+    y = [r[1] for r in spark_free]
+    odds = [math.log(sum(y) / (len(y) - sum(y)))] * len(y)
+
+    def score(g, h):
+        return g * g / (h + urls.LAMBDA)
+
+    def grow(members, depth, g, h):
+        total_g, total_h = math.fsum(g[i] for i in members), math.fsum(h[i] for i in members)
+        best = (1e-6, None)
+        for k in range(len(names)) if depth < urls.DEPTH else ():
+            for b in sorted({bins[i][k] for i in members})[1:]:
+                left = [i for i in members if bins[i][k] < b]
+                lg, lh = math.fsum(g[i] for i in left), math.fsum(h[i] for i in left)
+                gain = score(lg, lh) + score(total_g - lg, total_h - lh) - score(total_g, total_h)
+                if gain > best[0] + 1e-9:
+                    best = (gain, (k, b))
+        if best[1] is None:
+            return {i: urls.RATE * total_g / (total_h + urls.LAMBDA) for i in members}
+        k, b = best[1]
+        return grow([i for i in members if bins[i][k] < b], depth + 1, g, h) | grow([i for i in members if bins[i][k] >= b], depth + 1, g, h)
+
+    for _ in range(urls.TREES):
+        p = [1 / (1 + math.exp(-o)) for o in odds]
+        step = grow(list(range(len(y))), 0, [a - b for a, b in zip(y, p, strict=True)], [b * (1 - b) for b in p])
+        odds = [o + step[i] for i, o in enumerate(odds)]
+    return odds
+
+
+def test_statistics_leave_out_the_own_fold(spark):
+    rows = spark.createDataFrame([(f"http://a{i}.{'bad' if i % 3 else 'good'}/x/{i}", float(i % 3 > 0), 1.0 + i % 2) for i in range(200)] + [("http://one.rare/", 1.0, 5.0)], "url string, label double, w double")
+    stats, others = urls.suffix_statistics(rows)
+    held = [(r["url"].split("/")[2].split(".")[-1], r["label"], r["w"], r["f"]) for r in rows.withColumn("f", urls._fold(F.col("url"))).collect()]
+
+    def odds(own):
+        n, block = sum(w for _, _, w, _ in own), sum(w * y for _, y, w, _ in own)
+        return n / (n + urls.SUFFIX_PRIOR) * math.log((block + 1) / (n - block + 1))
+
+    for r in stats.where("kind = 's1'").collect():
+        assert math.isclose(r["odds"], odds([x for x in held if x[0] == r["suffix"]]), abs_tol=1e-9)
+    found = {(r["suffix"], r["fold"]): r["odds"] for r in others.where("kind = 's1'").collect()}
+    assert set(found) == {(x[0], x[3]) for x in held}
+    for (suffix, fold), value in found.items():
+        assert math.isclose(value, odds([x for x in held if x[0] == suffix and x[3] != fold]), abs_tol=1e-9)
+    assert [v for (s, _), v in found.items() if s == "rare"] == [0.0]
+
+
+def test_trees_equal_boosting_row_by_row(spark):
+    """Log-odds of the learned rows, from the features with the statistics of the other folds."""
+    made = [(f"http://s{i * 7 % 23}.{('aa', 'bb', 'cc')[i * 5 % 3]}/{'p/' * (i * 11 % 4)}{'9' * (i * 13 % 17)}?{'k=1&' * (i % 3)}", int(i * 29 % 31 % 7 < 3)) for i in range(240)]
+    made = sorted(dict(made).items())
+    df = spark.createDataFrame(made, "url string, label int")
+    model = urls.fit(df)
+    rows = urls._with_features(df.select("url", F.col("label").cast("double").alias("label"), F.lit(1.0).alias("w"))).withColumn("fold", urls._fold(F.col("url")))
+    rows = urls._with_statistics(rows, urls.suffix_statistics(rows.select("url", "label", "w"))[1], "fold").withColumn("odds", model.log_odds()).collect()
+    want = _boosted([(r["url"], r["label"], r.asDict()) for r in rows])
+    assert len(model.trees) == urls.TREES and len(set(round(w, 6) for w in want)) > 8
+    assert all(math.isclose(r["odds"], w, abs_tol=1e-6) for r, w in zip(rows, want, strict=True))
+
+
+def test_auc(spark):
+    rows = [(0.1, 0), (0.4, 1), (0.4, 0), (0.8, 1), (0.9, 0), (0.9, 1)]
+    want = sum((a > b) + (a == b) / 2 for a, x in rows if x for b, y in rows if not y) / 9
+    assert math.isclose(urls.auc(spark.createDataFrame(rows, "block_score double, label int")), want)
+    assert urls.auc(spark.createDataFrame(rows[:1], "block_score double, label int")) is None
+
+
+def test_urls_left_out_are_ranked(spark):
+    """Digits of the path give the label away.  Without the one pair of rules that occurs nothing is learned, so all scores tie."""
+    rows = [(f"http://h{i % 50}.{'net' if i % 2 else 'org'}/{'fr/' if i % 2 == 0 else ''}{i}{'7' * (20 * (i % 2))}",) for i in range(300)]
+    found = urls.held_out_auc(spark.createDataFrame(rows, "url string"))
+    assert found["urls"] > 0.99 and found["net/ org/fr/"] == 0.5
