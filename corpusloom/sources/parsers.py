@@ -335,12 +335,30 @@ def _filled(rows: list[list[str]]) -> list[list[str]]:
     return rows
 
 
+def _sheet_text(name: str, table: dict[int, dict[int, str]], anchored: list[tuple[int, str]]) -> str:
+    """A sheet of two rows or more as a table; texts anchored to a row stand after it, the others at the end."""
+    width = 1 + max(max(r) for r in table.values())
+    at = sorted(table)
+    rows = [[table[i].get(j, "") for j in range(width)] for i in at]
+    lines = markdown([rows[0], *_filled(rows[1:])]).split("\n")
+    out, last = lines[:2], at[-1]
+    for k, line in zip(at[1:], lines[2:], strict=True):
+        out += [line, *("\n" + t for r, t in anchored if r == k)]
+    tail = [t for r, t in anchored if r > last or r not in at[1:] and r <= last]
+    return "\n\n".join([f"Sheet: {name}", "\n".join(out), *tail])
+
+
 def parse_excel(content: bytes, name: str = "", vision: Vision = blind) -> list[Page]:
-    """A page for each sheet that has rows; images and charts stand after the row they are anchored to."""
+    """A page for each sheet that has rows; images and charts of xlsx files stand after the row they are anchored to.  Both formats, told apart
+    by their first bytes."""
+    from corpusloom.sources import xls
+
+    if content.startswith(xls.SIGNATURE):
+        return [(number, _sheet_text(sheet, table, []), None) for number, sheet, table in xls.sheets(content) if len(table) > 1]
     try:
         pkg = _Package(content)
     except zipfile.BadZipFile as e:
-        raise ValueError(f"not an xlsx file, or a protected one: {name}") from e
+        raise ValueError(f"not an xlsx or xls file: {name}") from e
     strings = pkg.xml("xl/sharedStrings.xml")
     shared = ["".join(t.text or "" for t in s.iter(f"{{{NS['s']}}}t")) for s in strings] if strings is not None else []
     book, links = pkg.xml("xl/workbook.xml"), pkg.relations("xl/workbook.xml")
@@ -357,10 +375,6 @@ def parse_excel(content: bytes, name: str = "", vision: Vision = blind) -> list[
                 table.setdefault(at, {})[_column(c.get("r", "")) if c.get("r") else j] = shared[int(value)] if c.get("t") == "s" and value else value
         if len(table) < 2:
             continue
-        width = 1 + max(max(r) for r in table.values())
-        at = sorted(table)
-        rows = [[table[i].get(j, "") for j in range(width)] for i in at]
-        lines = markdown([rows[0], *_filled(rows[1:])]).split("\n")
         anchored: list[tuple[int, str]] = []
         relations = pkg.relations(part)
         for target in (t for t in relations.values() if "drawings/" in t and t in pkg.names):
@@ -370,11 +384,7 @@ def parse_excel(content: bytes, name: str = "", vision: Vision = blind) -> list[
                     row = a.findtext("xdr:from/xdr:row", "0", NS)
                     anchored += [(int(row), t) for t in pkg.drawing(a, inner, vision)]
         anchored.sort(key=lambda x: x[0])
-        out, last = lines[:2], at[-1]
-        for k, line in zip(at[1:], lines[2:], strict=True):
-            out += [line, *("\n" + t for r, t in anchored if r == k)]
-        tail = [t for r, t in anchored if r > last or r not in at[1:] and r <= last]
-        pages.append((number, "\n\n".join([f"Sheet: {sheet.get('name')}", "\n".join(out), *tail]), None))
+        pages.append((number, _sheet_text(sheet.get("name"), table, anchored), None))
     return pages
 
 
@@ -419,7 +429,7 @@ def _tiff(content: bytes, name: str = "", vision: Vision = blind) -> list[Page]:
 
 #: Parser of each extension; ``read_files`` sends PDF files to ``sources.pdf``.
 PARSERS: dict[str, Callable[[bytes, str, Vision], list[Page]]] = {
-    ".html": parse_html, ".htm": parse_html, ".csv": parse_csv, ".txt": parse_text, ".docx": parse_docx, ".xlsx": parse_excel, ".eml": parse_email,
+    ".html": parse_html, ".htm": parse_html, ".csv": parse_csv, ".txt": parse_text, ".docx": parse_docx, ".xlsx": parse_excel, ".xls": parse_excel, ".eml": parse_email,
     ".tif": _tiff, ".tiff": _tiff, **{f".{e}": parse_image for e in sorted(IMAGES)},
 }
 
