@@ -110,8 +110,9 @@ def media_types(spark, d):
 
 
 def _elements(spark, d):
-    """Line items as blocks of two-column pages; some lie across the page."""
-    li = v.table(spark, d, "lineitem")
+    """Line items as blocks of two-column pages; some lie across the page.  Of rows with equal keys that which is stored first stands."""
+    stored = F.struct(F.col("_metadata.file_path").alias("file"), F.col("_metadata.row_index").alias("row"))
+    li = v.table(spark, d, "lineitem").withColumn("stored", stored)
     x0 = ((F.col("l_partkey") % 2) * 300 + F.col("l_suppkey") % 20).cast("double")
     wide = F.when(F.col("l_suppkey") % 7 == 0, 450).otherwise(200)
     rows = li.select(
@@ -121,8 +122,10 @@ def _elements(spark, d):
         F.col("l_quantity").alias("y"),
         x0.alias("x0"),
         (x0 + wide).alias("x1"),
+        "stored",
     )
-    return rows.dropDuplicates(["page_id", "seq"])
+    first = rows.groupBy("page_id", "seq").agg(F.min_by(F.struct("etype", "y", "x0", "x1"), "stored").alias("e"))
+    return first.select("page_id", "seq", "e.*")
 
 
 def reading_order(spark, d):
