@@ -21,6 +21,8 @@ FINANCIAL_TERMS = [
 CURRENCY_PATTERN = r"[$€£¥]\s*[\d,.]+\s*[BMKbmk]?"
 PERCENT_PATTERN = r"\d+\.?\d*\s*%"
 
+#: What ``\s`` stands for.
+SPACE = " \t\n\x0b\f\r"
 #: Stands for a full stop that must not end a sentence.
 SHIELD = "\u0001"
 SENTENCE_TOKENS = 512
@@ -28,7 +30,7 @@ SENTENCE_TOKENS = 512
 
 def strip(c: Column) -> Column:
     """Without white space at either end."""
-    return F.regexp_replace(c, r"^\s+|\s+$", "")
+    return F.btrim(c, F.lit(SPACE))
 
 
 def words(c: Column) -> Column:
@@ -37,7 +39,8 @@ def words(c: Column) -> Column:
 
 
 def count_words(c: Column) -> Column:
-    return F.size(words(c))
+    """As many as ``words`` has, and -1 for null like its size."""
+    return F.coalesce(F.regexp_count(c, F.lit(r"\S+")), F.lit(-1))
 
 
 def sentences(c: Column) -> Column:
@@ -60,8 +63,9 @@ def token_windows(c: Column, limit: int) -> Column:
 
 
 def sentence_pieces(c: Column, limit: int = SENTENCE_TOKENS) -> Column:
-    """Sentences; one of more than ``limit`` words in windows of that size."""
-    return F.flatten(F.transform(sentences(c), lambda s: F.when(count_words(s) > limit, token_windows(s, limit)).otherwise(F.array(s))))
+    """Sentences; one of more than ``limit`` words in windows of that size.  Only long ones are counted: more words need more characters."""
+    long = lambda s: (F.length(s) > 2 * limit) & (count_words(s) > limit)
+    return F.flatten(F.transform(sentences(c), lambda s: F.when(long(s), token_windows(s, limit)).otherwise(F.array(s))))
 
 
 def truncate_words(c: Column, n: int) -> Column:

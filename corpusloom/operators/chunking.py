@@ -64,6 +64,9 @@ def groups(n: Column, size: int, overlap: int) -> Column:
 
 
 def _with_groups(rows: DataFrame, name: str, pieces: str, size: int, overlap: int) -> DataFrame:
+    """``rows`` that have pieces, with their groups.  These are exploded by the outer form, which loses nothing, since no row is empty: for the
+    inner one Spark would add a filter that makes the groups, and the pieces anew at each step of their fold."""
+    rows = rows.where(F.size(pieces) > 0)
     return rows.withColumn("_n", F.transform(F.col(pieces), lambda p: p.n)).withColumn(name, groups(F.col("_n"), size, overlap)).drop("_n")
 
 
@@ -82,7 +85,7 @@ def _chunk_columns(pieces: Column) -> list[Column]:
 def chunk_fixed(files: DataFrame, key: str = "file_name", size: int = FIXED[0], overlap: int = FIXED[1]) -> DataFrame:
     """``key``, chunk_index, total_chunks, strategy, parent_id (null), text, page, n_words."""
     rows = _with_groups(files, "g", "pieces", size, overlap)
-    rows = rows.select(key, "pieces", F.size("g").alias("total_chunks"), F.posexplode("g").alias("chunk_index", "g"))
+    rows = rows.select(key, "pieces", F.size("g").alias("total_chunks"), F.posexplode_outer("g").alias("chunk_index", "g"))
     rows = rows.withColumn("own", _take(F.col("pieces"), F.col("g")))
     return rows.select(key, "chunk_index", "total_chunks", F.lit("fixed").alias("strategy"), F.lit(None).cast("string").alias("parent_id"), *_chunk_columns(F.col("own")))
 
@@ -90,7 +93,7 @@ def chunk_fixed(files: DataFrame, key: str = "file_name", size: int = FIXED[0],
 def parents_of(files: DataFrame, key: str = "file_name", size: int = PARENT[0], overlap: int = PARENT[1]) -> DataFrame:
     """``key``, file_hash, parent_index, parent_id (from content, so a second run makes the same), text, page, n_words, own (pieces)."""
     rows = _with_groups(files, "g", "pieces", size, overlap)
-    rows = rows.select(key, "file_hash", "pieces", F.posexplode("g").alias("parent_index", "g")).withColumn("own", _take(F.col("pieces"), F.col("g")))
+    rows = rows.select(key, "file_hash", "pieces", F.posexplode_outer("g").alias("parent_index", "g")).withColumn("own", _take(F.col("pieces"), F.col("g")))
     parent_id = F.sha2(F.concat_ws("|", "file_hash", F.col("parent_index").cast("string")), 256)
     return rows.select(key, "file_hash", "parent_index", parent_id.alias("parent_id"), "own", *_chunk_columns(F.col("own")))
 
@@ -100,7 +103,7 @@ def chunk_children(parents: DataFrame, key: str = "file_name", size: int = CHILD
     from pyspark.sql import Window
 
     rows = _with_groups(parents.select(key, "parent_index", "parent_id", F.col("own").alias("pieces")), "g", "pieces", size, overlap)
-    rows = rows.select(key, "parent_index", "parent_id", "pieces", F.posexplode("g").alias("child", "g")).withColumn("own", _take(F.col("pieces"), F.col("g")))
+    rows = rows.select(key, "parent_index", "parent_id", "pieces", F.posexplode_outer("g").alias("child", "g")).withColumn("own", _take(F.col("pieces"), F.col("g")))
     rows = rows.select(key, "parent_index", "child", "parent_id", *_chunk_columns(F.col("own")))
     in_file = Window.partitionBy(key)
     return rows.select(
