@@ -11,12 +11,16 @@ from corpusloom.functions.sparse import term_index, term_weight, terms
 def sparse_vectors(rows: DataFrame, key: str, *carry: str, text: str = "text") -> DataFrame:
     """(``key``, *carry, idx int, weight double): one row a term slot; terms that share a slot add up before weighting.
 
-    Texts are dealt by ``key`` once, before they are cut up; counting by term and then by slot both use that."""
-    dealt = rows.select(key, *carry, text).repartition(key)
-    exploded = dealt.select(key, *carry, F.explode(terms(F.col(text))).alias("term"))
-    counted = exploded.groupBy(key, *carry, "term").agg(F.count("*").alias("tf"))
-    slots = counted.withColumn("idx", term_index(F.col("term"))).groupBy(key, *carry, "idx").agg(F.sum("tf").alias("tf"))
-    return slots.select(key, *carry, "idx", term_weight(F.col("tf")).alias("weight"))
+    Slots are sorted and counted within their item, so a task holds the terms of one item at a time, however many items it has.  The outer
+    explode spares the filter that Spark would add for the inner one, which makes the slots twice."""
+    texts = rows.groupBy(key, *carry).agg(F.collect_list(text).alias("_texts"))  # one text, unless a key comes again
+    slots = texts.select(key, *carry, F.array_sort(F.flatten(F.transform("_texts", lambda t: F.transform(terms(t), term_index)))).alias("_slots"))
+    n = F.size("_slots")
+    last = F.filter(F.sequence(F.lit(1), n), lambda i: (i == n) | (F.get("_slots", i - 1) != F.get("_slots", i)))
+    ends = slots.withColumn("_ends", F.when(n > 0, last).otherwise(F.array().cast("array<int>")))
+    runs = F.transform("_ends", lambda e, j: F.struct(F.get("_slots", e - 1).alias("idx"), (e - F.coalesce(F.get("_ends", j - 1), F.lit(0))).alias("tf")))
+    counted = ends.select(key, *carry, F.explode_outer(runs).alias("_s")).where(F.col("_s").isNotNull())
+    return counted.select(key, *carry, F.col("_s.idx").alias("idx"), term_weight(F.col("_s.tf")).alias("weight"))
 
 
 def top_k(scored: DataFrame, query: str, item: str, k: int, score: str = "score") -> DataFrame:

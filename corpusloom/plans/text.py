@@ -123,7 +123,8 @@ def sparse_term_stats(spark, d):
 
 def sparse_topk(spark, d):
     q = sparse_vectors(v.questions(spark, d), "query_id", "tenant_id")
-    p = sparse_vectors(v.pages(spark, d), "doc_id", "tenant_id")
+    # Dealt by document alone, so that its terms and then its scores need no other shuffle.
+    p = sparse_vectors(v.pages(spark, d).repartition("doc_id"), "doc_id", "tenant_id")
     return sparse_search(q, p, 10).select("query_id", "doc_id", "score", F.col("rank").cast("long").alias("rank"))
 
 
