@@ -5,16 +5,15 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from corpusloom.operators import pairs
 from corpusloom.operators.sparse import top_k
 
 # Defaults of retrieval.
 TOP_K, RERANK_TOP_N, MMR_K, MMR_LAMBDA = 20, 8, 6, 0.6
 CACHE_SIMILARITY, CACHE_TTL = 0.92, 3600
-#: Parts that a tenant's points are dealt to, so that no tenant is one task's work.
-SALTS = 16
 #: Constant of reciprocal rank fusion; ranks count from 0.
 RRF_K = 2
-DIGITS = 6
+DIGITS = pairs.DIGITS
 
 
 def dot(a: Column, b: Column) -> Column:
@@ -41,13 +40,12 @@ def unit(a: Column) -> Column:
 def dense_search(queries: DataFrame, points: DataFrame, k: int = TOP_K, query: str = "query_id", item: str = "doc_id", on: tuple[str, ...] = ("tenant_id",)) -> DataFrame:
     """Exact nearest neighbours by cosine among points with equal ``on`` columns (the tenant, or the tenant and file).
 
-    Vectors are brought to length 1 once on either side, so a pair costs one dot product.  Points are dealt to ``SALTS`` parts of their
-    tenant, which the few queries visit all."""
-    q = queries.where(F.coalesce(F.col(on[0]).cast("string"), F.lit("")) != "").select(query, *on, unit(F.col("embedding")).alias("_q"))
-    q = q.withColumn("_salt", F.explode(F.sequence(F.lit(0), F.lit(SALTS - 1))))
-    p = points.select(item, *on, unit(F.col("embedding")).alias("_p"), F.pmod(F.xxhash64(item), F.lit(SALTS)).cast("int").alias("_salt"))
-    scored = q.join(p, [*on, "_salt"]).select(query, item, F.round(dot(F.col("_q"), F.col("_p")), DIGITS).alias("score"))
-    return top_k(scored, query, item, k)
+    Vectors are brought to length 1 once on either side.  Blocks of queries meet blocks of points (``operators.pairs``), and each block
+    returns its nearest only, so there is no row a pair."""
+    vector = lambda rows, key: rows.select(key, *on, unit(F.col("embedding")).alias("_v"))
+    q = vector(queries.where(F.coalesce(F.col(on[0]).cast("string"), F.lit("")) != ""), query)
+    scored = pairs.best(q, vector(points, item), query, item, on, k, pairs.by_dot)
+    return top_k(scored.withColumn("score", F.round("score", DIGITS)), query, item, k)
 
 
 def similar_chunks(queries: DataFrame, points: DataFrame, texts: DataFrame, parents: DataFrame, files: DataFrame | None = None, k: int = 5, query: str = "query_id", item: str = "point_id", tenant: str = "tenant_id") -> DataFrame:

@@ -6,10 +6,24 @@ from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from corpusloom.functions.sparse import term_index, term_weight, terms
+from corpusloom.operators import pairs
 
 
 def sparse_vectors(rows: DataFrame, key: str, *carry: str, text: str = "text") -> DataFrame:
-    """(``key``, *carry, idx int, weight double): one row a term slot; terms that share a slot add up before weighting.
+    """(``key``, *carry, idx int, weight double): one row a term slot; terms that share a slot add up before weighting."""
+    runs = _runs(rows, key, *carry, text=text).select(key, *carry, F.explode_outer("_runs").alias("_s")).where(F.col("_s").isNotNull())
+    return runs.select(key, *carry, F.col("_s.idx").alias("idx"), term_weight(F.col("_s.tf")).alias("weight"))
+
+
+def packed_vectors(rows: DataFrame, key: str, *carry: str, text: str = "text") -> DataFrame:
+    """(``key``, *carry, slots array<int>, weights array<double>): ``sparse_vectors`` with one row an item, empty arrays where it has no
+    terms.  No filter here: Spark would take it below and make the runs once more in it, quadratically."""
+    runs = _runs(rows, key, *carry, text=text)
+    return runs.select(key, *carry, F.col("_runs.idx").alias("slots"), F.transform("_runs", lambda s: term_weight(s.tf)).alias("weights"))
+
+
+def _runs(rows: DataFrame, key: str, *carry: str, text: str) -> DataFrame:
+    """(``key``, *carry, _runs array of structs idx, tf).
 
     Slots are sorted and counted within their item, so a task holds the terms of one item at a time, however many items it has.  The outer
     explode spares the filter that Spark would add for the inner one, which makes the slots twice."""
@@ -19,8 +33,7 @@ def sparse_vectors(rows: DataFrame, key: str, *carry: str, text: str = "text") -
     last = F.filter(F.sequence(F.lit(1), n), lambda i: (i == n) | (F.get("_slots", i - 1) != F.get("_slots", i)))
     ends = slots.withColumn("_ends", F.when(n > 0, last).otherwise(F.array().cast("array<int>")))
     runs = F.transform("_ends", lambda e, j: F.struct(F.get("_slots", e - 1).alias("idx"), (e - F.coalesce(F.get("_ends", j - 1), F.lit(0))).alias("tf")))
-    counted = ends.select(key, *carry, F.explode_outer(runs).alias("_s")).where(F.col("_s").isNotNull())
-    return counted.select(key, *carry, F.col("_s.idx").alias("idx"), term_weight(F.col("_s.tf")).alias("weight"))
+    return ends.select(key, *carry, runs.alias("_runs"))
 
 
 def top_k(scored: DataFrame, query: str, item: str, k: int, score: str = "score") -> DataFrame:
@@ -37,6 +50,15 @@ def sparse_search(queries: DataFrame, points: DataFrame, k: int, query: str = "q
     return top_k(scored, query, item, k)
 
 
+def sparse_search_packed(queries: DataFrame, points: DataFrame, k: int, query: str = "query_id", item: str = "doc_id", tenant: str = "tenant_id") -> DataFrame:
+    """``sparse_search`` with one row an item on either side (id, tenant, slots, weights): the same rows, without a row a common slot.
+
+    An item is of one tenant.  Items are counted first, so ``points`` had better be a stored table."""
+    q = queries.where(F.coalesce(F.col(tenant), F.lit("")) != "").select(query, tenant, "slots", "weights")
+    scored = pairs.best(q, points.select(item, tenant, "slots", "weights"), query, item, (tenant,), k, pairs.by_slots)
+    return top_k(scored.withColumn("score", F.round("score", pairs.DIGITS)), query, item, k)
+
+
 #: Items of a block of postings; a term's list is split by blocks, however common it is.
 BLOCK_ITEMS = 4096
 #: Blocks of each query that are scored before the rest is pruned.

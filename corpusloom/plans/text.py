@@ -9,9 +9,10 @@ from corpusloom.functions import sparse as sp
 from corpusloom.functions import text as tx
 from corpusloom.functions.tokens import bpe_pieces
 from corpusloom.operators import chunking as ch
-from corpusloom.operators.sparse import sparse_search, sparse_vectors
+from corpusloom.operators.sparse import packed_vectors, sparse_search, sparse_vectors
 from corpusloom.plans import views as v
 from corpusloom.plans.views import with_views
+from corpusloom.storage import new_folder
 
 #: No stored document holds a term of the financial classifier; these words of the corpus take their place in queries.
 CORPUS_TERMS = ["theand", "tionthe", "ingthe", "ouer", "heon", "enst", "auer", "lich"]
@@ -121,6 +122,13 @@ def sparse_term_stats(spark, d):
     return per_term.select(F.lower("term").alias("term"), sp.term_index(F.col("term")).cast("long").alias("idx"), "tf", "df")
 
 
+def stored_vectors(spark, rows):
+    """Sparse vectors of (doc_id, tenant_id, text), one row an item, as a stored table: made once, counted and read from there."""
+    path = f"{new_folder(spark, 'sparse-vectors')}/items"
+    packed_vectors(rows, "doc_id", "tenant_id").write.parquet(path)
+    return spark.read.parquet(path)
+
+
 def sparse_topk(spark, d):
     q = sparse_vectors(v.questions(spark, d), "query_id", "tenant_id")
     # Dealt by document alone, so that its terms and then its scores need no other shuffle.
