@@ -7,7 +7,7 @@ from pyspark.sql import functions as F
 from corpusloom.operators import retrieval as r
 from corpusloom.operators import routing as g
 from corpusloom.operators.flow import Flow
-from corpusloom.operators.sparse import block_maxima, block_postings, sparse_search_blocks, sparse_vectors
+from corpusloom.operators.sparse import packed_vectors, sparse_search_packed
 from corpusloom.plans import accounts as ap
 from corpusloom.plans import text as tp
 from corpusloom.plans import views as v
@@ -31,10 +31,7 @@ def _flow(spark, d):
     """The flow after its batches."""
     points, folder = v.points(spark, d), new_folder(spark, "question-flow")
     # The index is a stored table: every batch searches it, none makes it.
-    block_postings(sparse_vectors(points.drop("embedding"), "doc_id", "tenant_id")).write.parquet(f"{folder}/postings")
-    postings = spark.read.parquet(f"{folder}/postings")
-    block_maxima(postings).write.parquet(f"{folder}/maxima")
-    maxima = spark.read.parquet(f"{folder}/maxima")
+    vectors = tp.stored_vectors(spark, points.drop("embedding"))
     named = points.select("doc_id", "text", F.concat(F.lit("doc_"), F.col("doc_id").cast("string"), F.lit(".txt")).alias("source"))
 
     def shown(hits):
@@ -44,7 +41,7 @@ def _flow(spark, d):
         return shown(r.dense_search(rows, points, K))
 
     def sparse(rows):
-        return shown(sparse_search_blocks(sparse_vectors(rows, "query_id", "tenant_id"), postings, maxima, K))
+        return shown(sparse_search_packed(packed_vectors(rows, "query_id", "tenant_id"), vectors, K))
 
     chunks = F.col("chunks")
     write = F.concat(F.lit("It is in the passages [Source: "), F.get(chunks, F.lit(0)).source, F.lit(", page 1, Chunk #1]"))
