@@ -70,7 +70,7 @@ def pdf_columns(spark, d):
     head = "%PDF-1.4\n1 0 obj << /Type /Catalog /Pages 2 0 R >> endobj\n2 0 obj << /Type /Pages /Kids [3 0 R] /MediaBox [0 0 600 920] >> endobj\n3 0 obj << /Type /Page /Contents 5 0 R >> endobj\n5 0 obj << /Length "
     body = F.concat(F.lit(head), F.octet_length("l").cast("string"), F.lit(" >>\nstream\n"), "l", F.lit("\nendstream endobj\n"))
     files = drawn.select(F.concat(F.col("file_no").cast("string"), F.lit(".pdf")).alias("path"), body.cast("binary").alias("content"), "file_no")
-    return pdf.pdf_pages(files, keep=("file_no",)).select("file_no", F.col("page").cast("long").alias("page"), F.md5(F.col("text").cast("binary")).alias("text_md5"), "error")
+    return pdf.pdf_pages(files, keep=("file_no",), folder=new_folder(spark, "pdf-elements")).select("file_no", F.col("page").cast("long").alias("page"), F.md5(F.col("text").cast("binary")).alias("text_md5"), "error")
 
 
 def parser_failures(spark, d):
