@@ -5,7 +5,8 @@ answered and judged.  The one retry is a second search, of the rows that failed
 found goes to the log of chunks, marked where the answer cites it.
 
 Both are ``Ledger`` tables.  A batch reads the cache of the batches before it and appends under its own number, so a batch that runs again
-gives the same answers and adds nothing.  Each stage that two others read is written, so no plan holds a search twice."""
+gives the same answers and adds nothing.  Each stage that two others read is written, so no plan holds a search twice, and none holds the
+making of the questions: what a batch asks is a stored table, and so are its rows and what its searches hit."""
 
 from __future__ import annotations
 
@@ -25,7 +26,7 @@ ANSWER = "query_id bigint, tenant_id string, answer string, sources array<string
 CACHE = "cache_id bigint, tenant_id string, created_at bigint, embedding array<float>, answer string, sources array<string>, query_type string, data_source string, faithfulness double, relevance double"
 CHUNK = "query_id bigint, tenant_id string, attempt int, rank int, chunk_text string, source string, score double, cited boolean"
 
-#: (questions to search for) -> rows query_id, rank, text, source, score.
+#: (questions to search for) -> rows query_id, rank, text, source, score; what ``show`` needs in place of text and source, where there is one.
 Search = Callable[[DataFrame], DataFrame]
 
 
@@ -33,12 +34,13 @@ class Flow:
     """The stored tables of a flow, and what is called in it.
 
     ``searches``: the first search and that of the retry; ``write``: the answer of a row with its ``chunks`` (array of structs rank, text,
-    source, score); ``judge``: a struct of faithfulness and relevance for such a row, as an outside model's texts or numbers."""
+    source, score); ``judge``: a struct of faithfulness and relevance for such a row, as an outside model's texts or numbers; ``show``: gives
+    stored hits their text and source, so that searches need not carry texts."""
 
-    def __init__(self, spark: SparkSession, path: str, searches: Sequence[Search], write: Column, judge: Column, similarity: float = retrieval.CACHE_SIMILARITY, ttl: int = retrieval.CACHE_TTL):
-        self.searches, self.write, self.judge, self.similarity, self.ttl = searches, write, judge, similarity, ttl
+    def __init__(self, spark: SparkSession, path: str, searches: Sequence[Search], write: Column, judge: Column, similarity: float = retrieval.CACHE_SIMILARITY, ttl: int = retrieval.CACHE_TTL, show: Search | None = None):
+        self.searches, self.write, self.judge, self.similarity, self.ttl, self.show = searches, write, judge, similarity, ttl, show
         self.answers, self.cache, self.chunks = (Ledger(spark, f"{path}/{n}", s) for n, s in (("answers", ANSWER), ("cache", CACHE), ("chunks", CHUNK)))
-        self._steps = {n: f"{path}/steps/{n}" for n in ("hits", "first", "second", "found-0", "found-1")}
+        self._steps = {n: f"{path}/steps/{n}" for n in ("asked", "hits", "rows", "first", "second", "hits-0", "hits-1", "found-0", "found-1")}
         self.spark = spark
 
     def _written(self, rows: DataFrame, name: str, batch: int) -> DataFrame:
@@ -48,7 +50,7 @@ class Flow:
 
     def run_batch(self, questions: DataFrame, batch: int, account: DataFrame | None = None) -> DataFrame:
         """Rows of ``ANSWER``, one a question (query_id, tenant_id, question, asked_at, embedding); ``account``: query_id, account_result."""
-        q = questions.withColumn("question", routing.strip(F.coalesce("question", F.lit(""))))
+        q = self._written(questions.withColumn("question", routing.strip(F.coalesce("question", F.lit("")))), "asked", batch)
         empty, asked = q.where("question = ''"), q.where("question <> ''")
         stored = self.cache.read(before=batch)
         hits = retrieval.cache_hits(asked.withColumn("data_source", F.lit("rag")), stored.select("cache_id", "tenant_id", "created_at", "embedding"), self.similarity, self.ttl)
@@ -59,11 +61,12 @@ class Flow:
             rows = rows.withColumn("account_result", F.lit(None).cast("string"))
         else:
             rows = rows.join(account.select("query_id", "account_result"), "query_id", "left")
-        found = self._search(rows.where(F.col("data_source") != "sql"), asked, 0, batch)
+        rows = self._written(rows, "rows", batch)
+        found = self._search(rows.where(F.col("data_source") != "sql").select("query_id"), asked, 0, batch)
         first = self._written(self._answered(rows, found, 0), "first", batch)
-        failed = rows.join(first.where("step = 'retry'").select("query_id"), "query_id", "left_semi")
+        failed = first.where("step = 'retry'").select("query_id")
         again = self._search(failed, asked, 1, batch)
-        second = self._written(self._answered(failed, again, 1), "second", batch)
+        second = self._written(self._answered(rows.join(failed, "query_id", "left_semi"), again, 1), "second", batch)
         done = first.where("step = 'end'").unionByName(second)
         from_cache = hits.join(stored.drop("tenant_id", "created_at", "embedding"), "cache_id").join(asked.select("query_id", "tenant_id"), "query_id")
         none = lambda kind: F.lit(None).cast(kind)
@@ -82,10 +85,13 @@ class Flow:
         self.chunks.append(log_chunks(found.unionByName(again), answers), batch)
         return answers
 
-    def _search(self, rows: DataFrame, asked: DataFrame, attempt: int, batch: int) -> DataFrame:
-        """What this attempt's search finds for these rows: query_id, tenant_id, attempt, rank, text, source, score."""
-        found = self.searches[attempt](asked.join(rows.select("query_id"), "query_id", "left_semi"))
-        own = found.join(rows.select("query_id", "tenant_id"), "query_id")
+    def _search(self, ids: DataFrame, asked: DataFrame, attempt: int, batch: int) -> DataFrame:
+        """What this attempt's search finds for the questions of these ids: query_id, tenant_id, attempt, rank, text, source, score."""
+        those = asked.join(ids, "query_id", "left_semi")
+        found = self.searches[attempt](those)
+        if self.show:
+            found = self.show(self._written(found, f"hits-{attempt}", batch))
+        own = found.join(those.select("query_id", "tenant_id"), "query_id")
         own = own.select("query_id", "tenant_id", F.lit(attempt).alias("attempt"), F.col("rank").cast("int").alias("rank"), "text", "source", F.col("score").cast("double").alias("score"))
         return self._written(own, f"found-{attempt}", batch)
 

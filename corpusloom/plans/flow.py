@@ -27,10 +27,16 @@ def _questions(points):
     return asks.select("doc_id", "tenant_id", "embedding", "text", F.concat(phrase, F.coalesce("text", F.lit(""))).alias("question"))
 
 
+def _stored(rows, path):
+    rows.write.parquet(path)
+    return rows.sparkSession.read.schema(rows.schema).parquet(path)
+
+
 def _flow(spark, d):
     """The flow after its batches."""
-    points, folder = v.points(spark, d), new_folder(spark, "question-flow")
-    # The index is a stored table: every batch searches it, none makes it.
+    folder = new_folder(spark, "question-flow")
+    # Points and index are stored tables: every batch searches them, none makes them.
+    points = _stored(v.points(spark, d), f"{folder}/points")
     vectors = tp.stored_vectors(spark, points.drop("embedding"))
     named = points.select("doc_id", "text", F.concat(F.lit("doc_"), F.col("doc_id").cast("string"), F.lit(".txt")).alias("source"))
 
@@ -38,16 +44,16 @@ def _flow(spark, d):
         return hits.join(named, "doc_id").select("query_id", "rank", "text", "source", "score")
 
     def dense(rows):
-        return shown(r.dense_search(rows, points, K))
+        return r.dense_search(rows, points, K).select("query_id", "doc_id", "rank", "score")
 
     def sparse(rows):
-        return shown(sparse_search_packed(packed_vectors(rows, "query_id", "tenant_id"), vectors, K))
+        return sparse_search_packed(packed_vectors(rows, "query_id", "tenant_id"), vectors, K).select("query_id", "doc_id", "rank", "score")
 
     chunks = F.col("chunks")
     write = F.concat(F.lit("It is in the passages [Source: "), F.get(chunks, F.lit(0)).source, F.lit(", page 1, Chunk #1]"))
     score = F.when(F.get(chunks, F.lit(1)).score >= GOOD, 0.9).otherwise(0.6)
-    flow = Flow(spark, folder, (dense, sparse), write, F.struct(score.alias("faithfulness"), score.alias("relevance")), SIMILARITY, TTL)
-    asks = _questions(points)
+    flow = Flow(spark, folder, (dense, sparse), write, F.struct(score.alias("faithfulness"), score.alias("relevance")), SIMILARITY, TTL, shown)
+    asks = _stored(_questions(points), f"{folder}/asks")
     for batch, later in enumerate(LATER):
         rows = asks.select((F.col("doc_id") * 10 + batch).alias("query_id"), "tenant_id", "question", (F.col("doc_id") * 60 + later).alias("asked_at"), "embedding", "text")
         flow.run_batch(rows, batch)
