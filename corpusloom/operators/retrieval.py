@@ -33,8 +33,9 @@ def cosine(a: Column, b: Column) -> Column:
 def unit(a: Column) -> Column:
     """The vector at length 1, empty stays empty, zero stays zero; as doubles."""
     d = F.transform(a, lambda x: x.cast("double"))
-    n = norm(d)
-    return F.when(n > 0, F.transform(d, lambda x: x / n)).otherwise(d)
+    # The length is the element of an array, since an expression would be evaluated anew for each element of the vector.
+    scaled = F.transform(F.array(norm(d)), lambda n: F.when(n > 0, F.transform(d, lambda x: x / n)).otherwise(d))
+    return F.get(scaled, F.lit(0))
 
 
 def dense_search(queries: DataFrame, points: DataFrame, k: int = TOP_K, query: str = "query_id", item: str = "doc_id", on: tuple[str, ...] = ("tenant_id",)) -> DataFrame:
@@ -48,15 +49,22 @@ def dense_search(queries: DataFrame, points: DataFrame, k: int = TOP_K, query: s
     return top_k(scored.withColumn("score", F.round("score", DIGITS)), query, item, k)
 
 
-def similar_chunks(queries: DataFrame, points: DataFrame, texts: DataFrame, parents: DataFrame, files: DataFrame | None = None, k: int = 5, query: str = "query_id", item: str = "point_id", tenant: str = "tenant_id") -> DataFrame:
+def similar_chunks(queries: DataFrame, points: DataFrame, texts: DataFrame, parents: DataFrame, files: DataFrame | None = None, k: int = 5, query: str = "query_id", item: str = "point_id", tenant: str = "tenant_id", within: str | None = None) -> DataFrame:
     """The nearest chunks of each query with their texts and their parents': query, item, rank, score, text, parent_text.
 
     ``queries``: query, tenant, embedding; ``points``: item, tenant, file_name, parent_id, embedding, without texts; ``texts``: item, text;
     ``parents``: parent_id, text; ``files``: (query, file_name) pairs, of queries that want these files only.  Such a query meets the points
     of its files before anything is ranked; texts join after ranking, to at most ``k`` rows a query.  A chunk without a stored parent has a
-    null parent_text."""
-    bare = points.select(item, tenant, "file_name", "embedding")
-    if files is None:
+    null parent_text.
+
+    ``within``: where the files that queries want are whole sets, the set's column in ``queries`` and ``points``, in place of a row a query
+    and file; a query with null there wants all files."""
+    bare = points.select(item, tenant, *([within] if within else []), "file_name", "embedding")
+    if within:
+        free = dense_search(queries.where(F.col(within).isNull()), bare, k, query, item, (tenant,))
+        own = dense_search(queries.where(F.col(within).isNotNull()), bare, k, query, item, (tenant, within))
+        hits = free.select(query, item, "score", "rank").unionByName(own.select(query, item, "score", "rank"))
+    elif files is None:
         hits = dense_search(queries, bare, k, query, item, (tenant,))
     else:
         wanted = files.select(query, "file_name").distinct()

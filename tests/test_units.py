@@ -248,3 +248,26 @@ def test_similar_chunks(spark):
     got = sorted((r["query_id"], r["rank"], r["point_id"], r["text"], r["parent_text"]) for r in similar_chunks(asks, points, texts, parents, files, 2).collect())
     assert got == [(10, 1, 1, "t1", "parent one"), (10, 2, 2, "t2", None), (11, 1, 2, "t2", None), (11, 2, 3, "t3", None)]
     assert {r["query_id"] for r in similar_chunks(asks, points, texts, parents, k=1).collect()} == {10, 11, 13}
+
+
+def test_similar_chunks_within_sets(spark):
+    """Sets of files give what their pairs of query and file give, without a row a pair."""
+    from corpusloom.operators.retrieval import similar_chunks
+
+    vector = F.array(*(F.sin(F.col("id") * k + 1) for k in range(1, 5)))
+    points = spark.range(200).select(F.col("id").alias("point_id"), F.when(F.col("id") % 3 == 0, "a").when(F.col("id") % 3 == 1, "b").otherwise("").alias("tenant_id"), F.concat(F.lit("f"), F.col("id")).alias("file_name"), F.concat(F.lit("p"), F.col("id") % 9).alias("parent_id"), vector.alias("embedding"), (F.col("id") % 7).alias("set"))
+    texts, parents = points.selectExpr("point_id", "concat('t', point_id) AS text"), points.selectExpr("parent_id", "concat('of ', parent_id) AS text").distinct()
+    asks = points.where("point_id % 5 = 0").select((F.col("point_id") + 1000).alias("query_id"), "tenant_id", "embedding", F.when(F.col("point_id") % 2 == 0, F.col("point_id") % 8).alias("set"))
+    files = asks.where("set IS NOT NULL").select("query_id", "set").join(points.select("set", "file_name"), "set")
+    # A query whose set has no file finds nothing, as pairs say it only by a file that no point has.
+    files = files.drop("set").unionByName(asks.where("set = 7").select("query_id", F.lit("none").alias("file_name")))
+    got = similar_chunks(asks, points, texts, parents, k=3, within="set")
+    want = similar_chunks(asks.drop("set"), points.drop("set"), texts, parents, files, 3)
+    assert sorted(map(tuple, got.collect())) == sorted(map(tuple, want.collect())) and got.count() > 30
+
+
+def test_length_of_a_vector_is_taken_once(spark):
+    """Elements are divided by a variable, not by an expression that adds up the whole vector for each of them."""
+    rows = spark.range(1).select(F.array(F.lit(3.0), F.lit(4.0), F.col("id").cast("double")).alias("e")).select(retrieval.unit(F.col("e")).alias("v"))
+    assert rows.first()["v"] == [0.6, 0.8, 0.0]
+    assert " / lambda " in rows._jdf.queryExecution().analyzed().toString()
